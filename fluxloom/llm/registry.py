@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import chat, language_id, mixing, simhash, url_filter
+from fluxloom.llm import chat, language_id, mixing, packing, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_pack": packing.op2_pack,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_simhash": simhash.op4_simhash,
         "op5_url_filter": url_filter.op5_url_filter,
