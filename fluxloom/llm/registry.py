@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import chat, language_id, mixing, packing, simhash, url_filter
+from fluxloom.llm import chat, language_id, mixing, packing, simhash, substring, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat.op6_chat_format,
+        "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict:
         "op3_mix_sources": mixing.OP3_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_chat_format": chat.OP6_SQL,
+        "op10_substring_dedup": substring.OP10_SQL,
     }
