@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import chat, language_id, mixing, packing, simhash, substring, url_filter
+from fluxloom.llm import chat, language_id, mixing, order_minhash, packing, simhash, substring, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat.op6_chat_format,
+        "op8_order_minhash": order_minhash.op8_order_minhash,
         "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
