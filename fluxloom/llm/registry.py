@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import chat, language_id, mixing, order_minhash, packing, simhash, substring, url_filter
+from fluxloom.llm import chat, code_search, language_id, mixing, order_minhash, packing, quality, simhash, substring, url_filter
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat.op6_chat_format,
+        "op7_code_search": code_search.op7_code_search,
         "op8_order_minhash": order_minhash.op8_order_minhash,
+        "op9_quality": quality.op9_quality,
         "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
@@ -23,5 +25,6 @@ def oracle_sql() -> dict:
         "op3_mix_sources": mixing.OP3_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_chat_format": chat.OP6_SQL,
+        "op7_code_search": code_search.OP7_SQL,
         "op10_substring_dedup": substring.OP10_SQL,
     }
