@@ -76,7 +76,7 @@ def top_k_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for (_, width), key in zip(segments, _keys(F.col("q"), segments), strict=True):
             masks = [sum(1 << b for b in c) for c in combinations(range(width), radius)]
             if masks:
-                probes.append(F.transform(F.lit(masks).cast("array<long>"), lambda m, key=key: key.bitwiseXOR(m)))
+                probes.append(F.transform(F.lit(masks).cast("array<long>"), key.bitwiseXOR))
         asks = active.select("q", "bound", F.explode(F.flatten(F.array(*probes))).alias("ask"))
         apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = asks.join(entries, (F.col("ask") == F.col("key")) & (apart <= F.col("bound"))).select("q", apart.alias("distance"), F.explode("ids").alias("id"))
