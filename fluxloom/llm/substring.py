@@ -163,15 +163,16 @@ class RepeatSketch:
 
 
 def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 12, sketch_rows: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rank_id, text_hash, gone): for each text that loses windows, the runs of window starts that go.
+    """(rank_id, gone): for each id whose texts lose windows, the runs of window starts that go.
 
-    ``rank_id`` is the document's id, or the largest long for a null id. ``gone`` holds (first, count) pairs.
+    ``rank_id`` is the document's id, or the largest long for a null id. ``gone`` holds (mark, start, count): a run of
+    ``count`` window starts from ``start`` in the text of the id that has this ``text_mark``.
     """
     if not 0 < gram <= width or bits < 3:
         raise ValueError("a gram has 1 to width words and a sketch 3 bits or more")
     spark = docs.sparkSession
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(rank.alias("rank_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = docs.select(rank.alias("rank_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     sketch = RepeatSketch(sketch_rows, bits)
     for row, block, bitmap in _sketches(rows, width, gram, sketch_rows, bits).toLocalIterator():
@@ -179,38 +180,60 @@ def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 12, sketch_ro
     shared = spark.sparkContext.broadcast(sketch)
 
     def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        least: dict[bytes, int] = {}
         for whole in batches:
             for offset in range(0, whole.num_rows, 512):
                 batch = whole.slice(offset, 512)
-                out = {k: [] for k in ("rank_id", "text_hash", "anchor", "span", "starts", "windows")}
-                for doc, text, text_hash in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out = {k: [] for k in ("rank_id", "anchor", "span_a", "span_b", "at", "count", "more", "windows")}
+                for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                     spans = Spans(text, width, gram)
                     flagged = np.flatnonzero(shared.value.repeated(spans.anchor.astype(np.uint64)))
                     if not len(flagged):
                         continue
                     windows = rolling(spans.hashes, width).view(np.int64)
+                    mark = text_mark(text)
                     seen: dict[bytes, int] = {}
                     for k in flagged:
                         name, start, count = spans.name(k), int(spans.first[k]), int(spans.count[k])
                         if name in seen:
-                            out["starts"][seen[name]].append(start)
+                            row = seen[name]
+                            out["more"][row] = [*(out["more"][row] or ()), start]
                             continue
-                        seen[name] = len(out["span"])
-                        for column, value in (("rank_id", doc), ("text_hash", text_hash), ("anchor", int(spans.anchor[k : k + 1].view(np.int64)[0])), ("span", name), ("starts", [start]), ("windows", windows[start : start + count].tolist())):
-                            out[column].append(value)
-                if out["span"]:
+                        seen[name] = len(out["at"])
+                        front = doc <= least.get(name, doc)
+                        if front:
+                            least[name] = doc
+                        out["rank_id"].append(doc)
+                        out["anchor"].append(int(spans.anchor[k : k + 1].view(np.int64)[0]))
+                        out["span_a"].append(int.from_bytes(name[:8], "little", signed=True))
+                        out["span_b"].append(int.from_bytes(name[8:], "little", signed=True))
+                        out["at"].append(mark << 32 | start)
+                        out["count"].append(count)
+                        out["more"].append(None)
+                        out["windows"].append(windows[start : start + count].tolist() if front else None)
+                if out["at"]:
                     yield out
 
-    schema = "rank_id long, text_hash long, anchor long, span binary, starts array<int>, windows array<long>"
-    spans = materialised(map_batches(rows.select("rank_id", "text", "text_hash"), spanned, schema))
-    least = spans.groupBy("anchor", "span").agg(F.min("rank_id").alias("least"))
-    placed = spans.join(least, ["anchor", "span"])
-    covered = placed.where("rank_id > least").select("rank_id", "text_hash", F.explode("starts").alias("start"), F.size("windows").alias("count"))
-    fronts = materialised(placed.where("rank_id = least").select("rank_id", "text_hash", "anchor", "starts", F.posexplode("windows").alias("place", "window")))
-    smallest = fronts.groupBy("anchor", "window").agg(F.min("rank_id").alias("smallest"), F.max("rank_id").alias("largest")).where("smallest < largest")
+    span = ["anchor", "span_a", "span_b"]
+    spans = materialised(map_batches(rows.select("rank_id", "text"), spanned, "rank_id long, anchor long, span_a long, span_b long, at long, count long, more array<int>, windows array<long>"))
+    least = spans.groupBy(*span).agg(F.min("rank_id").alias("least"))
+    varied = least.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select(F.col("anchor").alias("varied"))
+    told = least.join(varied, least["anchor"] == varied["varied"], "left").select(*span, "least", F.col("varied").isNotNull().alias("varied"))
+    placed = spans.join(told, span).where("rank_id > least OR varied")
+    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    starts = F.concat(F.array(start), F.transform(F.coalesce("more", F.array().cast("array<int>")), lambda x: x.cast("long")))
+    placed = materialised(placed.select("rank_id", "least", "anchor", F.shiftright("at", 32).alias("mark"), starts.alias("starts"), "count", "windows"))
+    covered = placed.where("rank_id > least").select("rank_id", "mark", F.explode("starts").alias("start"), "count")
+    fronts = placed.where("rank_id = least").select("rank_id", "mark", "anchor", "starts", F.posexplode("windows").alias("place", "window"))
+    smallest = fronts.groupBy("anchor", "window").agg(F.min("rank_id").alias("smallest"), F.max("rank_id").alias("largest")).where("smallest < largest").drop("largest")
     beaten = fronts.join(smallest, ["anchor", "window"]).where("rank_id > smallest")
-    beaten = beaten.select("rank_id", "text_hash", "place", F.explode("starts").alias("start")).select("rank_id", "text_hash", (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("count"))
-    return covered.unionByName(beaten).groupBy("rank_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "count"))).alias("gone"))
+    beaten = beaten.select("rank_id", "mark", "place", F.explode("starts").alias("start")).select("rank_id", "mark", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("count"))
+    return covered.unionByName(beaten).groupBy("rank_id").agg(F.sort_array(F.collect_list(F.struct("mark", "start", "count"))).alias("gone"))
+
+
+def text_mark(text: str | None) -> int:
+    """31 bits that tell the texts of one id apart."""
+    return xxhash.xxh32_intdigest(utf8(text), 9) >> 1
 
 
 def _kept(words: list, gone: list | None, width: int) -> list:
@@ -229,24 +252,25 @@ def _kept(words: list, gone: list | None, width: int) -> list:
 
 def remove_repeated(docs: DataFrame, width: int = 50, gram: int = 12, sketch_rows: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text, the kept words joined by one space."""
-    gone = repeated_windows(docs, width, gram, sketch_rows, bits, id_col, text_col).withColumnRenamed("rank_id", "_rank").withColumnRenamed("text_hash", "_hash")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_text_hash": F.xxhash64(text)})
-    joined = keyed.join(gone, (F.col("_id") == F.col("_rank")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_rank", "_text_hash", "_hash")
+    gone = repeated_windows(docs, width, gram, sketch_rows, bits, id_col, text_col).withColumnsRenamed({"rank_id": "_rank", "gone": "_gone"})
+    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    joined = keyed.join(gone, F.col("_id") == F.col("_rank"), "left").drop("_id", "_rank")
 
     def cut(batches: Iterator[list[list]]) -> Iterator[dict]:
         for texts, runs in batches:
             out = {"n_words": [], "n_removed": [], "kept_text": []}
             for text, gone in zip(texts, runs, strict=True):
                 words = utf8(text).split()
+                if gone:
+                    mark = text_mark(text)
+                    gone = [run for run in gone if run["mark"] == mark]
                 kept = _kept(words, gone, width)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
                 out["kept_text"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
             yield out
 
-    added = add_columns(joined, [text_col, "gone"], cut, "n_words long, n_removed long, kept_text string")
-    return added.drop("gone") if "gone" not in docs.columns else added
+    return add_columns(joined, [text_col, "_gone"], cut, "n_words long, n_removed long, kept_text string").drop("_gone")
 
 
 def drop_repeated(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
