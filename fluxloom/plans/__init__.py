@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+from fluxloom.plans.registry import ORACLES, QUERIES
+
+for _family in ("lightcurves", "models"):
+    importlib.import_module(f"fluxloom.plans.{_family}")
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Clean light curves, summarised and joined with their objects."""
+    return QUERIES["clean_and_summarise"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
