@@ -48,7 +48,7 @@ def _bin(packed: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text_col: str, name: str, k: int = 2, l: int = 2) -> DataFrame:  # noqa: E741
     """``df`` with ``name``: the fingerprint as an array of ints, each 6 bits of bin above 26 bits of its tuple's hash."""
-    words, kmers, runs, chosen = (f"_{name}_{x}" for x in ("words", "kmers", "runs", "chosen"))
+    words, kmers, again, runs, chosen = (f"_{name}_{x}" for x in ("words", "kmers", "again", "runs", "chosen"))
     trimmed = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_SPACE))
     df = df.withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     n = F.size(words)
@@ -56,15 +56,19 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str, k: int = 2, l: int
     kmer = lambda w, i: F.xxhash64(w, *[F.get(F.col(words), i + j) for j in range(1, k)])
     df = df.withColumn(kmers, F.sort_array(F.transform(starts, lambda w, i: _packed(kmer(w, i), i)))).drop(words)
     hashed = lambda v: F.shiftright(v, _PLACE)
-    at = lambda i: F.get(F.col(kmers), i)
-    first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(kmers) - 1, F.lit(0))), lambda i: (i < F.size(kmers)) & ((i == 0) | (hashed(at(i)) != hashed(at(i - 1)))))
-    df = df.withColumn(runs, first)
+    head = lambda c, i: hashed(F.get(F.col(c), i))
+    starts_run = lambda c, i: (i == 0) | (head(c, i) != head(c, i - 1))
+    alone = lambda v, i: starts_run(kmers, i) & ((i == F.size(kmers) - 1) | (hashed(v) != head(kmers, i + 1)))
+    df = df.withColumn(again, F.filter(kmers, lambda v, i: ~alone(v, i)))
+    places = F.sequence(F.lit(0), F.greatest(F.size(again) - 1, F.lit(0)))
+    df = df.withColumn(runs, F.filter(places, lambda i: (i < F.size(again)) & starts_run(again, i)))
 
     def numbered(start: Column, j: Column) -> Column:
-        run = F.slice(F.col(kmers), start + 1, F.coalesce(F.get(F.col(runs), j + 1), F.size(kmers)) - start)
+        run = F.slice(F.col(again), start + 1, F.coalesce(F.get(F.col(runs), j + 1), F.size(again)) - start)
         return F.transform(run, lambda v, occurrence: _packed(F.xxhash64(hashed(v), occurrence), _place(v)))
 
-    df = df.withColumn(kmers, F.sort_array(F.flatten(F.transform(runs, numbered)))).drop(runs)
+    once = F.transform(F.filter(kmers, alone), lambda v: _packed(F.xxhash64(hashed(v), F.lit(0)), _place(v)))
+    df = df.withColumn(kmers, F.sort_array(F.concat(once, F.flatten(F.transform(runs, numbered))))).drop(again, runs)
     df = df.withColumn(chosen, F.filter(kmers, lambda v, i: (i < l) | (_bin(F.get(F.col(kmers), i - l)) != _bin(v)))).drop(kmers)
 
     def tuple_of(v: Column, i: Column) -> Column:
@@ -113,18 +117,20 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last quarter of code points replaced by the first as many of the next document's.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = rows.select(F.struct("doc_id").alias("key"), "text")
     ids = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("hash")).groupBy("doc_id").agg(F.max("n").alias("n"), F.min("hash").alias("hash"))
-    follows = next_ids(ids).select(F.col("doc_id").alias("at_id"), F.floor(F.col("n") / 4).cast("int").alias("q"), "next_id", "next_hash")
-    found = rows.join(follows, rows["doc_id"].eqNullSafe(follows["next_id"])).where(F.xxhash64("text") == F.col("next_hash"))
-    found = with_fingerprint(found, "text", "sig").select("at_id", F.substring("text", F.lit(1), F.col("q")).alias("head"), "sig")
-    heads = found.groupBy("at_id").agg(F.first("head").alias("head"), F.first("sig").alias("next_sig"))
-    whole = rows.join(heads, rows["doc_id"].eqNullSafe(heads["at_id"])).withColumn("n_chars", F.length("text"))
+    follows = next_ids(ids).select(F.struct("doc_id").alias("at_key"), F.floor(F.col("n") / 4).cast("int").alias("q"), F.struct(F.col("next_id").alias("doc_id")).alias("next_key"), "next_hash")
+    # both joins deal the texts out by the same key, a struct that is equal for null ids too, so they are shuffled once
+    found = keyed.join(follows, keyed["key"] == follows["next_key"]).where(F.xxhash64("text").bitwiseXOR(F.col("next_hash")) == 0)
+    found = with_fingerprint(found, "text", "sig").select("at_key", F.substring("text", F.lit(1), F.col("q")).alias("head"), "sig")
+    heads = found.groupBy("at_key").agg(F.first("head").alias("head"), F.first("sig").alias("next_sig"))
+    whole = keyed.join(heads, keyed["key"] == heads["at_key"]).withColumn("n_chars", F.length("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("head", F.lit(1), quarter))
     whole = whole.withColumn("edited", edited).drop("head")
     whole = with_fingerprint(with_fingerprint(whole, "text", "sig"), "edited", "edited_sig")
     return whole.select(
-        "doc_id",
+        F.col("key.doc_id").alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint_text(F.col("sig")).alias("fingerprint"),
