@@ -1 +1 @@
-
+"""Extensions over streams of observations."""
