@@ -49,6 +49,6 @@ def parse_observations(lines: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, folder: str, pattern: str = "SMP_*.dat") -> DataFrame:
     """(name, line, value): the lines of each file with their numbers; a file of one object is one row first."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    whole = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     rows = whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.split("value", "\n").alias("_l"))
     return rows.select("name", F.posexplode("_l").alias("line", "value"))
