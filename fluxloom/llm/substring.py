@@ -216,8 +216,9 @@ def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 12, sketch_ro
 
     span = ["anchor", "span_a", "span_b"]
     spans = materialised(map_batches(rows.select("rank_id", "text"), spanned, "rank_id long, anchor long, span_a long, span_b long, at long, count long, more array<int>, windows array<long>"))
-    least = spans.groupBy(*span).agg(F.min("rank_id").alias("least"))
-    varied = least.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select(F.col("anchor").alias("varied"))
+    # both are written before they are joined, so that the join shuffles both sides and a frequent anchor can be split
+    least = materialised(spans.groupBy(*span).agg(F.min("rank_id").alias("least")))
+    varied = materialised(least.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select(F.col("anchor").alias("varied")))
     told = least.join(varied, least["anchor"] == varied["varied"], "left").select(*span, "least", F.col("varied").isNotNull().alias("varied"))
     placed = spans.join(told, span).where("rank_id > least OR varied")
     start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
