@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm.arrow import map_batches
+from fluxloom.llm.arrow import add_columns, map_batches
 from fluxloom.llm.words import byte_blocks, utf8
 from fluxloom.runtime import materialised, table
 
@@ -118,11 +118,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialised(map_batches(links.select("u", "v"), _forest, "u long, v long"))
     before = None
     while True:
-        # each node's greater neighbours move to the least of its neighbourhood, then its smaller ones do
+        # each node's greater neighbours move to the least of its neighbourhood, then its smaller ones do; the least ones
+        # are written first, so that the joins shuffle both sides and a node with very many neighbours can be split
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialised(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = materialised(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = materialised(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         edges = materialised(small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -140,38 +141,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "root", "first_id")
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     told = nodes.join(members.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    told = materialised(told)  # a fresh side for the join, whose fingerprints of many copies can then be split
     return marked.join(told, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
     """``docs`` without all but one document of each group: the one with the smallest id stays.
 
-    Rows that repeat a kept id are one document; documents without an id stay only where their group has no other.
+    Rows that repeat a kept id are one document. Of the rows without an id one for each fingerprint stays, if no row of
+    its group has an id.
     """
     groups = materialised(near_duplicates(docs, id_col, text_col, width, max_distance))
-    gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs[id_col] == F.col("_gone"), "left_anti")
-    again = groups.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again"))
+    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    again = groups.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    again = materialised(again.where("_rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again")))
     if again.isEmpty():
         return kept
-    same = docs[id_col].eqNullSafe(F.col("_again"))
-    once = kept.join(again, same, "left_anti")
-    repeated = kept.join(again, same, "left_semi")
-    keyless = groups.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("fingerprint").alias("_fp")).distinct()
-    repeated = repeated.withColumn("_fp", F.lower(F.lpad(F.hex(_fingerprint_column(text_col, width)), 16, "0")))
-    repeated = repeated.join(keyless.withColumn("_lost", F.lit(True)), "_fp", "left").where(F.col(id_col).isNotNull() | F.col("_lost").isNull())
-    repeated = repeated.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("fp"), F.col("_fp")))).dropDuplicates(["_key"])
-    return once.unionByName(repeated.select(*docs.columns))
+    same = docs[id_col].eqNullSafe(again["_again"])
 
+    def marked(batches: Iterator[list[list]]) -> Iterator[dict]:
+        for (texts,) in batches:
+            yield {"_fp": [f"{simhash(t, width):016x}" for t in texts]}
 
-def _fingerprint_column(text_col: str, width: int) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("long")
-    def marked(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64))
-
-    return marked(F.col(text_col))
+    repeated = add_columns(kept.join(again, same, "left_semi"), [text_col], marked, "_fp string")
+    led = groups.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("fingerprint").alias("_led")).distinct()
+    named = repeated.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    nameless = repeated.where(F.col(id_col).isNull()).join(led, F.col("_fp") == F.col("_led"), "left_anti").dropDuplicates(["_fp"])
+    return kept.join(again, same, "left_anti").unionByName(named.unionByName(nameless).drop("_fp"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
