@@ -7,15 +7,17 @@ operations.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import classification
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -163,10 +165,38 @@ class Classifier:
         place = F.array_position("probability", F.array_max("probability")).cast("int")
         return told.select(*kept, F.element_at(F.array(*[F.lit(y) for y in self.labels]), place).alias("y_pred"), "probability")
 
-    def save(self, path: str) -> None:
-        if not hasattr(self.model, "write"):
-            raise NotImplementedError(f"{type(self).__name__} keeps no single model")
-        self.model.write().overwrite().save(path)
+    def _parts(self) -> list:
+        return self.model if isinstance(self.model, list) else [self.model]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The model in Spark's format with its labels and parameters beside it."""
+        parts = self._parts()
+        if not all(hasattr(m, "write") for m in parts):
+            raise NotImplementedError(f"{type(self).__name__} is kept as its training rows, not as a model")
+        for i, m in enumerate(parts):
+            m.write().overwrite().save(f"{path}/model{i}")
+        about = {"class": type(self).__name__, "labels": self.labels, "params": self.params, "models": [type(m).__name__ for m in parts], "list": isinstance(self.model, list)}
+        if hasattr(self, "lift"):
+            about["lift"] = [x.tolist() for x in self.lift]
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Classifier:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        found = {c.__name__: c for c in Classifier.__subclasses__()}[about["class"]](**about["params"])
+        parts = [getattr(classification, name).load(f"{path}/model{i}") for i, name in enumerate(about["models"])]
+        found.labels, found.model = about["labels"], parts if about["list"] else parts[0]
+        if "lift" in about:
+            found.lift = tuple(np.array(x) for x in about["lift"])
+        return found
+
+    def optimise(self, rows: DataFrame, grid: Mapping[str, Sequence[Any]] | None = None, **options: Any) -> Search:
+        """Search this classifier's grid once and take the best parameters; a second call is an error."""
+        if getattr(self, "searched", None) is not None:
+            raise ValueError("this classifier has been optimised")
+        self.searched = grid_search(type(self), rows, grid or self.grid, **options)
+        self.params = self.params | self.searched.best
+        return self.searched
 
 
 class RandomForest(Classifier):

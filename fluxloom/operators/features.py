@@ -289,3 +289,13 @@ def explained_components(eigenvalues: DataFrame, share: float = 0.95) -> DataFra
 
     running = F.sum("value").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)) / F.sum("value").over(W.partitionBy())
     return eigenvalues.withColumn("_c", running).where(F.col("_c") >= share - 1e-12).agg(F.min("place").alias("n_components"))
+
+
+def combine_features(*tables: DataFrame, key: str = "object_id") -> DataFrame:
+    """Feature tables joined by object; a column that two of them have is an error."""
+    out = tables[0]
+    for more in tables[1:]:
+        if both := set(out.columns) & set(more.columns) - {key}:
+            raise ValueError(f"columns in two tables: {sorted(both)}")
+        out = out.join(more, key)
+    return out

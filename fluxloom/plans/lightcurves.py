@@ -86,10 +86,10 @@ def train_test_bucket(spark, sf_dir):
 # --- subsets and unions -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {OBS_SQL} SELECT object_id, count(*) AS n_obs FROM obs WHERE object_id % 3 = 0 GROUP BY object_id")
+@query(f"WITH {OBS_SQL}, {OBJ_SQL} SELECT object_id, count(*) AS n_obs FROM obs WHERE object_id IN (SELECT object_id FROM objs WHERE target = 42) GROUP BY object_id")
 def update_dataset_semi(spark, sf_dir):
     data = light_curves(spark, sf_dir)
-    kept = U.update_to_subset(data, data.objects.where("object_id % 3 = 0"))
+    kept = U.update_to_subset(data, data.objects.where("target = 42"))
     return kept.observations.groupBy("object_id").agg(F.count("*").alias("n_obs"))
 
 
@@ -99,12 +99,18 @@ def disjointness_anti(spark, sf_dir):
     return U.missing_ids(o, o.where("target = 62"))
 
 
-@query(f"WITH {OBS_SQL} SELECT object_id, object_id % 2 = 0 AS even, count(*) AS n_obs, round(sum(flux), 4) AS flux FROM obs GROUP BY ALL")
+@query(f"WITH {OBS_SQL}, {OBJ_SQL} SELECT object_id, ddf, count(*) AS n_obs, round(sum(flux), 4) AS flux FROM obs JOIN objs USING (object_id) GROUP BY ALL")
 def merge_datasets_union(spark, sf_dir):
+    """The deep-field objects and the others, as two datasets, merged."""
     data = light_curves(spark, sf_dir)
-    part = lambda k: LightCurves(data.observations.where(f"object_id % 2 = {k}"), data.objects.where(f"object_id % 2 = {k}"), None, data.filters)
-    rows = U.merge(part(0), part(1)).observations.withColumn("even", F.col("object_id") % 2 == 0)
-    return rows.groupBy("object_id", "even").agg(F.count("*").alias("n_obs"), F.round(F.sum("flux"), 4).alias("flux"))
+
+    def part(deep: str) -> LightCurves:
+        own = data.objects.where(deep)
+        return LightCurves(data.observations.join(own, "object_id", "left_semi"), own, None, data.filters)
+
+    both = U.merge(part("ddf"), part("NOT ddf"))
+    rows = both.observations.join(both.objects.select("object_id", "ddf"), "object_id")
+    return rows.groupBy("object_id", "ddf").agg(F.count("*").alias("n_obs"), F.round(F.sum("flux"), 4).alias("flux"))
 
 
 @query(f"WITH {OBJ_SQL} SELECT object_id, target, false AS augmented FROM objs UNION ALL SELECT object_id + 1000000, target, true FROM objs WHERE target = 42")
@@ -128,12 +134,12 @@ def class_balance_rownumber(spark, sf_dir):
     return U.balanced(objects(spark, sf_dir), 5).select("object_id", "target")
 
 
-@query(f"""WITH {OBJ_SQL}, few AS (SELECT * FROM objs WHERE target <> 90 OR object_id % 5 = 0), sizes AS (SELECT target, count(*) AS n FROM few GROUP BY target),
+@query(f"""WITH {OBJ_SQL}, few AS (SELECT * FROM objs WHERE target <> 90 OR ddf), sizes AS (SELECT target, count(*) AS n FROM few GROUP BY target),
 needs AS (SELECT target, n, greatest((2 * (SELECT sum(n) FROM sizes)) // (SELECT count(*) FROM sizes) - n, 0)::BIGINT AS need FROM sizes),
 ranked AS (SELECT object_id, target, n, need, row_number() OVER (PARTITION BY target ORDER BY md5('3:' || object_id::VARCHAR), object_id) AS r FROM few JOIN needs USING (target))
 SELECT object_id, target, (need // n + CASE WHEN r <= need % n THEN 1 ELSE 0 END)::BIGINT AS n_copies FROM ranked""")
 def augment_quota(spark, sf_dir):
-    return U.augmentation_quota(objects(spark, sf_dir).where("target <> 90 OR object_id % 5 = 0"), 3)
+    return U.augmentation_quota(objects(spark, sf_dir).where("target <> 90 OR ddf"), 3)
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------------------

@@ -331,11 +331,11 @@ def stratified_folds(spark, sf_dir):
     return U.stratified_folds(objects(spark, sf_dir), 5, 11).select("object_id", "target", "fold")
 
 
-@query(f"""WITH {OBJ_SQL}, alls AS (SELECT object_id, target, NULL::BIGINT AS original_event FROM objs UNION ALL SELECT object_id + 1000000, target, object_id FROM objs WHERE object_id % 3 = 0),
+@query(f"""WITH {OBJ_SQL}, alls AS (SELECT object_id, target, NULL::BIGINT AS original_event FROM objs UNION ALL SELECT object_id + 1000000, target, object_id FROM objs WHERE ddf),
 f AS (SELECT object_id AS o, ((row_number() OVER (PARTITION BY target ORDER BY md5('11:' || object_id::VARCHAR), object_id) - 1) % 5)::INT AS fold FROM objs) SELECT object_id, target, fold FROM alls JOIN f ON o = coalesce(original_event, object_id)""")
 def grouped_folds_inherit(spark, sf_dir):
     o = objects(spark, sf_dir).select("object_id", "target", F.lit(None).cast("long").alias("original_event"))
-    made = o.where("object_id % 3 = 0").select((F.col("object_id") + 1000000).alias("object_id"), "target", F.col("object_id").alias("original_event"))
+    made = objects(spark, sf_dir).where("ddf").select((F.col("object_id") + 1000000).alias("object_id"), "target", F.col("object_id").alias("original_event"))
     return U.grouped_folds(o.unionByName(made), 5, 11).select("object_id", "target", "fold")
 
 

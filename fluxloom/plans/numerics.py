@@ -155,8 +155,7 @@ def augment_survey_variants(spark, sf_dir):
 
 @query()
 def smote(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).where("label > 0 OR object_id % 2 = 0")
-    return A.smote(rows)
+    return A.smote(_vectors(spark, sf_dir))
 
 
 @query()

@@ -152,3 +152,34 @@ def test_tsne_parts_blobs():
     y = embed(x, 10)
     inside = np.linalg.norm(y[:25] - y[:25].mean(0), axis=1).mean()
     assert np.linalg.norm(y[:25].mean(0) - y[25:].mean(0)) > 2 * inside
+
+
+@pytest.mark.parametrize("name", ["decision_tree", "svm", "boosted_trees"])
+def test_classifiers_are_saved(spark, tmp_path, name):
+    rows = _blobs(spark, 15)
+    params = {"maxIter": 2} if name == "boosted_trees" else {}
+    fitted = K.CLASSIFIERS[name](**params).fit(rows)
+    fitted.save(spark, str(tmp_path / name))
+    again = K.Classifier.load(spark, str(tmp_path / name))
+    assert sorted(map(str, again.predict(rows).collect())) == sorted(map(str, fitted.predict(rows).collect()))
+
+
+def test_optimised_once(spark):
+    rows = _blobs(spark, 20)
+    tree = K.DecisionTree()
+    assert tree.optimise(rows, {"maxDepth": (1, 3)}, folds=2, scoring="accuracy").best == {"maxDepth": 3} and tree.params["maxDepth"] == 3
+    with pytest.raises(ValueError):
+        tree.optimise(rows)
+
+
+def test_features_are_combined(spark):
+    a = spark.createDataFrame([(1, 2.0)], "object_id long, x double")
+    assert T.combine_features(a, a.withColumnRenamed("x", "y")).first().asDict() == {"object_id": 1, "x": 2.0, "y": 2.0}
+    with pytest.raises(ValueError):
+        T.combine_features(a, a)
+
+
+def test_runs_report_every_classifier(spark, tmp_path):
+    found = K.run_classifiers(_blobs(spark, 40), ["nb", "decision_tree"], 0.5, output=str(tmp_path))
+    assert all(v["accuracy"] > 0.9 and v["auc"] > 0.9 for v in found.values())
+    assert spark.read.parquet(str(tmp_path / "nb" / "roc")).count() == 50
