@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once a session, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_fluxloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it runs from an archive that the workers have too
+        archive = os.path.join(tempfile.mkdtemp(prefix="fluxloom-package-"), "fluxloom.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+    context._fluxloom_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     context = spark.sparkContext
