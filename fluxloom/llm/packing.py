@@ -176,16 +176,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
         for batch in batches:
             points = np.array([coordinates(t) for t in batch.column(1).to_pylist()]).reshape(-1, _DIMENSIONS)
             ties = [_tie(i) & ((1 << _TIES) - 1) for i in batch.column(0).to_pylist()]
-            yield {f"x{k}": points[:, k] for k in range(_DIMENSIONS)} | {"tie": ties}
+            sizes = [len(utf8(t)) for t in batch.column(1).to_pylist()]
+            yield {f"x{k}": points[:, k] for k in range(_DIMENSIONS)} | {"tie": ties, "size": sizes}
 
-    points = materialised(map_batches(rows, placed, "x0 double, x1 double, x2 double, tie long"))
+    points = materialised(map_batches(rows, placed, "x0 double, x1 double, x2 double, tie long, size long"))
     found = points.agg(*[f(f"x{k}").alias(f"{n}{k}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for k in range(_DIMENSIONS)]).first()
     mean = np.array([found[f"m{k}"] or 0.0 for k in range(_DIMENSIONS)])
     scale = np.array([max(found[f"s{k}"] or 0.0, 1e-9) for k in range(_DIMENSIONS)])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        # a key for every 2 KB of its text, so that partitions have about the same length
         for b in batches:
-            yield {"key": curve_keys(np.stack([b.column(k).to_numpy() for k in range(_DIMENSIONS)], 1), b.column(_DIMENSIONS).to_numpy(), mean, scale)}
+            keys = curve_keys(np.stack([b.column(k).to_numpy() for k in range(_DIMENSIONS)], 1), b.column(_DIMENSIONS).to_numpy(), mean, scale)
+            yield {"key": np.repeat(keys, 1 + b.column(_DIMENSIONS + 1).to_numpy() // 2048)}
 
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / partitions for i in range(1, partitions)]
