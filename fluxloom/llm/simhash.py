@@ -68,18 +68,17 @@ def embedded(half: Column) -> Column:
 def grid_cells(fp: Column) -> Column:
     """The cells of both halves that a fingerprint enters: its own and those one step away along one segment.
 
-    A cell is the 32 bits of a half's embedding; bit 33 tells the upper half from the lower.
+    A cell is the 32 bits of a half's embedding; bit 33 tells the upper half from the lower. A count is two bits, so
+    it is below 2 where its upper bit is clear and above 0 where either is set.
     """
-    low, high, cells = fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(fp, 32), []
+    steps, long = F.lit([1 << 2 * i for i in range(16)]).cast("array<long>"), lambda x: F.lit(x).cast("long")
+    low, high, cells = fp.bitwiseAND(long(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32), []
     for mark, half in ((0, embedded(low)), (1 << 33, embedded(high))):
-        own = half + F.lit(mark).cast("long")
-        cells.append(own)
-        for segment in range(16):
-            count = F.shiftright(half, 2 * segment).bitwiseAND(F.lit(3).cast("long"))
-            step = F.lit(1 << 2 * segment).cast("long")
-            cells.append(F.when(count < 2, own + step))
-            cells.append(F.when(count > 0, own - step))
-    return F.array_compact(F.array(*cells))
+        own = half + long(mark)
+        more = F.filter(steps, lambda s: half.bitwiseAND(s * 2) == 0)  # noqa: B023
+        less = F.filter(steps, lambda s: half.bitwiseAND(s * 3) != 0)  # noqa: B023
+        cells += [F.array(own), F.transform(more, lambda s: own + s), F.transform(less, lambda s: own - s)]  # noqa: B023
+    return F.concat(*cells)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -113,11 +112,16 @@ def linked_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one node at most and to none that points on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out > 0 AND into > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links of longs to (node, root): every linked node with the least node of its component."""
     edges = materialised(map_batches(links.select("u", "v"), _forest, "u long, v long"))
-    before = None
-    while True:
+    while not _settled(edges):
         # each node's greater neighbours move to the least of its neighbourhood, then its smaller ones do; the least ones
         # are written first, so that the joins shuffle both sides and a node with very many neighbours can be split
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -126,10 +130,6 @@ def components(links: DataFrame) -> DataFrame:
         least = materialised(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         edges = materialised(small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
 
 
