@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fluxloom.runtime import ship_package
+
 
 #: Rows of an Arrow batch. A batch is held off the heap by the executor and again by its worker, and texts are long.
 ROWS = 1000
 
 
-def bound_batches(df: DataFrame) -> None:
-    """Lower the session's rows of an Arrow batch to ``ROWS``, if they are more."""
+def ready_workers(df: DataFrame) -> None:
+    """Lower the session's rows of an Arrow batch to ``ROWS``, if they are more, and see that workers have the package."""
+    ship_package(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= ROWS:
         conf.set(name, str(ROWS))
@@ -23,7 +26,7 @@ def bound_batches(df: DataFrame) -> None:
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` for functions that yield dictionaries of columns."""
-    bound_batches(df)
+    ready_workers(df)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +43,7 @@ def add_columns(df: DataFrame, inputs: list[str], function: Callable[[Iterator[l
     ``function`` takes an iterator of lists of columns and yields a dictionary of columns for each. A column of
     ``df`` that has the name of an added one is replaced.
     """
-    bound_batches(df)
+    ready_workers(df)
     new = T.StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in new.names]
     source = df.select(*[df[f.name] for f in kept], *[df[c].alias(f"_in{i}") for i, c in enumerate(inputs)])
