@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators.fit import _seed
 from fluxloom.operators.gp import condition, fit_2d, kernel_2d
+from fluxloom.runtime import dealt
 from fluxloom.schema import LSST, PASSBANDS
 
 
@@ -255,7 +256,7 @@ def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str =
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
 
     schema = "object_id string, original_event string, mjd double, filter string, flux double, flux_error double, detected boolean, hostgal_specz double, hostgal_photoz double, hostgal_photoz_err double, ddf boolean"
-    return rows.groupBy(key).applyInPandas(made, schema)
+    return dealt(rows, key).groupBy(key).applyInPandas(made, schema)
 
 
 def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features", borderline: bool = False) -> DataFrame:

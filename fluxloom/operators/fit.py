@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions import curves as C
+from fluxloom.runtime import dealt
 
 MODELS = {"newling": (C.NEWLING, C.newling), "karpenka": (C.KARPENKA, C.karpenka)}
 
@@ -157,7 +158,7 @@ def fit_parametric(obs: DataFrame, model: str = "newling", sampler: str = "least
         return pd.DataFrame(out)
 
     schema = f"{key} {kind}, filter string, params array<double>, chisq double, n_points int, status string"
-    return obs.select(key, "filter", "mjd", "flux", "flux_error").groupBy(key, "filter").applyInPandas(fitted, schema)
+    return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key, "filter").groupBy(key, "filter").applyInPandas(fitted, schema)
 
 
 def fit_table(fits: DataFrame, filters: Sequence[str], model: str = "newling", key: str = "object_id") -> DataFrame:
@@ -218,9 +219,9 @@ def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", s
         return pd.DataFrame([(pdf[key].iloc[0] if len(pdf) else None, *row, len(t), "ok" if best else "no template fits")], columns=[key, "template", "t0", "stretch", "amplitude", "chisq", "n_points", "status"]) if len(pdf) else pd.DataFrame(columns=[key, "template", "t0", "stretch", "amplitude", "chisq", "n_points", "status"])
 
     schema = f"{key} {kind}, template string, t0 double, stretch double, amplitude double, chisq double, n_points int, status string"
-    return obs.select(key, "filter", "mjd", "flux", "flux_error").groupBy(key).applyInPandas(fitted, schema)
+    return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key).groupBy(key).applyInPandas(fitted, schema)
 
 
 def fit_with(obs: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "object_id") -> DataFrame:
     """A model of the caller's own, object by object."""
-    return obs.groupBy(key).applyInPandas(function, schema)
+    return dealt(obs, key).groupBy(key).applyInPandas(function, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.operators.fit import nelder_mead
+from fluxloom.runtime import dealt
 from fluxloom.schema import PASSBANDS
 
 #: What is reported as the error where a predictive variance comes out negative.
@@ -176,7 +177,7 @@ def fit_gps(obs: DataFrame, number_gp: int = 100, t_min: float = 0.0, t_max: flo
             parts = [pd.DataFrame({key: [name], "filter": [None], "grid_ix": [None], "mjd": [None], "flux": [None], "flux_error": [None], "kernel": [None], "params": [None], "converged": [False], "status": [f"failed: {problem}"]})]
         return pd.concat(parts, ignore_index=True)
 
-    return obs.select(key, "filter", "mjd", "flux", "flux_error").groupBy(key).applyInPandas(fitted, f"{key} {kind}, {GP_SCHEMA}")
+    return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key).groupBy(key).applyInPandas(fitted, f"{key} {kind}, {GP_SCHEMA}")
 
 
 def models_of(fits: DataFrame, key: str = "object_id") -> DataFrame:
@@ -206,8 +207,8 @@ def predict_2d(obs: DataFrame, params: DataFrame, times: Sequence[float], filter
         return pd.concat(parts)
 
     one = params.dropDuplicates([key]).select(key, "params")
-    left = obs.select(key, "filter", "mjd", "flux", "flux_error").groupBy(key)
-    return left.cogroup(one.groupBy(key)).applyInPandas(predicted, f"{key} {kind}, filter string, mjd double, flux double, flux_error double")
+    left = dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key).groupBy(key)
+    return left.cogroup(dealt(one, key).groupBy(key)).applyInPandas(predicted, f"{key} {kind}, filter string, mjd double, flux double, flux_error double")
 
 
 def reconstruction_error(models: DataFrame, restored: DataFrame, key: str = "object_id") -> DataFrame:

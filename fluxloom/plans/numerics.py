@@ -26,7 +26,7 @@ BANDS = ("lsstu", "lsstg", "lsstr", "lssti", "lsstz")
 
 
 def _spread(obs: DataFrame) -> DataFrame:
-    """Only the needed columns, dealt out by object: few large files would leave most cores without a fit."""
+    """Only the columns that fits need."""
     return obs.select("object_id", "event_id", "mjd", "filter", "flux", "flux_error")
 
 

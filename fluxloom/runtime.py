@@ -52,3 +52,12 @@ def materialised(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` over all shuffle partitions.
+
+    For grouped functions that compute much on few bytes: left alone, adaptive execution would merge their small partitions
+    into one task.
+    """
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
