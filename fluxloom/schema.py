@@ -16,7 +16,7 @@ LSST = ("lsstu", "lsstg", "lsstr", "lssti", "lsstz", "lssty")
 DES = ("desg", "desr", "desi", "desz")
 
 #: Class codes of the photometric challenge.
-TYPE_NAMES = {1: "Ia", 2: "II", 21: "IIn", 22: "IIP", 23: "IIL", 3: "Ibc", 32: "Ib", 33: "Ic", 66: "other", -9: "unknown"}
+TYPE_NAMES = {1: "Ia", 2: "II", 21: "IIn", 22: "IIP", 23: "IIL", 3: "Ibc", 32: "Ib", 33: "Ic", 66: "other"}
 
 #: Missing values of the file formats; inside the library they are null.
 MISSING = -9.0

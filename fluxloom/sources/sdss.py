@@ -44,7 +44,7 @@ def parse_observations(lines: DataFrame) -> DataFrame:
     rows = lines.where("line >= 4").withColumn("_p", _parts()).where((F.size("_p") >= 9) & (F.expr("try_cast(_p[0] AS INT)") < 1024))
     band = F.element_at(F.create_map(*[F.lit(x) for pair in FILTERS.items() for x in pair]), F.col("_p")[2].cast("int"))
     number = lambda i: F.col("_p")[i].cast("double")
-    return rezero(rows.select(F.col("name").alias("object_id"), number(1).alias("mjd"), band.alias("filter"), number(7).alias("flux"), number(8).alias("flux_error")))
+    return rezero(rows.select(F.col("name").alias("object_id"), number(1).alias("mjd"), band.alias("filter"), number(7).alias("flux"), number(8).alias("flux_error"), number(3).alias("mag"), number(4).alias("mag_error"), F.lit(27.5).alias("zp"), F.lit("ab").alias("zpsys")))
 
 
 def read_lines(spark: SparkSession, folder: str, pattern: str = "SMP_*.dat") -> DataFrame:

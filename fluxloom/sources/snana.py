@@ -13,11 +13,20 @@ from fluxloom.schema import LightCurves, present
 #: Column names of the photometry files and their names here.
 PHOTOMETRY = {"FLUXCAL": "flux", "FLUXCALERR": "flux_error", "MJD": "mjd", "BAND": "filter", "PHOTFLAG": "photflag", "SNID": "object_id"}
 
-#: Simulated type codes, as (class, has a spectrum).
+#: Type codes of the survey's simulations, as (class, has a spectrum).
 SIMULATED_TYPES = {
-    120: (1, True), 121: (2, True), 122: (2, True), 132: (3, True), 133: (3, True),
-    20: (1, False), 21: (2, False), 22: (2, False), 32: (3, False), 33: (3, False),
-}
+    120: (1, True),
+    106: (1, False),
+    32: (3, True),
+    33: (3, True),
+    132: (3, False),
+    133: (3, False),
+    22: (2, True),
+    122: (2, False),
+}
+
+#: Type codes of the generic simulation files and their classes.
+SNANA_TYPES = {101: 1, 20: 2, 21: 2, 22: 2, 23: 2, 120: 2, 121: 2, 122: 2, 123: 2, 32: 3, 33: 3, 132: 3, 133: 3, 42: 4, 142: 4}
 
 
 def clean_photometry(rows: DataFrame, survey: str = "lsst") -> DataFrame:
@@ -75,3 +84,9 @@ def simulated_class(head: DataFrame, classes: Sequence[int] | None = None, spect
     head = head.withColumns({"target": pairs(0), "spectroscopic": pairs(1)}).where("target IS NOT NULL")
     head = head if classes is None else head.where(F.col("target").isin(*classes))
     return head if spectra is None else head.where(F.col("spectroscopic") == spectra)
+
+
+def generic_class(head: DataFrame, type_col: str = "sntype") -> DataFrame:
+    """``target`` from the type codes of generic simulation files, null for an unknown one."""
+    names = F.create_map(*[F.lit(x) for pair in SNANA_TYPES.items() for x in pair])
+    return head.withColumn("target", F.element_at(names, F.col(type_col).cast("int")))

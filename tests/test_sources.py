@@ -30,8 +30,9 @@ def test_photometry_clean_up(spark):
     assert (r.object_id, r.filter, r.detected, r.flux) == ("12", "lssty", True, 1.0)
     head = snana.clean_metadata(spark.createDataFrame([("1", 142, 0.3)], "SNID string, SNTYPE int, REDSHIFT_FINAL double")).first()
     assert (head.target, head.z) == (42, 0.3)
-    kinds = snana.simulated_class(spark.createDataFrame([(120,), (32,), (5,)], "sntype int"), spectra=False).collect()
+    kinds = snana.simulated_class(spark.createDataFrame([(120,), (132,), (5,)], "sntype int"), spectra=False).collect()
     assert [(k.target, k.spectroscopic) for k in kinds] == [(3, False)]
+    assert [r.target for r in snana.generic_class(spark.createDataFrame([(142,), (5,)], "sntype int")).collect()] == [4, None]
 
 
 def test_master_list(spark, tmp_path):
