@@ -81,7 +81,8 @@ def test_sinks(spark, tmp_path):
     assert sinks.load_dataset(spark, str(tmp_path / "d")).observations.count() == 2
     sinks.save_run(spark, {"seed": 1}, str(tmp_path / "r"))
     assert sinks.load_run(spark, str(tmp_path / "r"))["seed"] == 1
-    more = sinks.append_objects(data, obs.withColumn("object_id", obs.object_id + "2").withColumn("mjd", obs.mjd + 5), obs.select("object_id"))
+    other = obs.selectExpr("concat(object_id, '2') AS object_id", "mjd + 5 AS mjd", "filter", "flux", "flux_error")
+    more = sinks.append_objects(data, other, other.select("object_id"))
     assert more.observations.where("object_id LIKE '%2'").agg({"mjd": "max"}).first()[0] == 0.0
 
 
