@@ -30,8 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Five-word shingles, up to five differing bits: on samples this links more of the pairs whose shingles have a Jaccard
+    similarity of 0.8, and fewer of the others, than four words and four bits.
+    """
+    return drop_near_duplicates(docs, width=5, max_distance=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

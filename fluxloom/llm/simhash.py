@@ -108,7 +108,10 @@ def linked_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
         raise ValueError("the cells cover distances up to 5")
     entered = nodes.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance
-    pairs = entered.alias("a").join(entered.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near)
+    # a close pair shares several cells and is told in the least of them only
+    first = F.array_min(F.array_intersect(grid_cells(F.col("a.fp")), grid_cells(F.col("b.fp")))) == F.col("a.cell")
+    told = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & F.when(near, first).otherwise(F.lit(False))
+    pairs = entered.alias("a").join(entered.alias("b"), told)
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 

@@ -140,7 +140,9 @@ def test_links_lose_no_pair(spark):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     nodes = spark.createDataFrame([(s,) for s in signed], "fp long")
     for distance in (0, 3, 4, 5):
-        found = {(r.u, r.v) for r in simhash.linked_pairs(nodes, distance).collect()}
+        told = [(r.u, r.v) for r in simhash.linked_pairs(nodes, distance).collect()]
+        found = set(told)
+        assert len(told) == len(found)
         want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for j, b in enumerate(signed) if i < j and bin(prints[i] ^ prints[j]).count("1") <= distance}
         assert found == want
     with pytest.raises(ValueError):
