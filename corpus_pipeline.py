@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from fluxloom.llm.language_id import UNDETERMINED, identify_language, learn_prototypes
 from fluxloom.llm.mixing import mix_sources
 from fluxloom.llm.packing import pack_documents, tokenizer_path
-from fluxloom.llm.simhash import drop_near_duplicates
+from fluxloom.llm.shingles import set_print, similar_groups
+from fluxloom.llm.simhash import drop_all_but_first
 from fluxloom.llm.substring import drop_repeated
 from fluxloom.runtime import ensure_checkpoint_dir, table
 
@@ -32,10 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Five-word shingles, up to five differing bits: on samples this links more of the pairs whose shingles have a Jaccard
-    similarity of 0.8, and fewer of the others, than four words and four bits.
+    Near duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more, compared exactly.
     """
-    return drop_near_duplicates(docs, width=5, max_distance=5)
+    return drop_all_but_first(docs, similar_groups(docs, width=5, percent=80), set_print)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

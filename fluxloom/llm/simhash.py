@@ -18,7 +18,7 @@ columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,8 +139,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable by links)."""
     marked = materialised(fingerprints(docs, id_col, text_col, width))
+    return grouped(marked, linked_pairs(materialised(marked.select("fp").distinct()), max_distance))
+
+
+def grouped(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """Documents (doc_id, fp) with the smallest id that links (u, v) of fingerprints reach."""
     nodes = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = components(linked_pairs(nodes, max_distance))
+    groups = components(links)
     members = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "root", "first_id")
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     told = nodes.join(members.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
@@ -154,7 +159,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat a kept id are one document. Of the rows without an id one for each fingerprint stays, if no row of
     its group has an id.
     """
-    groups = materialised(near_duplicates(docs, id_col, text_col, width, max_distance))
+    return drop_all_but_first(docs, near_duplicates(docs, id_col, text_col, width, max_distance), lambda t: f"{simhash(t, width):016x}", id_col, text_col)
+
+
+def drop_all_but_first(docs: DataFrame, groups: DataFrame, fingerprint: Callable[[str | None], str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but one document of each of ``groups``; ``fingerprint`` gives a text its fingerprint there."""
+    groups = materialised(groups)
     gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     again = groups.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
@@ -165,7 +175,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def marked(batches: Iterator[list[list]]) -> Iterator[dict]:
         for (texts,) in batches:
-            yield {"_fp": [f"{simhash(t, width):016x}" for t in texts]}
+            yield {"_fp": [fingerprint(t) for t in texts]}
 
     repeated = add_columns(kept.join(again, same, "left_semi"), [text_col], marked, "_fp string")
     led = groups.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("fingerprint").alias("_led")).distinct()
