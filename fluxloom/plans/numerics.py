@@ -160,7 +160,7 @@ def smote(spark, sf_dir):
 
 @query()
 def tsne_embed(spark, sf_dir):
-    return V.tsne(_vectors(spark, sf_dir), rows=500, perplexity=30)
+    return V.tsne(_vectors(spark, sf_dir))
 
 
 def _classified(spark, sf_dir, make, **params):
