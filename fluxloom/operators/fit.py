@@ -186,12 +186,15 @@ def reconstruct_fits(obs: DataFrame, fits: DataFrame, model: str, points: int =
     return grid.select(key, "filter", "grid_ix", "mjd", MODELS[model][1](F.col("mjd"), {n: F.col("_p")[i] for i, n in enumerate(names)}).alias("flux"))
 
 
-def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", shifts: Sequence[float] = tuple(range(-10, 31, 2)), stretches: Sequence[float] = (0.8, 1.0, 1.25)) -> DataFrame:
+def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", shifts: Sequence[float] | None = None, stretches: Sequence[float] = (0.5, 0.63, 0.8, 1.0, 1.25, 1.6, 2.0), sampler: str = "leastsq", seed: int = 0) -> DataFrame:
     """The best template (name, filter, phase, flux) for each object: template, t0, stretch, amplitude, chisq, status.
 
-    For every template, start and stretch the amplitude has a closed form; the least chi-square wins. Templates are
-    model inputs of bounded size and are sent to the workers.
+    For a template, start and stretch the amplitude has a closed form. The starts, two days apart, cover all at which the
+    template meets the object's own times, unless ``shifts`` are given; each template's best start and stretch are then
+    refined by ``sampler`` (leastsq, mcmc or nested) and the least chi-square wins. Templates are model inputs of bounded
+    size and are sent to the workers.
     """
+    run = SAMPLERS[sampler]
     rows = templates.select("name", "filter", "phase", "flux").limit(1_000_001).toPandas()
     if len(rows) > 1_000_000:
         raise ValueError("more than a million template points")
@@ -203,18 +206,38 @@ def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", s
         t, y, e, band = (pdf[c].to_numpy() for c in ("mjd", "flux", "flux_error", "filter"))
         best = None
         for name, bands in sorted(table.items()):
-            for t0 in shifts:
-                for s in stretches:
-                    m = np.zeros(len(t))
-                    for f, (x, v) in bands.items():
-                        at = band == f
-                        m[at] = np.interp((t[at] - t0) / s, x, v, left=0.0, right=0.0)
-                    norm = float(np.sum((m / e) ** 2))
-                    if norm > 0:
-                        a = max(0.0, float(np.sum(m * y / e**2)) / norm)
+
+            def model(p: np.ndarray) -> tuple[float, np.ndarray]:
+                m = np.zeros(len(t))
+                for f, (x, v) in bands.items():  # noqa: B023
+                    at = band == f
+                    m[at] = np.interp((t[at] - p[0]) / p[1], x, v, left=0.0, right=0.0)
+                norm = float(np.sum((m / e) ** 2))
+                return (max(0.0, float(np.sum(m * y / e**2)) / norm) if norm > 0 else 0.0), m
+
+            def curve(_, p: np.ndarray) -> np.ndarray:
+                a, m = model(p)  # noqa: B023
+                return a * m
+
+            phases = np.concatenate([x for x, _ in bands.values()])
+            first = None
+            for s in stretches:
+                reach = (t.min() - phases.max() * s, t.max() - phases.min() * s) if len(t) else (0.0, 0.0)
+                for t0 in shifts if shifts is not None else np.arange(reach[0], reach[1] + 2, 2.0):
+                    a, m = model((t0, s))
+                    if m.any():
                         c = float(np.sum(((y - a * m) / e) ** 2))
-                        if best is None or c < best[4]:
-                            best = (name, float(t0), float(s), a, c)
+                        if first is None or c < first[2]:
+                            first = (float(t0), float(s), c)
+            if first is None:
+                continue
+            start = np.array(first[:2])
+            low, high = np.array([start[0] - 4, start[1] / 1.6]), np.array([start[0] + 4, start[1] * 1.6])
+            found, c = run(curve, t, y, e, start, low, high, 1, _seed(seed, pdf[key].iloc[0], name))
+            if c > first[2]:
+                found, c = start, first[2]
+            if best is None or c < best[4]:
+                best = (name, float(found[0]), float(found[1]), model(found)[0], float(c))
         row = best or (None, None, None, None, None)
         return pd.DataFrame([(pdf[key].iloc[0] if len(pdf) else None, *row, len(t), "ok" if best else "no template fits")], columns=[key, "template", "t0", "stretch", "amplitude", "chisq", "n_points", "status"]) if len(pdf) else pd.DataFrame(columns=[key, "template", "t0", "stretch", "amplitude", "chisq", "n_points", "status"])
 
