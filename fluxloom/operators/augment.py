@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators.fit import _seed
 from fluxloom.operators.gp import condition, fit_2d, kernel_2d
-from fluxloom.runtime import dealt
+from fluxloom.runtime import dealt, materialised
 from fluxloom.schema import LSST, PASSBANDS
 
 
@@ -262,32 +262,61 @@ def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str =
 def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features", borderline: bool = False) -> DataFrame:
     """Synthetic rows that bring every class to the size of the largest: (key, label, features, original_event).
 
-    Each is a random point between a row and one of its ``k`` nearest in the class. Classes are dealt into cells of about
-    2048 rows by hash and neighbours are sought within a cell. With ``borderline`` rows are preferred that
-    have neighbours further away.
+    Each is a random point between a row and one of its ``k`` nearest in the class. Every row meets every block of about
+    2048 rows of its class, each block gives its ``k`` nearest, and the nearest of these count: whatever the class's size
+    they are exact. With ``borderline`` rows are preferred that have neighbours further away.
     """
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_need", F.max("_n").over(W.partitionBy()) - F.col("_n")).withColumn("_cells", F.ceil(F.col("_n") / 2048).cast("int"))
-    data = rows.join(F.broadcast(sizes.limit(100_000)), label).where("_need > 0")
-    data = data.withColumn("_cell", F.pmod(F.xxhash64(key), F.col("_cells"))).select(F.col(key).cast("string").alias("id"), label, column, "_cell", "_n", "_need")
+    data = rows.join(sizes, rows[label].eqNullSafe(sizes[label])).drop(sizes[label]).where("_need > 0")
+    data = data.select(F.col(key).cast("string").alias("id"), label, F.col(column).cast("array<double>").alias("x"), "_n", "_need", "_cells")
+    # rows that repeat an id are rows of their own
+    order = F.row_number().over(W.partitionBy(label, "id").orderBy("x"))
+    data = materialised(data.withColumn("copy", order).withColumn("_cell", F.pmod(F.xxhash64("id", "copy"), F.col("_cells")).cast("int")))
     kind = dict(rows.dtypes)[label]
+    cells = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
+    # blocks of askers meet blocks of the class: no task holds more than two blocks
+    ask = data.select(label, F.col("_cell").alias("_ask"), cells.alias("_met"), "id", "copy", "x")
+    known = data.select(F.col(label).alias("_kl"), cells.alias("_ka"), F.col("_cell").alias("_km"), F.col("id").alias("other"), F.col("copy").alias("other_copy"), F.col("x").alias("y"))
+
+    def nearest(asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        out = {label: [], "id": [], "copy": [], "other": [], "other_copy": [], "d": [], "y": []}
+        if len(asked) and len(met):
+            met = met.sort_values(["other", "other_copy"])
+            x, ids, copies = np.stack(met["y"].to_numpy()), met["other"].to_numpy(), met["other_copy"].to_numpy()
+            for c, i, n, q in zip(asked[label], asked["id"], asked["copy"], asked["x"], strict=True):
+                d = ((x - q) ** 2).sum(axis=1)
+                d[(ids == i) & (copies == n)] = np.inf
+                at = [j for j in np.argsort(d, kind="stable")[:k] if d[j] < np.inf]
+                for name, values in ((label, [c] * len(at)), ("id", [i] * len(at)), ("copy", [n] * len(at)), ("other", ids[at]), ("other_copy", copies[at]), ("d", d[at]), ("y", x[at])):
+                    out[name] += list(values)
+        return pd.DataFrame(out)
+
+    found = ask.groupBy(label, "_ask", "_met").cogroup(known.groupBy("_kl", "_ka", "_km")).applyInPandas(nearest, f"{label} {kind}, id string, copy int, other string, other_copy int, d double, y array<double>")
+    found = found.withColumn("_r", F.row_number().over(W.partitionBy(label, "id", "copy").orderBy("d", "other", "other_copy"))).where(F.col("_r") <= k)
+    lists = found.groupBy(F.col(label).alias("_l"), F.col("id").alias("_i"), F.col("copy").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("_r", "d", "y"))).alias("near"), F.avg(F.sqrt("d")).alias("far"))
+    data = data.join(lists, data[label].eqNullSafe(F.col("_l")) & (data["id"] == F.col("_i")) & (data["copy"] == F.col("_c")), "left")
+    far = data.groupBy(F.col(label).alias("_fl")).agg(F.sum("far").alias("_all"))
+    # rows draw their share of what the class needs; shares add up to it exactly, as rounded running sums over cells
+    share = F.col("far") / F.col("_all") if borderline else F.lit(None).cast("double")
+    data = data.join(far, data[label].eqNullSafe(F.col("_fl")), "left").withColumn("_share", F.coalesce(F.when(F.col("_all") > 0, share), 1 / F.col("_n")))
+    parts = data.groupBy(label, "_cell").agg(F.sum("_share").alias("_s"), F.first("_need").alias("_w"))
+    run = F.sum("_s").over(W.partitionBy(label).orderBy("_cell"))
+    last = F.lead("_cell").over(W.partitionBy(label).orderBy("_cell")).isNull()
+    parts = parts.withColumn("_to", F.when(last, F.col("_w")).otherwise(F.least("_w", F.round(run * F.col("_w")).cast("long"))))
+    parts = parts.withColumn("_want", F.col("_to") - F.coalesce(F.lag("_to").over(W.partitionBy(label).orderBy("_cell")), F.lit(0)))
+    parts = parts.select(F.col(label).alias("_pl"), F.col("_cell").alias("_pc"), "_want")
+    data = data.join(parts, data[label].eqNullSafe(F.col("_pl")) & (data["_cell"] == F.col("_pc"))).select(label, "_cell", "id", "copy", "x", "near", "_share", "_want")
 
     def made(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, ids = np.stack(pdf[column].to_numpy()), pdf["id"].tolist()
+        pdf = pdf.sort_values(["id", "copy"])
+        x, ids, near = np.stack(pdf["x"].to_numpy()), pdf["id"].tolist(), pdf["near"].tolist()
         rng = np.random.default_rng(_seed(seed, pdf[label].iloc[0], pdf["_cell"].iloc[0]))
-        want = int(round(pdf["_need"].iloc[0] * len(pdf) / pdf["_n"].iloc[0]))
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(x) <= 2500 else None
-        d = d if d is not None else np.array([((x - q) ** 2).sum(axis=1) for q in x])
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
-        weights = None
-        if borderline and near.shape[1]:
-            far = np.sqrt(np.take_along_axis(d, near, 1)).mean(axis=1)
-            weights = far / far.sum() if far.sum() else None
-        out = []
-        for i in range(want):
-            at = int(rng.choice(len(x), p=weights))
-            other = x[near[at, rng.integers(near.shape[1])]] if near.shape[1] else x[at]
+        weights, out = pdf["_share"].to_numpy(float), []
+        for i in range(int(pdf["_want"].iloc[0])):
+            at = int(rng.choice(len(x), p=weights / weights.sum()))
+            others = near[at] if near[at] is not None else []
+            other = np.asarray(others[rng.integers(len(others))]["y"], float) if len(others) else x[at]
             out.append((f"{ids[at]}_syn{pdf['_cell'].iloc[0]}_{i}", pdf[label].iloc[0], (x[at] + rng.random() * (other - x[at])).tolist(), ids[at]))
         return pd.DataFrame(out, columns=[key, label, column, "original_event"])
 
