@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,27 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a frame of a few numbers each that may be broadcast: some tens of MB as Spark holds them.
+BROADCAST_ROWS = 1 << 20
+
+
+def broadcast_if_small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``written``, the result of ``materialised``, marked for broadcast where it has at most ``rows`` rows.
+
+    Beyond that it is left to a shuffled join.
+    """
+    return F.broadcast(written) if written.count() <= rows else written.hint("merge")
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and checkpoints of frames that are no longer referred to.
+
+    For loops that write frames round by round; else they stay until the driver happens to collect garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hashed by ``keys`` over all shuffle partitions.
 
