@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from fluxloom.llm import chat, code_search, language_id, mixing, order_minhash, packing, quality, simhash, substring, url_filter
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_quality": quality.op9_quality,
         "op10_substring_dedup": substring.op10_substring_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
