@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,30 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Frames written as Parquet to a folder beside the checkpoints, for loops: ``remove`` drops the folder.
+
+    A frame that is read back has the size of its files. One that is checkpointed keeps the size estimated for its plan, and
+    in a loop of joins estimates multiply from round to round until planning itself is slow.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.count = spark, 0
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        df.write.parquet(f"{self.folder}/{self.count}")
+        return self.spark.read.parquet(f"{self.folder}/{self.count}")
+
+    def remove(self, but_last: bool = False) -> None:
+        last = self.count if but_last else self.count + 1
+        for path in [f"{self.folder}/{i}" for i in range(1, last)] + ([] if but_last else [self.folder]):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of a frame of a few numbers each that may be broadcast: some tens of MB as Spark holds them.
 BROADCAST_ROWS = 1 << 20
 
