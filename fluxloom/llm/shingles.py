@@ -1,18 +1,26 @@
-"""Near-duplicate groups by the exact Jaccard similarity of shingle sets.
+"""Near-duplicate groups by the exact Jaccard similarity of shingle sets, on top of SimHash links.
 
-Two texts are linked where their sets of shingles of ``width`` words have a similarity of at least ``similarity``; no
+Two texts are linked where their sets of shingles of ``width`` words have a similarity of at least ``percent``; no
 such pair is lost and no other is linked. Shingles are told apart by 64-bit hashes, as are whole sets.
 
-If two sets are that similar, the first ``n - ceil(similarity * n) + 1`` shingles of either, in one order for all sets,
-have a shingle in common. The order puts rare shingles first: those that a sample of the texts finds in several come
-last, by how many it finds. The sample decides what is compared, not what is linked.
+Candidates come in rounds. The first takes the pairs of SimHash fingerprints of the sets that the segment-popcount grid of
+``simhash`` finds within 5 bits, and sets of one fingerprint; this links most near copies. But a similarity of 0.8 leaves
+fingerprints about 10 bits apart, where a grid over 64 bits meets nearly everything, so further rounds complete the links.
 
-Sets that share such a shingle are a bucket. Round by round some sets of each bucket, first one, then more, are
-compared with those after them that sizes and places do not exclude, unless links already connect the two. So a large
-group of near copies costs one comparison a copy, and a bucket is left when it is connected or all its pairs are compared.
+If two sets are that similar, the first ``n - ceil(percent * n / 100) + 1`` shingles of either, in one order for all sets,
+have a shingle in common. The order puts rare shingles first: those that a sample of the texts finds in several come
+last, by how many it finds. The sample decides what is compared, not what is linked. Sets that share such a shingle are a
+bucket. Round by round some sets of each bucket, first one, then more, are candidates with those after them that sizes
+and places do not exclude, unless links already connect the two. So a large group of near copies costs one comparison a
+copy, and a bucket is left when it is connected or all its pairs are compared.
 
 Before two sets are fetched, their parities are compared: 1024 bits, of which a shingle turns one over. Sets that differ in
 ``d`` shingles differ in at most ``d`` of these bits, so this too loses no pair. Sets are then made again from the texts.
+
+Defined cases: null and empty texts and those without words have the empty set and are copies of each other; shorter texts
+are one shingle; null ids are passed over when the smallest id is sought; rows that repeat an id are judged text by
+text; very long texts are one row each; an empty table gives an empty result; extra columns are ignored by
+``similar_groups`` and kept, with their values, by ``drop_similar``.
 """
 
 from __future__ import annotations
@@ -27,10 +35,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.llm.arrow import map_batches
-from fluxloom.llm.simhash import components, grouped
+from fluxloom.llm.simhash import components, drop_all_but_first, grouped, linked_pairs, shown
 from fluxloom.llm.substring import rolling
 from fluxloom.llm.words import utf8
-from fluxloom.runtime import materialised
+from fluxloom.runtime import broadcast_if_small, materialised, released
 
 _SAMPLED, _SEEN, _LISTED = 16, 4, 1 << 20
 
@@ -64,6 +72,15 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _simhash(shingles: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes; the empty set's is 0."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(shingles), 1 << 16):
+        part = shingles[start : start + (1 << 16)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def _sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """(fp, shingles): the sets of the hashes in ``asked`` (fp, doc_id), made from a document that has each."""
 
@@ -72,12 +89,25 @@ def _sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
             yield {"fp": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]}
 
-    wanted = docs.join(asked.select("doc_id").distinct().withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return map_batches(wanted.select("text"), hashed, "fp long, shingles array<long>").join(asked, "fp", "left_semi").dropDuplicates(["fp"])
+    ids = broadcast_if_small(materialised(asked.select(F.col("doc_id").alias("_id")).distinct()))
+    wanted = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return map_batches(wanted.select("text"), hashed, "fp long, shingles array<long>").join(broadcast_if_small(asked), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _verified(docs: DataFrame, known: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the candidates (u, v) that are similar: by their parities first, then by their sets."""
+    met = met.join(known.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("bits").alias("x")), "u").join(known.select(F.col("fp").alias("v"), "n", F.col("bits").alias("y")), "v")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d).cast("long")
+    pairs = materialised(met.where(differ * (100 + percent) <= (F.col("m") + F.col("n")).cast("long") * (100 - percent)).select("u", "v"))
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(known, "fp").select("fp", "doc_id")
+    sets = materialised(_sets(docs, materialised(asked), width))
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")).cast("long") * percent).select("u", "v")
 
 
 def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, fp, n, bits, first): a set's hash, size and parities, and the shingles it cannot be similar without."""
+    """(doc_id, fp, n, sim, bits, first): a set's hash, size, SimHash and parities, and the shingles it cannot be similar without."""
     spread = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -93,9 +123,9 @@ def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     seen = np.where(hashes[at] == s, counts[at], 0)
                 order = np.argsort(seen, kind="stable")
                 first.append(s[order[: len(s) + (-percent * len(s)) // 100 + 1]].view(np.int64) if len(s) else s.view(np.int64))
-            yield {"doc_id": batch.column(0), "fp": prints.view(np.int64), "n": [len(s) for s in sets], "bits": [_parities(s) for s in sets], "first": first}
+            yield {"doc_id": batch.column(0), "fp": prints.view(np.int64), "n": [len(s) for s in sets], "sim": [_simhash(s) for s in sets], "bits": [_parities(s) for s in sets], "first": first}
 
-    return map_batches(docs, marked, "doc_id long, fp long, n int, bits array<long>, first array<long>")
+    return map_batches(docs, marked, "doc_id long, fp long, n int, sim long, bits array<long>, first array<long>")
 
 
 def _buckets(marked: DataFrame) -> DataFrame:
@@ -108,43 +138,41 @@ def _buckets(marked: DataFrame) -> DataFrame:
     return met.select("token", "fp", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("place"), "ix")
 
 
+def _seeds(known: DataFrame) -> DataFrame:
+    """Candidates (u, v) by SimHash: sets of one fingerprint, and one set each of fingerprints within 5 bits."""
+    prints = materialised(known.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = known.join(prints, "sim").where("fp > least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    near = linked_pairs(prints.select(F.col("sim").alias("fp")), 5)
+    near = near.join(prints.select(F.col("sim").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("sim").alias("v"), F.col("least").alias("b")), "v")
+    return same.unionAll(near.select("a", "b"))
+
+
 def similar_links(docs: DataFrame, marked: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): links of set hashes at least ``percent`` similar that connect all such pairs."""
-    members = materialised(_buckets(marked).withColumn("root", F.col("fp")))
-    known = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    known = materialised(known.join(members.select("fp").distinct(), "fp", "left_semi"))
-    links, start, step = None, 1, 1
+    known = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bits").alias("bits")))
+    links = materialised(_verified(docs, known, _seeds(known), width, percent))
+    members, start, step = materialised(_buckets(marked)), 1, 1
     # a similar pair passes in the bucket of its first common shingle: what stands after it bounds the intersection
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).cast("long")
     near = rest * (100 + percent) >= (F.col("a.n") + F.col("b.n")).cast("long") * percent
     while True:
-        some, after = members.where(F.col("ix").between(start, start + step - 1)), members.where(F.col("ix") > start)
-        apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.ix") < F.col("b.ix")) & (F.col("a.root") != F.col("b.root")) & near
-        met = some.alias("a").join(after.alias("b"), apart).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
-        met = met.join(known.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("bits").alias("x")), "u").join(known.select(F.col("fp").alias("v"), "n", F.col("bits").alias("y")), "v")
-        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d).cast("long")
-        pairs = materialised(met.where(differ * (100 + percent) <= (F.col("m") + F.col("n")).cast("long") * (100 - percent)).select("u", "v"))
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(known, "fp").select("fp", "doc_id")
-        sets = materialised(_sets(docs, materialised(asked), width))
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
-        shared = F.size(F.array_intersect("x", "y")).cast("long")
-        told = both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")).cast("long") * percent).select("u", "v")
-        links = materialised(told if links is None else links.unionAll(told))
-        start, step = start + step, step * 16
-        open_ = members.groupBy("token").agg(F.max("ix").alias("last")).where(F.col("last") > start).select("token")
-        members = members.where(F.col("ix") >= start).join(open_, "token", "left_semi").drop("root")
-        if members.isEmpty():
-            return links
         groups = components(links)
         members = members.join(groups, members["fp"] == groups["node"], "left").select("token", "fp", "n", "place", "ix", F.coalesce("root", "fp").alias("root"))
         mixed = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         members = materialised(members.join(mixed, "token", "left_semi"))
+        released(docs.sparkSession)
         if members.isEmpty():
             return links
+        some, after = members.where(F.col("ix").between(start, start + step - 1)), members.where(F.col("ix") > start)
+        apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.ix") < F.col("b.ix")) & (F.col("a.root") != F.col("b.root")) & near
+        met = some.alias("a").join(after.alias("b"), apart).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+        links = materialised(links.unionAll(_verified(docs, known, met, width, percent)))
+        start, step = start + step, step * 16
+        open_ = members.groupBy("token").agg(F.max("ix").alias("last")).where(F.col("last") > start).select("token")
+        members = members.where(F.col("ix") >= start).join(open_, "token", "left_semi").drop("root")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, fingerprint of its shingle set (16 hex digits), component_id (the smallest id reachable)."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     if not 0 < percent <= 100:
         raise ValueError("the similarity is above 0 and at most 100 per cent")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -152,6 +180,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return grouped(marked.select("doc_id", "fp"), similar_links(docs, marked, width, percent))
 
 
-def set_print(text: str | None, width: int = 5) -> str:
-    """The fingerprint that ``similar_groups`` gives a text."""
-    return f"{xxhash.xxh3_64_intdigest(shingle_set(text, width).tobytes()):016x}"
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, fingerprint of its shingle set (16 hex digits), component_id (the smallest id reachable)."""
+    return shown(_groups(docs, id_col, text_col, width, percent))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but one row of each group: one of the smallest id stays, without an id only if none has one."""
+    return drop_all_but_first(docs, _groups(docs, id_col, text_col, width, percent), lambda t: set_print(t, width), id_col, text_col)
+
+
+def set_print(text: str | None, width: int = 5) -> int:
+    """The hash that a text's set has in ``similar_groups``."""
+    return xxhash.xxh3_64_intdigest(shingle_set(text, width).tobytes())

@@ -2,23 +2,31 @@
 
 A fingerprint has a bit for each of the 64 bits of the shingles' hashes, set where over half of the hashes set it.
 The embedding of a fingerprint counts the bits of its 32 two-bit segments. The Manhattan distance of two embeddings
-is at most the Hamming distance of the fingerprints, so it may prune but never loses a link. If the distance over all
-32 segments is at most 5, one half of the segments is at most 2 apart. Points of the 16-dimensional integer grid that
-are at most 2 apart have a common cell within 1 of both: every fingerprint enters its own cell and the neighbouring
-ones of either half, fingerprints that meet in a cell are candidates, and the exact Hamming distance decides.
+is at most the Hamming distance of the fingerprints, so it may prune but never loses a link.
+
+The segments are dealt into ``m`` parts. Fingerprints at most ``d`` bits apart agree in ``m - d`` parts at least, in
+their counts and in the bits counted. So every fingerprint enters one cell of the grid for each choice of ``m - d``
+parts; fingerprints that meet in a cell are candidates, those whose embeddings over all segments are further apart than
+``d`` are passed over, and the exact Hamming distance decides. ``m`` follows the number of fingerprints: a fingerprint
+of random bits enters ``C(m, d)`` cells and meets ``C(m, d) * 2 ** -(64 * (m - d) / m) * n`` others in them. ``m`` is
+the least for which that is at most 4, so candidates stay flat (``d = 4``: 15 cells up to 7e5 fingerprints, 35 up to
+2e7, 70 up to 2e8, 330 up to 2e10). The choice of ``m`` changes the work, never the links.
 
 Documents with one fingerprint are one node from the start, so copies are never paired. Links are shrunk to spanning
 forests in the tasks that find them and joined into components by alternating star contractions, distributed.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and is linked like any other; texts with
 fewer words than a shingle are one shingle; null ids are passed over when the smallest id is sought, and a component
-of null ids only has a null id; repeated rows are copies of each other; an empty table gives an empty result; extra
-columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+of null ids only has a null id; repeated rows are copies of each other, and rows that repeat an id with other texts are
+judged text by text; an empty table gives an empty result; extra columns are ignored by ``near_duplicates`` and kept,
+with their values, by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.llm.arrow import add_columns, map_batches
-from fluxloom.llm.words import byte_blocks, utf8
-from fluxloom.runtime import materialised, table
+from fluxloom.llm.words import byte_blocks, row_of, utf8
+from fluxloom.runtime import Scratch, broadcast_if_small, materialised, table
 
 
 def simhash(text: str | None, width: int = 4) -> int:
@@ -59,26 +67,49 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), hashed, "doc_id long, fp long")
 
 
-def embedded(half: Column) -> Column:
-    """The counts of the 16 two-bit segments of a 32-bit half, two bits each, in one long."""
-    even = F.lit(0x55555555).cast("long")
-    return half.bitwiseAND(even) + F.shiftrightunsigned(half, 1).bitwiseAND(even)
+def embedded(fp: Column) -> Column:
+    """The counts of the 32 two-bit segments, each as its number of low bits set: 00, 01 or 11.
 
+    The Manhattan distance of two embeddings is the number of bits in which these longs differ.
+    """
+    even, next_ = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(next_).bitwiseAND(even).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_).bitwiseAND(even), 1))
 
-def grid_cells(fp: Column) -> Column:
-    """The cells of both halves that a fingerprint enters: its own and those one step away along one segment.
 
-    A cell is the 32 bits of a half's embedding; bit 33 tells the upper half from the lower. A count is two bits, so
-    it is below 2 where its upper bit is clear and above 0 where either is set.
-    """
-    steps, long = F.lit([1 << 2 * i for i in range(16)]).cast("array<long>"), lambda x: F.lit(x).cast("long")
-    low, high, cells = fp.bitwiseAND(long(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32), []
-    for mark, half in ((0, embedded(low)), (1 << 33, embedded(high))):
-        own = half + long(mark)
-        more = F.filter(steps, lambda s: half.bitwiseAND(s * 2) == 0)  # noqa: B023
-        less = F.filter(steps, lambda s: half.bitwiseAND(s * 3) != 0)  # noqa: B023
-        cells += [F.array(own), F.transform(more, lambda s: own + s), F.transform(less, lambda s: own - s)]  # noqa: B023
-    return F.concat(*cells)
+def part_masks(parts: int) -> list[int]:
+    """The bits of each part, as signed longs: whole segments, as even as they come."""
+    edges = [2 * (32 * i // parts) for i in range(parts + 1)]
+    return [_signed((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def grid_parts(count: int, max_distance: int, candidates: float = 4.0) -> int:
+    """The least number of parts at which ``count`` random fingerprints meet ``candidates`` others each at most."""
+    for parts in range(max_distance + 1, 16):
+        if math.comb(parts, max_distance) * count * 2.0 ** (-64 * (parts - max_distance) / parts) <= candidates:
+            return parts
+    return 16
+
+
+def grid_cells(fp: Column, parts: int, max_distance: int) -> Column:
+    """The cells that a fingerprint enters, one for each choice of the parts that agree."""
+    chosen = [_signed(sum(m & (1 << 64) - 1 for m in c)) for c in combinations(part_masks(parts), parts - max_distance)]
+    return F.transform(F.lit(chosen).cast("array<long>"), lambda m: F.xxhash64(m, fp.bitwiseAND(m)))
+
+
+def _told_cell(a: Column, b: Column, parts: int, max_distance: int) -> Column:
+    """The one cell in which a close pair is told: that of the first parts that agree."""
+    differ, none = a.bitwiseXOR(b), F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).alias("n"))
+
+    def add(held: Column, m: Column) -> Column:
+        agrees = (differ.bitwiseAND(m) == 0) & (held["n"] < parts - max_distance)
+        return F.struct(F.when(agrees, held["mask"].bitwiseOR(m)).otherwise(held["mask"]).alias("mask"), (held["n"] + agrees.cast("int")).alias("n"))
+
+    mask = F.aggregate(F.lit(part_masks(parts)).cast("array<long>"), none, add, lambda held: held["mask"])
+    return F.xxhash64(mask, a.bitwiseAND(mask))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -106,13 +137,13 @@ def linked_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
     """All pairs (u, v) of distinct fingerprints, the column fp of ``nodes``, at most ``max_distance`` bits apart."""
     if not 0 <= max_distance <= 5:
         raise ValueError("the cells cover distances up to 5")
-    entered = nodes.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance
-    # a close pair shares several cells and is told in the least of them only
-    first = F.array_min(F.array_intersect(grid_cells(F.col("a.fp")), grid_cells(F.col("b.fp")))) == F.col("a.cell")
-    told = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & F.when(near, first).otherwise(F.lit(False))
-    pairs = entered.alias("a").join(entered.alias("b"), told)
-    return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    parts = grid_parts(nodes.count(), max_distance)
+    entered = nodes.select("fp", F.explode(grid_cells(F.col("fp"), parts, max_distance)).alias("cell"))
+    a, b = F.col("a.fp"), F.col("b.fp")
+    bound = F.bit_count(embedded(a).bitwiseXOR(embedded(b))) <= max_distance
+    near = F.bit_count(a.bitwiseXOR(b)) <= max_distance
+    told = (F.col("a.cell") == F.col("b.cell")) & (a < b) & F.when(bound & near, _told_cell(a, b, parts, max_distance) == F.col("a.cell")).otherwise(F.lit(False))
+    return entered.alias("a").join(entered.alias("b"), told).select(a.alias("u"), b.alias("v"))
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -123,65 +154,82 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links of longs to (node, root): every linked node with the least node of its component."""
-    edges = materialised(map_batches(links.select("u", "v"), _forest, "u long, v long"))
+    scratch = Scratch(links.sparkSession, "components")
+    edges = scratch.written(map_batches(links.select("u", "v"), _forest, "u long, v long"))
     while not _settled(edges):
         # each node's greater neighbours move to the least of its neighbourhood, then its smaller ones do; the least ones
         # are written first, so that the joins shuffle both sides and a node with very many neighbours can be split
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialised(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = materialised(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = materialised(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = scratch.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = scratch.written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
-        edges = materialised(small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
+        edges = scratch.written(small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
+        scratch.remove(but_last=True)
+    found = materialised(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v"), F.col("v")).distinct()))
+    scratch.remove()
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable by links)."""
+    return shown(_grouped(docs, id_col, text_col, width, max_distance))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_distance: int) -> DataFrame:
     marked = materialised(fingerprints(docs, id_col, text_col, width))
     return grouped(marked, linked_pairs(materialised(marked.select("fp").distinct()), max_distance))
 
 
 def grouped(marked: DataFrame, links: DataFrame) -> DataFrame:
-    """Documents (doc_id, fp) with the smallest id that links (u, v) of fingerprints reach."""
-    nodes = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """Documents (doc_id, fp) with component_id, the smallest id that links (u, v) of fingerprints reach, and leads.
+
+    ``leads`` marks the document that stands for its group: of the smallest id and, where that has several texts, of the
+    least fingerprint. Rows that repeat it all lead.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("fp").alias("of"))).alias("first")
+    nodes = materialised(marked.groupBy("fp").agg(first))
     groups = components(links)
-    members = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "root", "first_id")
-    least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    told = nodes.join(members.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    members = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "root", "first")
+    least = members.groupBy("root").agg(F.min("first").alias("lead"))
+    told = nodes.join(members.join(least, "root").select("fp", "lead"), "fp", "left").select("fp", F.coalesce("lead", "first").alias("lead"))
     told = materialised(told)  # a fresh side for the join, whose fingerprints of many copies can then be split
-    return marked.join(told, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("fp") == F.col("lead.of"))
+    return marked.join(told, "fp").select("doc_id", "fp", F.col("lead.doc_id").alias("component_id"), leads.alias("leads"))
+
+
+def shown(groups: DataFrame) -> DataFrame:
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the smallest id stays.
+    """``docs`` without all but one row of each group: one of the smallest id stays, without an id only if none has one."""
+    return drop_all_but_first(docs, _grouped(docs, id_col, text_col, width, max_distance), lambda t: simhash(t, width), id_col, text_col)
 
-    Rows that repeat a kept id are one document. Of the rows without an id one for each fingerprint stays, if no row of
-    its group has an id.
-    """
-    return drop_all_but_first(docs, near_duplicates(docs, id_col, text_col, width, max_distance), lambda t: f"{simhash(t, width):016x}", id_col, text_col)
 
+def drop_all_but_first(docs: DataFrame, groups: DataFrame, fingerprint: Callable[[str | None], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but one row of each of ``groups`` (see ``grouped``); ``fingerprint`` gives a text its fingerprint there.
 
-def drop_all_but_first(docs: DataFrame, groups: DataFrame, fingerprint: Callable[[str | None], str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one document of each of ``groups``; ``fingerprint`` gives a text its fingerprint there."""
-    groups = materialised(groups)
-    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    again = groups.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    again = materialised(again.where("_rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again")))
-    if again.isEmpty():
+    Rows go by id, so their texts are not shuffled. Only ids that stand on several rows, or on none, are told apart by
+    fingerprint; of the rows that lead a group the first by all its columns stays.
+    """
+    by_id = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("leads").alias("led"))
+    told = materialised(by_id.where("rows > led OR rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_told"), (F.col("led") > 0).alias("_some")))
+    rows, same = row_of(docs, id_col, text_col), F.col("_id").eqNullSafe(F.col("_told"))
+    kept = rows.join(broadcast_if_small(told), same, "left_anti").select("_row.*")
+    some = materialised(told.where("_some").select("_told"))
+    if some.isEmpty():
         return kept
-    same = docs[id_col].eqNullSafe(again["_again"])
 
     def marked(batches: Iterator[list[list]]) -> Iterator[dict]:
         for (texts,) in batches:
-            yield {"_fp": [fingerprint(t) for t in texts]}
+            yield {"_fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
-    repeated = add_columns(kept.join(again, same, "left_semi"), [text_col], marked, "_fp string")
-    led = groups.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("fingerprint").alias("_led")).distinct()
-    named = repeated.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    nameless = repeated.where(F.col(id_col).isNull()).join(led, F.col("_fp") == F.col("_led"), "left_anti").dropDuplicates(["_fp"])
-    return kept.join(again, same, "left_anti").unionByName(named.unionByName(nameless).drop("_fp"))
+    again = add_columns(rows.join(broadcast_if_small(some), same, "left_semi"), ["_text"], marked, "_fp long")
+    leading = materialised(groups.where("leads").select(F.col("doc_id").alias("_lead"), F.col("fp").alias("_of")).distinct())
+    again = again.join(leading, F.col("_id").eqNullSafe(F.col("_lead")) & (F.col("_fp") == F.col("_of")), "left_semi")
+    one = again.groupBy("_id", "_fp").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

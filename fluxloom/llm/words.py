@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the five ASCII controls from tab to carriage return.
@@ -34,3 +34,11 @@ def byte_blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
             end += 1
         yield data[start:end]
         start = end
+
+
+def row_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, _id, _text): each row as one struct beside its id as a long and its text.
+
+    So an operator's own columns cannot clash with those of ``docs``; ``select("_row.*")`` brings these back.
+    """
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
