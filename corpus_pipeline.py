@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from fluxloom.llm.language_id import UNDETERMINED, identify_language, learn_prototypes
 from fluxloom.llm.mixing import mix_sources
 from fluxloom.llm.packing import pack_documents, tokenizer_path
-from fluxloom.llm.shingles import set_print, similar_groups
-from fluxloom.llm.simhash import drop_all_but_first
+from fluxloom.llm.shingles import drop_similar
 from fluxloom.llm.substring import drop_repeated
 from fluxloom.runtime import ensure_checkpoint_dir, table
 
@@ -33,9 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Near duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more, compared exactly.
+    SimHash links near copies, shared rare shingles the other near duplicates: texts whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more, compared exactly.
     """
-    return drop_all_but_first(docs, similar_groups(docs, width=5, percent=80), set_print)
+    return drop_similar(docs, width=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
