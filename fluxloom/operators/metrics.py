@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxloom.ordering import ranked
 
 def _tallies(rows: DataFrame, thresholds: Sequence[float], strict: bool, by: Sequence[str]) -> DataFrame:
     """(by, t, threshold, tp, fp, fn, tn) for every threshold, from one pass.
@@ -18,7 +19,8 @@ def _tallies(rows: DataFrame, thresholds: Sequence[float], strict: bool, by: Seq
     counts at every threshold.
     """
     ladder = F.array(*[F.lit(float(t)) for t in thresholds])
-    passed = F.size(F.filter(ladder, lambda t: (F.col("probability") > t) if strict else (F.col("probability") >= t)))
+    # the probability is bound once for a row; inside the inner lambda its expression would run for every threshold
+    passed = F.transform(F.array("probability"), lambda p: F.size(F.filter(ladder, lambda t: (p > t) if strict else (p >= t))))[0]
     steps = rows.groupBy(*by, passed.alias("_step")).agg(F.count_if("positive").alias("_p"), F.count_if(~F.col("positive")).alias("_n"))
     groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
     spine = groups.select(*by, F.posexplode(ladder).alias("t", "threshold"))
@@ -117,10 +119,24 @@ def precision_by_bin(rows: DataFrame, value: str, edges: Sequence[float]) -> Dat
 
 
 def percentile_interval(rows: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
-    """(by, low, high): the central interval of a value, interpolated linearly."""
-    tail = (1 - level) / 2
-    ends = F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail)))
-    return (rows.groupBy(*by) if by else rows).agg(ends.alias("_e")).select(*by, F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))
+    """(by, low, high): the central interval of a value, interpolated linearly.
+
+    Values are ranked over all partitions and those beside the two places are read, so no task holds a group's values.
+    """
+    tail, keys = (1 - level) / 2, list(by)
+    held = ranked(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), keys, [F.col("_v")])
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+
+    def end(share: float) -> Column:
+        """Each value's weight is how near it is to the place, within one."""
+        near = F.greatest(1 - F.abs(F.col("_r") - (F.col("_n") - 1) * share), F.lit(0.0))
+        return F.sum(F.when(near > 0, near * F.col("_v")))
+
+    joined = held.join(F.broadcast(sizes), same) if not keys else held.join(sizes, same)
+    return (joined.groupBy(*keys) if keys else joined).agg(end(tail).alias("low"), end(1 - tail).alias("high"))
 
 
 def bootstrap_interval(rows: DataFrame, value: str, edges: Sequence[float], label: str, resamples: int = 300, seed: int = 0, level: float = 0.95) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxloom.ordering import ranked
 from fluxloom.schema import LightCurves
 
 
@@ -66,8 +66,8 @@ def random_subset(objects: DataFrame, n: int, seed: int, key: str = "object_id")
 def balanced(objects: DataFrame, seed: int, key: str = "object_id", label: str = "target") -> DataFrame:
     """Every class cut at random to the size of the smallest."""
     sizes = objects.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
-    ranked = objects.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(seeded_order(key, seed), key)))
-    return ranked.join(F.broadcast(sizes)).where("_r <= _least").drop("_r", "_least")
+    least = sizes.first()[0] or 0
+    return ranked(objects, [label], [seeded_order(key, seed), F.col(key)]).where(F.col("_r") < least).drop("_r")
 
 
 def augmentation_quota(objects: DataFrame, seed: int, key: str = "object_id", label: str = "target") -> DataFrame:
@@ -78,21 +78,19 @@ def augmentation_quota(objects: DataFrame, seed: int, key: str = "object_id", la
     sizes = objects.groupBy(label).agg(F.count("*").alias("_n"))
     whole = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))
     sizes = sizes.join(F.broadcast(whole)).withColumn("_need", F.greatest(F.expr("(2 * _all) div _classes - _n"), F.lit(0)))
-    rows = objects.join(sizes, label).withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(seeded_order(key, seed), key)))
-    return rows.select(key, label, (F.expr("_need div _n") + (F.col("_r") <= F.col("_need") % F.col("_n")).cast("long")).alias("n_copies"))
+    rows = ranked(objects.select(key, label), [label], [seeded_order(key, seed), F.col(key)]).join(sizes, label)
+    return rows.select(key, label, (F.expr("_need div _n") + (F.col("_r") < F.col("_need") % F.col("_n")).cast("long")).alias("n_copies"))
 
 
 def train_test_bucket(objects: DataFrame, n: int, key: str = "object_id", type_col: str = "sntype") -> DataFrame:
     """split (train below type 100) and the bucket of each object's place in its split."""
     split = F.when(F.col(type_col) < 100, "train").otherwise("test")
-    place = F.row_number().over(W.partitionBy("split").orderBy(key)) - 1
-    return objects.withColumn("split", split).withColumn("bucket", (place % n).cast("int"))
+    return ranked(objects.withColumn("split", split), ["split"], [F.col(key)]).withColumn("bucket", (F.col("_r") % n).cast("int")).drop("_r")
 
 
 def stratified_folds(objects: DataFrame, k: int, seed: int, key: str = "object_id", label: str = "target") -> DataFrame:
     """(…, fold): objects of each class dealt at random over ``k`` folds."""
-    place = F.row_number().over(W.partitionBy(label).orderBy(seeded_order(key, seed), key)) - 1
-    return objects.withColumn("fold", (place % k).cast("int"))
+    return ranked(objects, [label], [seeded_order(key, seed), F.col(key)]).withColumn("fold", (F.col("_r") % k).cast("int")).drop("_r")
 
 
 def grouped_folds(objects: DataFrame, k: int, seed: int, key: str = "object_id", label: str = "target", parent: str = "original_event") -> DataFrame:
