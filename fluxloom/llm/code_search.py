@@ -7,13 +7,15 @@ nearly as long as the logarithm of the number of distinct codes, so a value hold
 so far bounds what later rounds bring it.
 
 Rows with one code are one entry of the index. It holds their ``k + 1`` smallest ids, which is exact: of rows at one
-distance the smaller ids come first, and one more is enough where the query itself is passed over. Queries with one
-code are searched once. Hot codes are reduced in salted steps.
+distance the smaller ids come first, and one more is enough where the query itself is passed over (where an id stands on
+several codes, as many more as it has codes). Queries with one code are searched once. Codes of very many rows, and
+queries of very many candidates, are reduced in salted steps.
 
 Defined cases: rows with a null vector have no code, are not found and find nothing; null elements count as not
 positive; vectors of other lengths than the code's are cut or filled with zero bits; of equal distances the smaller id
-comes first; a row is never its own neighbour but rows that repeat its id are; null ids are passed over; with fewer than ``k``
-other rows all are returned; an empty table gives an empty result; extra columns are ignored.
+comes first; a row is never its own neighbour, nor are rows that repeat its id; rows that repeat an id and a code are one;
+null ids are passed over; with fewer than ``k`` other rows all are returned; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.runtime import materialised, table
 
-_BITS, _SALTS = 64, 64
+_BITS, _SALTS, _ABOVE = 64, 64, 40
 
 
 def sign_code(vector: Column) -> Column:
@@ -41,7 +43,7 @@ def sign_code(vector: Column) -> Column:
 
 def _segments(count: int) -> list[tuple[int, int]]:
     """(shift, width) of the segments for ``count`` distinct codes."""
-    width = min(16, max(4, round(math.log2(max(2, count))) - 2))
+    width = min(32, max(4, round(math.log2(max(2, count))) - 2))
     pieces = math.ceil(_BITS / width)
     edges = [_BITS * i // pieces for i in range(pieces + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -49,28 +51,27 @@ def _segments(count: int) -> list[tuple[int, int]]:
 
 def _keys(code: Column, segments: list[tuple[int, int]]) -> list[Column]:
     """One number for each segment: its value with its place above."""
-    return [F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + F.lit(i << 20).cast("long") for i, (shift, width) in enumerate(segments)]
+    return [F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + F.lit(i << _ABOVE).cast("long") for i, (shift, width) in enumerate(segments)]
 
 
-def _least_ids(rows: DataFrame, keep: int) -> DataFrame:
-    """(code, ids): the ``keep`` smallest ids of each code, ascending."""
-    ranked = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
-    by_salt, by_code = W.partitionBy("code", "salt").orderBy("id"), W.partitionBy("code").orderBy("id")
-    few = ranked.withColumn("n", F.row_number().over(by_salt)).where(F.col("n") <= keep).drop("n", "salt")
-    few = few.withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= keep)
-    return few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+def _first(rows: DataFrame, by: str, order: list[str], keep: int) -> DataFrame:
+    """The first ``keep`` rows of each value of ``by``, taken by salt first."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    few = salted.withColumn("n", F.row_number().over(W.partitionBy(by, "salt").orderBy(*order))).where(F.col("n") <= keep).drop("n", "salt")
+    return few.withColumn("n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("n") <= keep).drop("n")
 
 
 def top_k_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(id, code) rows and queries to (query_id, rank, neighbor_id, distance), ``k`` per query."""
-    index = materialised(_least_ids(rows.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code"), k + 1))
+    pairs = materialised(rows.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct())
+    keep = k + (pairs.groupBy("id").agg(F.count("*").alias("codes")).agg(F.max("codes")).first()[0] or 1)
+    index = materialised(_first(pairs, "code", ["id"], keep).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     count, total = index.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     segments = _segments(count)
     entries = materialised(index.select("code", "ids", F.explode(F.array(*_keys(F.col("code"), segments))).alias("key")))
-    asked = queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("q"))
+    asked = queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct()
     active = materialised(asked.select("q").distinct().withColumn("bound", F.lit(_BITS)))
     best, done = None, []
-    order = W.partitionBy("q").orderBy("distance", "id")
     for radius in range(max(w for _, w in segments) + 1):
         probes = []
         for (_, width), key in zip(segments, _keys(F.col("q"), segments), strict=True):
@@ -79,23 +80,23 @@ def top_k_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 probes.append(F.transform(F.lit(masks).cast("array<long>"), key.bitwiseXOR))
         asks = active.select("q", "bound", F.explode(F.flatten(F.array(*probes))).alias("ask"))
         apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        met = asks.join(entries, (F.col("ask") == F.col("key")) & (apart <= F.col("bound"))).select("q", apart.alias("distance"), F.explode("ids").alias("id"))
+        met = asks.join(entries, (F.col("ask") == F.col("key")) & (apart <= F.col("bound"))).select("q", apart.alias("distance"), F.explode("ids").alias("id"), "code")
         met = met if best is None else met.unionByName(best)
-        ranked = materialised(met.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1))
+        ranked = materialised(_first(met.distinct(), "q", ["distance", "id", "code"], keep))
         kth = active.select("q").join(ranked.groupBy("q").agg(F.count("*").alias("found"), F.max("distance").alias("worst")), "q", "left")
         covered = len(segments) * (radius + 1) - 1
-        full = F.coalesce("found", F.lit(0)) >= min(k + 1, total)
-        closed = full & ((F.col("worst") <= covered) | F.lit(total <= k + 1 or covered >= _BITS))
+        full = F.coalesce("found", F.lit(0)) >= min(keep, total)
+        closed = full & ((F.col("worst") <= covered) | F.lit(total <= keep or covered >= _BITS))
         active = materialised(kth.where(~closed).select("q", F.when(full, F.col("worst")).otherwise(F.lit(_BITS)).alias("bound")))
-        best = ranked.join(active, "q", "left_semi").select("q", "distance", "id")
-        done.append(ranked.join(active, "q", "left_anti").select("q", "distance", "id"))
+        best = ranked.join(active, "q", "left_semi").select("q", "distance", "id", "code")
+        done.append(ranked.join(active, "q", "left_anti").select("q", "distance", "id", "code"))
         if active.isEmpty():
             break
-    found = done[0]
-    for more in done[1:]:
+    found = best  # of queries that are still open after the last radius
+    for more in done:
         found = found.unionByName(more)
     joined = asked.join(found, "q").where("id <> query_id")
-    ranked = joined.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    ranked = joined.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id", "code"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))
 
 
