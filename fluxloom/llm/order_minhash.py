@@ -117,18 +117,19 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last quarter of code points replaced by the first as many of the next document's.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select(F.struct("doc_id").alias("key"), "text")
+    # every text is fingerprinted once and shuffled with its fingerprint
+    keyed = with_fingerprint(rows.select(F.struct("doc_id").alias("key"), "text"), "text", "sig")
     ids = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("hash")).groupBy("doc_id").agg(F.max("n").alias("n"), F.min("hash").alias("hash"))
     follows = next_ids(ids).select(F.struct("doc_id").alias("at_key"), F.floor(F.col("n") / 4).cast("int").alias("q"), F.struct(F.col("next_id").alias("doc_id")).alias("next_key"), "next_hash")
     # both joins deal the texts out by the same key, a struct that is equal for null ids too, so they are shuffled once
     found = keyed.join(follows, keyed["key"] == follows["next_key"]).where(F.xxhash64("text").bitwiseXOR(F.col("next_hash")) == 0)
-    found = with_fingerprint(found, "text", "sig").select("at_key", F.substring("text", F.lit(1), F.col("q")).alias("head"), "sig")
+    found = found.select("at_key", F.substring("text", F.lit(1), F.col("q")).alias("head"), "sig")
     heads = found.groupBy("at_key").agg(F.first("head").alias("head"), F.first("sig").alias("next_sig"))
     whole = keyed.join(heads, keyed["key"] == heads["at_key"]).withColumn("n_chars", F.length("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("head", F.lit(1), quarter))
     whole = whole.withColumn("edited", edited).drop("head")
-    whole = with_fingerprint(with_fingerprint(whole, "text", "sig"), "edited", "edited_sig")
+    whole = with_fingerprint(whole, "edited", "edited_sig")
     return whole.select(
         F.col("key.doc_id").alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
