@@ -8,7 +8,7 @@ The trie is broadcast. Rules whose text exceeds ``broadcast_bytes`` are joined i
 rules by an equi-join and the longest fitting rule is kept, with the same results.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the default unless a rule has
-an empty host and path; ports and user names belong to the host as written; repeated rows are judged each; an empty
+an empty host and path; a host that ends in a dot has an empty last label, which no rule without that dot fits; ports and user names belong to the host as written; repeated rows are judged each; an empty
 table gives an empty result; columns named like those added are replaced.
 """
 
@@ -49,11 +49,12 @@ RULES = (
 class _Paths:
     """Rules of one host: full segments lead down, the rest of a rule's path is a prefix of the segment after them."""
 
-    __slots__ = ("down", "tails")
+    __slots__ = ("down", "longest_tail", "tails")
 
     def __init__(self):
         self.down: dict[str, _Paths] = {}
         self.tails: dict[str, tuple[str, str]] = {}
+        self.longest_tail = 0
 
     def add(self, path: str, entry: tuple[str, str]) -> None:
         node = self
@@ -62,12 +63,12 @@ class _Paths:
             node = node.down.setdefault(segment, _Paths())
         if node.tails.get(tail, ("", "allow"))[1] != "block":
             node.tails[tail] = entry
+            node.longest_tail = max(node.longest_tail, len(tail))
 
     def longest(self, path: str) -> tuple[str, str] | None:
         node, found = self, None
-        *full, last = path.split("/")
-        for segment in [*full, last]:
-            for n in range(len(segment), -1, -1) if node.tails else ():
+        for segment in path.split("/"):
+            for n in range(min(len(segment), node.longest_tail), -1, -1) if node.tails else ():
                 if (entry := node.tails.get(segment[:n])) is not None:
                     found = entry
                     break
@@ -113,9 +114,12 @@ def path_of(url: Column) -> Column:
 
 def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], url_col: str = "url", default: str = "allow", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``pages`` with host, path, rule (null where none fits) and verdict."""
-    rows = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
+    added = ("host", "path", "rule", "verdict")
+    row = F.struct(*[pages[c] for c in pages.columns if c not in added or c == url_col]).alias("_row")
+    rows = pages.select(row, host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
+    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c not in added]
     if sum(len(r.text.encode()) + 64 for r in rules) > broadcast_bytes:
-        return _judge_by_join(rows, rules, default)
+        return _judge_by_join(rows, rules, default).select(*kept, *added)
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     @F.pandas_udf("rule string, verdict string")
@@ -124,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], url_col: str = "url",
         found = [look(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
-    return rows.withColumn("_judged", judged("host", "path")).withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    return rows.withColumn("told", judged("host", "path")).select(*kept, "host", "path", "told.rule", "told.verdict")
 
 
 def _judge_by_join(rows: DataFrame, rules: Sequence[UrlRule], default: str) -> DataFrame:
@@ -136,6 +140,8 @@ def _judge_by_join(rows: DataFrame, rules: Sequence[UrlRule], default: str) -> D
     listed = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rule_host string, rule_path string, rule_verdict string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a host that ends in a dot has an empty last label; the empty rule host fits the empty host only
+    suffixes = F.filter(suffixes, lambda x: (x != "") | (F.col("host") == ""))
     keys = rows.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
     fits = keys.join(listed, "rule_host").where(F.expr("startswith(path, rule_path)"))
     best = W.partitionBy("host", "path").orderBy(F.length("rule_host").desc(), F.length("rule_path").desc(), F.col("rule_verdict").desc())
