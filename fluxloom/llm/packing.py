@@ -2,8 +2,8 @@
 
 A document's bytes are hashed by trigram into a vector that is projected to three dimensions. The coordinates,
 standardised over the corpus, are cut into 2^10 steps and become a place on a Hilbert curve; bits of a hash of the id
-follow it, so copies, which share their place, still spread over partitions. Quantiles of these keys cut the curve
-into one piece per partition. Each partition sorts its documents along the curve and lays their tokens end to end;
+follow it, so copies, which share their place, still spread over partitions. Quantiles of these keys, twenty times finer
+than a partition's share, cut the curve into one piece per partition. Each partition sorts its documents along the curve and lays their tokens end to end;
 sequences are cut out of that stream, so neighbours on the curve share sequences. The last stretch of a partition is
 cut into lengths that are powers of two, which need no padding.
 
@@ -11,7 +11,7 @@ A document is tokenized once and its tokens are shuffled once, as 16-bit numbers
 What the driver gathers are the three means and deviations and one key for each partition.
 
 Defined cases: a null text is empty, and an empty text is the end token alone; very long texts are tokenized in
-segments that end where a token must end; copies and repeated rows are packed each; a null id is kept as null; an
+segments that end where a token must end; copies and repeated rows are packed each; a null id is kept as null, and such rows are spread by their number; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -156,8 +156,9 @@ def curve_keys(points: np.ndarray, ties: np.ndarray, mean: np.ndarray, scale: np
     return (place << _TIES) | (ties & ((1 << _TIES) - 1))
 
 
-def _tie(doc_id) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id).encode(), 5)
+def _tie(doc_id, row: int) -> int:
+    """Bits of a hash of the id, or of the row's number where there is none, so that copies spread either way."""
+    return xxhash.xxh64_intdigest(f"row {row}".encode() if doc_id is None else str(doc_id).encode(), 5) & ((1 << _TIES) - 1)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,13 +170,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     if length & (length - 1):
         raise ValueError("the length of a sequence is a power of two")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             points = np.array([coordinates(t) for t in batch.column(1).to_pylist()]).reshape(-1, _DIMENSIONS)
-            ties = [_tie(i) & ((1 << _TIES) - 1) for i in batch.column(0).to_pylist()]
+            ties = [_tie(i, r) for i, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             sizes = [len(utf8(t)) for t in batch.column(1).to_pylist()]
             yield {f"x{k}": points[:, k] for k in range(_DIMENSIONS)} | {"tie": ties, "size": sizes}
 
@@ -192,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
 
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / partitions for i in range(1, partitions)]
-    cuts = map_batches(points, keyed, "key long").agg(F.percentile_approx("key", shares, 10_000)).first()[0] if shares else []
+    cuts = map_batches(points, keyed, "key long").agg(F.percentile_approx("key", shares, max(10_000, 20 * partitions))).first()[0] if shares else []
     cuts = np.array(cuts or [], np.int64)
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -200,9 +201,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                names, texts, at_row = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
                 at = np.array([coordinates(t) for t in texts])
-                keys = curve_keys(at, np.array([_tie(i) & ((1 << _TIES) - 1) for i in names]), mean, scale)
+                keys = curve_keys(at, np.array([_tie(i, r) for i, r in zip(names, at_row, strict=True)]), mean, scale)
                 ids = [np.append(encoder.encode(t), np.uint32(end_id)).astype(encoder.dtype).tobytes() for t in texts]
                 yield {"doc_id": batch.column(0), "key": keys, "part": np.searchsorted(cuts, keys, "left").astype(np.int32), "wide": [encoder.dtype == "<u4"] * len(ids), "ids": ids}
 
