@@ -4,29 +4,35 @@ A window is ``width`` consecutive words. A window of a document goes if its word
 with a smaller id, and a word goes if a window that covers it goes.
 
 Each window has an anchor: of the shorter grams of ``gram`` words inside it, the first with the least hash. Equal
-windows have equal anchors, so a window is found at most as often as its anchor; neighbouring windows mostly share
-one, so there are about twenty times fewer anchors than windows.
+windows have equal anchors, so a window is in at most as many documents as its anchor: what bounds anchors from above
+bounds windows. Neighbouring windows mostly share one, so there are about twenty times fewer anchors than windows.
 
 First pass: every partition builds a count-min sketch of the documents in which its anchors occur, each anchor once a
 document, in ``rows`` rows of ``2 ** bits`` cells. The partitions' sketches are summed cell by cell. A merged cell is
 at least the count of each anchor that falls into it, so anchors with a cell below 2 occur in one document only.
-Only whether a cell reached 2 is kept, one bit each: the broadcast is ``rows * 2 ** bits / 8`` bytes whatever the data.
+``bits`` follows the size of the texts, at least 8 cells a row for an anchor, so that about 1.4 % of the anchors of one
+document pass. Only whether a cell reached 2 is kept, one bit each; that bitmap is broadcast up to ``broadcast_bytes``.
+Beyond, the sketch is a table: one row of 2^62 cells, whose partition sketches are Spark's partial counts, and the anchors
+of cells that reached 2 are joined to their documents. Either way the same windows go.
 
 Second pass: only windows whose anchor is estimated repeated are grouped, exactly. A run of windows that share an
 anchor is one span, named by a 128-bit hash of its words. A span that a smaller document has too goes whole. Only the
 smallest document of each span takes part further: its windows are compared, under their anchor, with those of other
 spans. So a passage that thousands of documents share is compared once. A full sketch means more windows to group,
-never a lost one.
+never a lost one. Documents are told apart by 128 bits of their id and text, so rows that repeat an id, or have none,
+are judged text by text.
 
 Defined cases: a null text has no words; texts of under ``width`` words lose none; windows that repeat only inside
 their document stay; rows that repeat an id do not count as another document for each other; null ids come after all
-others and not before one another; an empty table gives an empty result; extra columns are kept by
-``drop_repeated`` and ignored otherwise; very long texts are held as arrays of word hashes, document by document.
+others and not before one another; an empty table gives an empty result; extra columns are kept with their values by
+``drop_repeated``, and by ``remove_repeated`` but for those named like its own; very long texts are held as arrays of word
+hashes, document by document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,16 +40,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.llm.arrow import add_columns, map_batches
-from fluxloom.llm.words import utf8
+from fluxloom.llm.words import row_of, utf8
 from fluxloom.runtime import materialised, table
 
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK_BITS = 16
-_LAST = (1 << 63) - 1
+_CELLS = 8
+_BYTES = 64
 
 
 @lru_cache(4)
@@ -162,37 +169,69 @@ class RepeatSketch:
         return found
 
 
-def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 12, sketch_rows: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rank_id, gone): for each id whose texts lose windows, the runs of window starts that go.
+def sketch_bits(rows: DataFrame) -> int:
+    """log2 of the cells that a row of the sketch needs: ``_CELLS`` for each ``_BYTES`` bytes of text.
 
-    ``rank_id`` is the document's id, or the largest long for a null id. ``gone`` holds (mark, start, count): a run of
-    ``count`` window starts from ``start`` in the text of the id that has this ``text_mark``.
+    Prose has an anchor for about 145 bytes.
     """
-    if not 0 < gram <= width or bits < 3:
-        raise ValueError("a gram has 1 to width words and a sketch 3 bits or more")
-    spark = docs.sparkSession
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(rank.alias("rank_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(_BLOCK_BITS, math.ceil(math.log2(max(1, _CELLS * size // _BYTES))))
+
+
+def _by_table(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """``rows`` that have flagged anchors, with these: the sketch as a table, for texts beyond a broadcast."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            anchors = [np.unique(Spans(t, width, gram).anchor).astype(np.uint64) for t in batch.column(2).to_pylist()]
+            n = [len(x) for x in anchors]
+            all_ = np.concatenate([np.zeros(0, np.uint64), *anchors])
+            yield {"a": np.repeat(batch.column(0).to_numpy(), n), "b": np.repeat(batch.column(1).to_numpy(), n), "anchor": all_.view(np.int64), "cell": _cells(all_, 0, 62)}
+
+    held = materialised(map_batches(rows.select("key_a", "key_b", "text"), found, "a long, b long, anchor long, cell long"))
+    # rows that repeat an id and a text are one document
+    ends = [f(x).alias(f"{n}_{x}") for x in ("a", "b") for n, f in (("low", F.min), ("high", F.max))]
+    full = materialised(held.groupBy("cell").agg(*ends).where("low_a < high_a OR low_b < high_b").select("cell"))
+    flagged = held.join(full, "cell").groupBy("a", "b").agg(F.collect_set("anchor").alias("flagged"))
+    return rows.join(flagged, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b"))).drop("a", "b")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (see ``row_of``) with rank_id, the id, and key_a and key_b: 128 bits of id and text."""
+    rows = row_of(docs, id_col, text_col)
+    text = F.coalesce("_text", F.lit(""))
+    return rows.select("_row", F.col("_id").alias("rank_id"), F.xxhash64("_id", text).alias("key_a"), F.xxhash64(F.lit(9), text, "_id").alias("key_b"), text.alias("text"))
+
 
-    sketch = RepeatSketch(sketch_rows, bits)
-    for row, block, bitmap in _sketches(rows, width, gram, sketch_rows, bits).toLocalIterator():
-        sketch.fill(row, block, bytes(bitmap))
-    shared = spark.sparkContext.broadcast(sketch)
+def repeated_windows(rows: DataFrame, width: int = 50, gram: int = 12, sketch_rows: int = 2, bits: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Of rows (see ``keyed``): (key_a, key_b, gone), the runs (start, count) of window starts that go from a text."""
+    if not 0 < gram <= width or bits is not None and bits < 3:
+        raise ValueError("a gram has 1 to width words and a sketch 3 bits or more")
+    spark = rows.sparkSession
+    rows = rows.select("rank_id", "key_a", "key_b", "text")
+    bits = sketch_bits(rows) if bits is None else bits
+    if sketch_rows << bits > 8 * broadcast_bytes:
+        shared, rows = None, _by_table(rows, width, gram)
+    else:
+        sketch = RepeatSketch(sketch_rows, bits)
+        for row, block, bitmap in _sketches(rows, width, gram, sketch_rows, bits).toLocalIterator():
+            sketch.fill(row, block, bytes(bitmap))
+        shared, rows = spark.sparkContext.broadcast(sketch), rows.withColumn("flagged", F.lit(None).cast("array<long>"))
 
     def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        least: dict[bytes, int] = {}
+        least: dict[bytes, tuple] = {}
         for whole in batches:
             for offset in range(0, whole.num_rows, 512):
                 batch = whole.slice(offset, 512)
-                out = {k: [] for k in ("rank_id", "anchor", "span_a", "span_b", "at", "count", "more", "windows")}
-                for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                out = {k: [] for k in ("rank_id", "key_a", "key_b", "anchor", "span_a", "span_b", "at", "count", "more", "windows")}
+                for doc, a, b, text, told in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     spans = Spans(text, width, gram)
-                    flagged = np.flatnonzero(shared.value.repeated(spans.anchor.astype(np.uint64)))
+                    anchors = spans.anchor.astype(np.uint64)
+                    flagged = np.flatnonzero(np.isin(anchors.view(np.int64), told) if shared is None else shared.value.repeated(anchors))
                     if not len(flagged):
                         continue
                     windows = rolling(spans.hashes, width).view(np.int64)
-                    mark = text_mark(text)
-                    seen: dict[bytes, int] = {}
+                    rank, seen = (doc is None, doc or 0), {}
                     for k in flagged:
                         name, start, count = spans.name(k), int(spans.first[k]), int(spans.count[k])
                         if name in seen:
@@ -200,89 +239,97 @@ def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 12, sketch_ro
                             out["more"][row] = [*(out["more"][row] or ()), start]
                             continue
                         seen[name] = len(out["at"])
-                        front = doc <= least.get(name, doc)
+                        front = rank <= least.get(name, rank)
                         if front:
-                            least[name] = doc
+                            least[name] = rank
                         out["rank_id"].append(doc)
+                        out["key_a"].append(a)
+                        out["key_b"].append(b)
                         out["anchor"].append(int(spans.anchor[k : k + 1].view(np.int64)[0]))
                         out["span_a"].append(int.from_bytes(name[:8], "little", signed=True))
                         out["span_b"].append(int.from_bytes(name[8:], "little", signed=True))
-                        out["at"].append(mark << 32 | start)
+                        out["at"].append(start)
                         out["count"].append(count)
                         out["more"].append(None)
                         out["windows"].append(windows[start : start + count].tolist() if front else None)
                 if out["at"]:
                     yield out
 
-    span = ["anchor", "span_a", "span_b"]
-    spans = materialised(map_batches(rows.select("rank_id", "text"), spanned, "rank_id long, anchor long, span_a long, span_b long, at long, count long, more array<int>, windows array<long>"))
-    # both are written before they are joined, so that the join shuffles both sides and a frequent anchor can be split
+    key, span = ["key_a", "key_b"], ["anchor", "span_a", "span_b"]
+    schema = "rank_id long, key_a long, key_b long, anchor long, span_a long, span_b long, at int, count int, more array<int>, windows array<long>"
+    spans = materialised(map_batches(rows.select("rank_id", *key, "text", "flagged"), spanned, schema))
+    # both are written before they are joined, so that the join shuffles both sides and a frequent anchor can be split;
+    # a null rank is above all others: min and max pass it over, and nothing is below where all are null
     least = materialised(spans.groupBy(*span).agg(F.min("rank_id").alias("least")))
     varied = materialised(least.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select(F.col("anchor").alias("varied")))
     told = least.join(varied, least["anchor"] == varied["varied"], "left").select(*span, "least", F.col("varied").isNotNull().alias("varied"))
-    placed = spans.join(told, span).where("rank_id > least OR varied")
-    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
-    starts = F.concat(F.array(start), F.transform(F.coalesce("more", F.array().cast("array<int>")), lambda x: x.cast("long")))
-    placed = materialised(placed.select("rank_id", "least", "anchor", F.shiftright("at", 32).alias("mark"), starts.alias("starts"), "count", "windows"))
-    covered = placed.where("rank_id > least").select("rank_id", "mark", F.explode("starts").alias("start"), "count")
-    fronts = placed.where("rank_id = least").select("rank_id", "mark", "anchor", "starts", F.posexplode("windows").alias("place", "window"))
-    smallest = fronts.groupBy("anchor", "window").agg(F.min("rank_id").alias("smallest"), F.max("rank_id").alias("largest")).where("smallest < largest").drop("largest")
-    beaten = fronts.join(smallest, ["anchor", "window"]).where("rank_id > smallest")
-    beaten = beaten.select("rank_id", "mark", "place", F.explode("starts").alias("start")).select("rank_id", "mark", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("count"))
-    return covered.unionByName(beaten).groupBy("rank_id").agg(F.sort_array(F.collect_list(F.struct("mark", "start", "count"))).alias("gone"))
-
-
-def text_mark(text: str | None) -> int:
-    """31 bits that tell the texts of one id apart."""
-    return xxhash.xxh32_intdigest(utf8(text), 9) >> 1
+    later = F.col("least").isNotNull() & (F.col("rank_id").isNull() | (F.col("rank_id") > F.col("least")))
+    starts = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>")))
+    placed = spans.join(told, span).where(later | F.col("varied"))
+    placed = materialised(placed.select("rank_id", *key, later.alias("later"), "anchor", starts.alias("starts"), "count", "windows"))
+    covered = placed.where("later").select(*key, F.explode("starts").alias("start"), "count")
+    fronts = placed.where(~F.col("later")).select("rank_id", *key, "anchor", "starts", F.posexplode("windows").alias("place", "window"))
+    seen = fronts.groupBy("anchor", "window").agg(F.min("rank_id").alias("smallest"), F.max("rank_id").alias("largest"), F.count_if(F.col("rank_id").isNull()).alias("nameless"))
+    seen = seen.where("smallest < largest OR nameless > 0 AND smallest IS NOT NULL").select("anchor", "window", "smallest")
+    beaten = fronts.join(seen, ["anchor", "window"]).where("rank_id IS NULL OR rank_id > smallest")
+    beaten = beaten.select(*key, "place", F.explode("starts").alias("start")).select(*key, (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("count"))
+    return covered.unionByName(beaten).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "count"))).alias("gone"))
 
 
 def _kept(words: list, gone: list | None, width: int) -> list:
     """The words that no window of ``gone`` covers."""
     if not gone or len(words) < width:
         return words
-    last, out, at = len(words) - width, [], 0
+    out, at = [], 0
     for run in gone:
-        start, end = run["start"], min(run["start"] + run["count"] - 1, last) + width
-        if start > last:
-            continue
+        start, end = run["start"], run["start"] + run["count"] - 1 + width
         out += words[at:start]
         at = max(at, end)
     return out + words[at:]
 
 
-def remove_repeated(docs: DataFrame, width: int = 50, gram: int = 12, sketch_rows: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text, the kept words joined by one space."""
-    gone = repeated_windows(docs, width, gram, sketch_rows, bits, id_col, text_col).withColumnsRenamed({"rank_id": "_rank", "gone": "_gone"})
-    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
-    joined = keyed.join(gone, F.col("_id") == F.col("_rank"), "left").drop("_id", "_rank")
+def _cut(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str, **sketch) -> DataFrame:
+    """(_row, n_words, n_removed, kept_text)."""
+    rows = keyed(docs, id_col, text_col)
+    gone = repeated_windows(rows, width, gram, **sketch).withColumnsRenamed({"key_a": "a", "key_b": "b"})
+    joined = rows.join(gone, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b")), "left")
 
     def cut(batches: Iterator[list[list]]) -> Iterator[dict]:
         for texts, runs in batches:
             out = {"n_words": [], "n_removed": [], "kept_text": []}
             for text, gone in zip(texts, runs, strict=True):
                 words = utf8(text).split()
-                if gone:
-                    mark = text_mark(text)
-                    gone = [run for run in gone if run["mark"] == mark]
                 kept = _kept(words, gone, width)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
                 out["kept_text"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
             yield out
 
-    return add_columns(joined, [text_col, "_gone"], cut, "n_words long, n_removed long, kept_text string").drop("_gone")
+    return add_columns(joined.select("_row", "text", "gone"), ["text", "gone"], cut, "n_words long, n_removed long, kept_text string").drop("text", "gone")
+
+
+def remove_repeated(docs: DataFrame, width: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", **sketch) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept_text, the kept words joined by one space.
+
+    Columns with these names are replaced. ``sketch``: sketch_rows, bits, broadcast_bytes (see ``repeated_windows``).
+    """
+    added = ("n_words", "n_removed", "kept_text")
+    cut = _cut(docs, width, gram, id_col, text_col, **sketch)
+    return cut.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def drop_repeated(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without repeated passages. A text that loses none stays as written; a document that loses every word goes."""
-    cut = remove_repeated(docs, width=width, id_col=id_col, text_col=text_col)
-    left = cut.where("n_removed = 0 OR n_removed < n_words")
-    changed = {text_col: F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(text_col))}
-    left = left.withColumns(changed)
-    if chars_col in docs.columns:
-        left = left.withColumn(chars_col, F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return left.select(*docs.columns)
+    cut = _cut(docs, width, min(12, width), id_col, text_col).where("n_removed = 0 OR n_removed < n_words")
+    lost = F.col("n_removed") > 0
+
+    def value(c: str) -> Column:
+        own = F.col("_row")[c]
+        if c == text_col:
+            return F.when(lost, F.col("kept_text")).otherwise(own)
+        return F.when(lost, F.length("kept_text")).otherwise(own).cast(docs.schema[c].dataType) if c == chars_col else own
+
+    return cut.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
