@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm.language_id import UNDETERMINED, identify_language, learn_prototypes
+from fluxloom.llm.language_id import learn_prototypes, tell_language
 from fluxloom.llm.mixing import mix_sources
 from fluxloom.llm.packing import pack_documents, tokenizer_path
 from fluxloom.llm.shingles import drop_similar
@@ -25,8 +25,7 @@ from fluxloom.runtime import ensure_checkpoint_dir, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; ``lang`` is the label where there is one and the prediction elsewhere."""
-    told = identify_language(docs, learn_prototypes(docs)).where(F.col("lang_pred") != UNDETERMINED)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return tell_language(docs, learn_prototypes(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
