@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,12 +42,22 @@ def add_columns(df: DataFrame, inputs: list[str], function: Callable[[Iterator[l
     """``df`` with columns computed batch by batch from the Python values of ``inputs``.
 
     ``function`` takes an iterator of lists of columns and yields a dictionary of columns for each. A column of
-    ``df`` that has the name of an added one is replaced.
+    ``df`` that has the name of an added one is replaced. An input is a column or, as ``row.field``, a field of a struct;
+    what is kept anyway is sent to the workers once.
     """
     ready_workers(df)
     new = T.StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in new.names]
-    source = df.select(*[df[f.name] for f in kept], *[df[c].alias(f"_in{i}") for i, c in enumerate(inputs)])
+    place = {f.name: i for i, f in enumerate(kept)}
+    lone = [c for c in dict.fromkeys(inputs) if c not in place and c.partition(".")[0] not in place]
+    source = df.select(*[df[f.name] for f in kept], *[df[c].alias(f"_in{i}") for i, c in enumerate(lone)])
+    at = place | {c: len(kept) + i for i, c in enumerate(lone)}
+
+    def values(batch: pa.RecordBatch, name: str) -> list:
+        if name in at:
+            return batch.column(at[name]).to_pylist()
+        row, _, field = name.partition(".")
+        return pc.struct_field(batch.column(at[row]), field).to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, held = to_arrow_schema(new), []
@@ -54,7 +65,7 @@ def add_columns(df: DataFrame, inputs: list[str], function: Callable[[Iterator[l
         def columns() -> Iterator[list[list]]:
             for batch in batches:
                 held.append(batch)
-                yield [batch.column(len(kept) + i).to_pylist() for i in range(len(inputs))]
+                yield [values(batch, c) for c in inputs]
 
         for out in function(columns()):
             batch = held.pop()

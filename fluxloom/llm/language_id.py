@@ -196,8 +196,8 @@ def identify_language(docs: DataFrame, prototypes: Prototypes, text_col: str = "
 
 def tell_language(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that are ``und``; a null ``lang_col`` is filled with the prediction."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"))
-    told = identify_language(rows, prototypes, "_text").where(F.col("lang_pred") != UNDETERMINED)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    told = identify_language(rows, prototypes, f"_row.{text_col}").where(F.col("lang_pred") != UNDETERMINED)
     value = lambda c: F.coalesce(F.col("_row")[c], "lang_pred") if c == lang_col else F.col("_row")[c]
     return told.select(*[value(c).alias(c) for c in docs.columns])
 

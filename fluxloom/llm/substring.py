@@ -292,7 +292,7 @@ def _cut(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str, **s
     """(_row, n_words, n_removed, kept_text)."""
     rows = keyed(docs, id_col, text_col)
     gone = repeated_windows(rows, width, gram, **sketch).withColumnsRenamed({"key_a": "a", "key_b": "b"})
-    joined = rows.join(gone, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b")), "left")
+    joined = rows.drop("text").join(gone, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b")), "left")
 
     def cut(batches: Iterator[list[list]]) -> Iterator[dict]:
         for texts, runs in batches:
@@ -305,7 +305,7 @@ def _cut(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str, **s
                 out["kept_text"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
             yield out
 
-    return add_columns(joined.select("_row", "text", "gone"), ["text", "gone"], cut, "n_words long, n_removed long, kept_text string").drop("text", "gone")
+    return add_columns(joined.select("_row", "gone"), [f"_row.{text_col}", "gone"], cut, "n_words long, n_removed long, kept_text string").drop("gone")
 
 
 def remove_repeated(docs: DataFrame, width: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", **sketch) -> DataFrame:
