@@ -14,8 +14,9 @@ bucket. Round by round some sets of each bucket, first one, then more, are candi
 and places do not exclude, unless links already connect the two. So a large group of near copies costs one comparison a
 copy, and a bucket is left when it is connected or all its pairs are compared.
 
-Before two sets are fetched, their parities are compared: 1024 bits, of which a shingle turns one over. Sets that differ in
-``d`` shingles differ in at most ``d`` of these bits, so this too loses no pair. Sets are then made again from the texts.
+Before two sets are fetched, their parities are compared: bits, two to four for a shingle of the set, of which each shingle
+turns one over. Sets that differ in ``d`` shingles differ in at most ``d`` of these bits, so this too loses no pair. Sets are
+then made again from the texts.
 
 Defined cases: null and empty texts and those without words have the empty set and are copies of each other; shorter texts
 are one shingle; null ids are passed over when the smallest id is sought; rows that repeat an id are judged text by
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,10 +69,26 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parities(shingles: np.ndarray) -> np.ndarray:
-    counts = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=1024)
+    """Bits by the low bits of the hashes; their number is a power of two, at least twice that of the shingles."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """In how many bits parities differ, those of more bits folded to the number of the others.
+
+    Sets whose sizes let them be similar differ in size by less than half, so one fold is enough.
+    """
+
+    def folded(a: Column, b: Column) -> Column:
+        half = (F.size(a) / 2).cast("int")
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    bits = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda n, d: n + d).cast("long")
+
+
 def _simhash(shingles: np.ndarray) -> int:
     """The SimHash fingerprint of a set of shingle hashes; the empty set's is 0."""
     counts = np.zeros(64, np.int64)
@@ -97,8 +114,10 @@ def _sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
 def _verified(docs: DataFrame, known: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the candidates (u, v) that are similar: by their parities first, then by their sets."""
     met = met.join(known.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("bits").alias("x")), "u").join(known.select(F.col("fp").alias("v"), "n", F.col("bits").alias("y")), "v")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d).cast("long")
-    pairs = materialised(met.where(differ * (100 + percent) <= (F.col("m") + F.col("n")).cast("long") * (100 - percent)).select("u", "v"))
+    # the sizes alone may tell: the smaller set holds percent of the larger at least
+    sized = F.least("m", "n").cast("long") * 100 >= F.greatest("m", "n").cast("long") * percent
+    few = _apart(F.col("x"), F.col("y")) * (100 + percent) <= (F.col("m") + F.col("n")).cast("long") * (100 - percent)
+    pairs = materialised(met.where(F.when(sized, few).otherwise(F.lit(False))).select("u", "v"))
     asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(known, "fp").select("fp", "doc_id")
     sets = materialised(_sets(docs, materialised(asked), width))
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
@@ -173,8 +192,8 @@ def similar_links(docs: DataFrame, marked: DataFrame, width: int, percent: int)
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    if not 0 < percent <= 100:
-        raise ValueError("the similarity is above 0 and at most 100 per cent")
+    if not 50 <= percent <= 100:
+        raise ValueError("the similarity is 50 to 100 per cent")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialised(_marked(docs, width, percent))
     return grouped(marked.select("doc_id", "fp"), similar_links(docs, marked, width, percent))
