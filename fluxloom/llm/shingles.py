@@ -10,7 +10,7 @@ fingerprints about 10 bits apart, where a grid over 64 bits meets nearly everyth
 If two sets are that similar, the first ``n - ceil(percent * n / 100) + 1`` shingles of either, in one order for all sets,
 have a shingle in common. The order puts rare shingles first: those that a sample of the texts finds in several come
 last, by how many it finds. The sample decides what is compared, not what is linked. Sets that share such a shingle are a
-bucket. Round by round some sets of each bucket, first one, then more, are candidates with those after them that sizes
+bucket. Round by round some sets of each bucket, first four, then many more, are candidates with those after them that sizes
 and places do not exclude, unless links already connect the two. So a large group of near copies costs one comparison a
 copy, and a bucket is left when it is connected or all its pairs are compared.
 
@@ -170,25 +170,24 @@ def similar_links(docs: DataFrame, marked: DataFrame, width: int, percent: int)
     """(u, v): links of set hashes at least ``percent`` similar that connect all such pairs."""
     known = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bits").alias("bits")))
     links = materialised(_verified(docs, known, _seeds(known), width, percent))
-    members, start, step = materialised(_buckets(marked)), 1, 1
+    members, start, step = materialised(_buckets(marked)), 1, 4
     # a similar pair passes in the bucket of its first common shingle: what stands after it bounds the intersection
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).cast("long")
     near = rest * (100 + percent) >= (F.col("a.n") + F.col("b.n")).cast("long") * percent
-    while True:
+    while not members.isEmpty():
         groups = components(links)
         members = members.join(groups, members["fp"] == groups["node"], "left").select("token", "fp", "n", "place", "ix", F.coalesce("root", "fp").alias("root"))
         mixed = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         members = materialised(members.join(mixed, "token", "left_semi"))
         released(docs.sparkSession)
-        if members.isEmpty():
-            return links
         some, after = members.where(F.col("ix").between(start, start + step - 1)), members.where(F.col("ix") > start)
         apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.ix") < F.col("b.ix")) & (F.col("a.root") != F.col("b.root")) & near
         met = some.alias("a").join(after.alias("b"), apart).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
         links = materialised(links.unionAll(_verified(docs, known, met, width, percent)))
-        start, step = start + step, step * 16
+        start, step = start + step, step * 128
         open_ = members.groupBy("token").agg(F.max("ix").alias("last")).where(F.col("last") > start).select("token")
-        members = members.where(F.col("ix") >= start).join(open_, "token", "left_semi").drop("root")
+        members = materialised(members.where(F.col("ix") >= start).join(open_, "token", "left_semi").drop("root"))
+    return links
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
