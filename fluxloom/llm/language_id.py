@@ -38,20 +38,30 @@ UNDETERMINED = "und"
 @lru_cache(1)
 def _letter_codes() -> np.ndarray:
     """The code of every code point: its own for a letter, 0 for others."""
-    return np.array([p if chr(p).isalpha() else 0 for p in range(0x110000)], np.int64)
+    return np.fromiter((p if chr(p).isalpha() else 0 for p in range(0x110000)), np.int32, 0x110000)
+
+
+def _counted(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of a run of codes and their counts; where all are small, counted as shorter numbers."""
+    if s.max() < 1 << 10:
+        grams, counts = np.unique((s[:-2] << 20) | (s[1:-1] << 10) | s[2:], return_counts=True)
+        s = grams.astype(np.int64)
+        return (s >> 20 << 2 * _BITS) | ((s >> 10 & 1023) << _BITS) | (s & 1023), counts
+    s = s.astype(np.int64)
+    return np.unique((s[:-2] << 2 * _BITS) | (s[1:-1] << _BITS) | s[2:], return_counts=True)
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of a text's trigrams; none where it has no letter."""
-    codes, found, last = _letter_codes(), [], np.zeros(1, np.int64)
+    codes, found, last = _letter_codes(), [], np.zeros(1, np.int32)
     text, letters = text or "", False
     for start in range(0, max(len(text), 1), _BLOCK):
         block = np.frombuffer(text[start : start + _BLOCK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        s = np.concatenate([last, codes[block], np.zeros(int(start + _BLOCK >= len(text)), np.int64)])
+        s = np.concatenate([last, codes[block], np.zeros(int(start + _BLOCK >= len(text)), np.int32)])
         letters = letters or bool(s.any())
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
         if len(s) > 2:
-            found.append(np.unique((s[:-2] << 2 * _BITS) | (s[1:-1] << _BITS) | s[2:], return_counts=True))
+            found.append(_counted(s))
         last = s[-2:]
     if not letters or not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -69,7 +79,7 @@ class Hypervectors:
         self.turned = [np.roll(np.arange(dimensions), 2 - place) for place in range(3)]
         self.letters: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
-        self.kept = np.empty((1024, dimensions), np.float32)
+        self.kept = np.empty((1024, dimensions), np.int8)
 
     def letter(self, point: int) -> np.ndarray:
         found = self.letters.get(point)
@@ -85,7 +95,7 @@ class Hypervectors:
             points, at = np.unique(grams >> shift & mask, return_inverse=True)
             placed = np.stack([self.letter(int(p)) for p in points])[:, self.turned[place]][at]
             out = placed if out is None else out * placed
-        return out.astype(np.float32)
+        return out
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         grams = grams.astype(np.int64)
@@ -94,7 +104,7 @@ class Hypervectors:
         if (rows < 0).any() and len(self.row) < _TABLED:
             new, used = grams[rows < 0][: _TABLED - len(self.row)], len(self.row)
             if used + len(new) > len(self.kept):
-                grown = np.empty((min(_TABLED, 2 * (used + len(new))), self.dimensions), np.float32)
+                grown = np.empty((min(_TABLED, 2 * (used + len(new))), self.dimensions), np.int8)
                 grown[:used] = self.kept[:used]
                 self.kept = grown
             for start in range(0, len(new), 4096):
@@ -103,11 +113,11 @@ class Hypervectors:
             rows = np.fromiter((look(g, -1) for g in grams.tolist()), np.int64, len(grams))
         known = rows >= 0
         if known.all():
-            return counts.astype(np.float32) @ self.kept[rows]
-        total = counts[known].astype(np.float32) @ self.kept[rows[known]]
+            return counts.astype(np.float32) @ self.kept[rows].astype(np.float32)
+        total = counts[known].astype(np.float32) @ self.kept[rows[known]].astype(np.float32)
         rest, n = grams[~known], counts[~known].astype(np.float32)
         for start in range(0, len(rest), 4096):
-            total += n[start : start + 4096] @ self.bound(rest[start : start + 4096])
+            total += n[start : start + 4096] @ self.bound(rest[start : start + 4096]).astype(np.float32)
         return total
 
 
