@@ -46,7 +46,7 @@ def _noise(**bands: tuple) -> dict[str, tuple[tuple[float, float, float], ...]]:
 #: Fixed values of the surveys: the rule for redshifts, whether originals must be deep-field, the field of copies, the
 #: least number of observations, its mixture (weight, mean, variance), and the noise of the bands.
 SURVEYS = {
-    "plasticc_wfd": Survey("wfd", False, False, 3, ((1.0, 24.5006, 72.5107),), _noise(
+    "plasticc_wfd": Survey("wfd", False, False, 3, ((1.0, 24.5006006, 72.5106613),), _noise(
         u=((1.0,), (2.34,), (0.43**2,)),
         g=((1.0,), (0.94,), (0.41**2,)),
         r=((1.0,), (1.30,), (0.41**2,)),
@@ -54,7 +54,7 @@ SURVEYS = {
         z=((1.0,), (2.56,), (0.36**2,)),
         y=((1.0,), (3.33,), (0.37**2,)),
     )),
-    "plasticc_ddf": Survey("ddf", True, True, 20, ((0.3439, 57.36, 271.59), (0.6561, 92.77, 338.53)), _noise(
+    "plasticc_ddf": Survey("ddf", True, True, 20, ((0.34393457, 57.36015146, 271.58889272), (0.65606543, 92.7741619, 338.53085446)), _noise(
         u=((1.0,), (0.68,), (0.26**2,)),
         g=((1.0,), (0.25,), (0.50**2,)),
         r=((1.0,), (0.16,), (0.36**2,)),
@@ -194,14 +194,28 @@ def quota(objects: DataFrame, wanted: DataFrame | str | None, key: str = "object
     return wanted.select(key, F.col("n_copies").cast("int").alias("n_copies"))
 
 
-def redshift_table(objects: DataFrame, most: int = 100_000) -> np.ndarray:
-    """Rows (photoz - specz, error) of the objects with a spectroscopic redshift, at most ``most`` by hash order."""
-    known = objects.where("hostgal_specz > 0").select((F.col("hostgal_photoz") - F.col("hostgal_specz")).alias("d"), F.col("hostgal_photoz_err").alias("e"), F.xxhash64("object_id").alias("h"))
-    rows = known.orderBy("h", "d").limit(most).collect()
-    return np.array([(r.d, r.e) for r in rows], float).reshape(-1, 2)
+def standardised_redshifts(table: DataFrame) -> DataFrame:
+    """(z_diff, hostgal_photoz_err) of a table that has the error and either the difference or both redshifts."""
+    names = set(table.columns)
+    if "hostgal_photoz_err" in names and {"hostgal_specz", "hostgal_photoz"} <= names:
+        return table.select((F.col("hostgal_photoz") - F.col("hostgal_specz")).alias("z_diff"), "hostgal_photoz_err")
+    if {"z_diff", "hostgal_photoz_err"} <= names:
+        return table.select("z_diff", "hostgal_photoz_err")
+    raise ValueError("a redshift table has hostgal_photoz_err and either z_diff or hostgal_specz and hostgal_photoz")
 
 
-def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str = "plasticc_wfd", max_duration: float | None = None, seed: int = 0, tries: int = 10, key: str = "object_id", choose_z: Callable | None = None) -> DataFrame:
+def redshift_table(objects: DataFrame, most: int = 100_000, z_table: DataFrame | None = None) -> np.ndarray:
+    """Rows (photoz - specz, error) from which photometric redshifts are drawn.
+
+    They come from ``z_table`` or the objects with a spectroscopic redshift. Workers draw at random from these rows, so a random
+    sample of them, of ``most`` rows by hash, stands for larger tables: its size bounds what is sent to the workers.
+    """
+    rows = standardised_redshifts(objects.where("hostgal_specz > 0") if z_table is None else z_table).where("z_diff IS NOT NULL AND hostgal_photoz_err IS NOT NULL")
+    rows = rows.orderBy(F.xxhash64("z_diff", "hostgal_photoz_err"), "z_diff", "hostgal_photoz_err").limit(most).collect()
+    return np.array([tuple(r) for r in rows], float).reshape(-1, 2)
+
+
+def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str = "plasticc_wfd", max_duration: float | None = None, seed: int = 0, tries: int = 10, key: str = "object_id", choose_z: Callable | None = None, z_table: DataFrame | None = None) -> DataFrame:
     """Observations of synthesised objects with their redshift columns repeated on each row.
 
     object_id (``<id>_aug<i>``), original_event, mjd, filter, flux, flux_error, detected, z columns. A copy needs three
@@ -214,7 +228,7 @@ def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str =
     top = longest(obs, key).first()[0] or 0.0
     if max_duration is not None and max_duration < top:
         raise ValueError(f"an object lasts {top} days, more than {max_duration}")
-    limit, table = max_duration or top, redshift_table(objects)
+    limit, table = max_duration or top, redshift_table(objects, z_table=z_table)
     pick = choose_z or (lambda rng, z: new_redshift(rng, z, setup.redshift))
     host = objects.select(key, "ddf", "hostgal_specz", "hostgal_photoz")
     host = host.where("ddf") if setup.from_ddf else host
@@ -259,12 +273,24 @@ def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str =
     return dealt(rows, key).groupBy(key).applyInPandas(made, schema)
 
 
-def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features", borderline: bool = False) -> DataFrame:
+def refit_gps(made: DataFrame, key: str = "object_id", **options) -> DataFrame:
+    """Gaussian processes of the synthesised objects only: those of ``augment``, or marked ``augmented``.
+
+    ``options`` are those of ``fit_gps``.
+    """
+    from fluxloom.operators.gp import fit_gps
+
+    only = made.where("augmented") if "augmented" in made.columns else made.where("original_event IS NOT NULL") if "original_event" in made.columns else made
+    return fit_gps(only, key=key, **options)
+
+
+def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features", borderline: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """Synthetic rows that bring every class to the size of the largest: (key, label, features, original_event).
 
     Each is a random point between a row and one of its ``k`` nearest in the class. Every row meets every block of about
     2048 rows of its class, each block gives its ``k`` nearest, and the nearest of these count: whatever the class's size
-    they are exact. With ``borderline`` rows are preferred that have neighbours further away.
+    they are exact. With ``borderline`` rows are preferred that have neighbours further away; with ``weights`` (key, weight)
+    rows are drawn by their weight, those of a class without weight evenly.
     """
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_need", F.max("_n").over(W.partitionBy()) - F.col("_n")).withColumn("_cells", F.ceil(F.col("_n") / 2048).cast("int"))
@@ -296,9 +322,12 @@ def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", la
     found = found.withColumn("_r", F.row_number().over(W.partitionBy(label, "id", "copy").orderBy("d", "other", "other_copy"))).where(F.col("_r") <= k)
     lists = found.groupBy(F.col(label).alias("_l"), F.col("id").alias("_i"), F.col("copy").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("_r", "d", "y"))).alias("near"), F.avg(F.sqrt("d")).alias("far"))
     data = data.join(lists, data[label].eqNullSafe(F.col("_l")) & (data["id"] == F.col("_i")) & (data["copy"] == F.col("_c")), "left")
+    if weights is not None:
+        given = weights.groupBy(F.col(key).cast("string").alias("_wi")).agg(F.max("weight").alias("_weight"))
+        data = data.join(given, data["id"] == given["_wi"], "left").withColumn("far", F.coalesce("_weight", F.lit(0.0))).drop("_wi", "_weight")
     far = data.groupBy(F.col(label).alias("_fl")).agg(F.sum("far").alias("_all"))
     # rows draw their share of what the class needs; shares add up to it exactly, as rounded running sums over cells
-    share = F.col("far") / F.col("_all") if borderline else F.lit(None).cast("double")
+    share = F.col("far") / F.col("_all") if borderline or weights is not None else F.lit(None).cast("double")
     data = data.join(far, data[label].eqNullSafe(F.col("_fl")), "left").withColumn("_share", F.coalesce(F.when(F.col("_all") > 0, share), 1 / F.col("_n")))
     parts = data.groupBy(label, "_cell").agg(F.sum("_share").alias("_s"), F.first("_need").alias("_w"))
     run = F.sum("_s").over(W.partitionBy(label).orderBy("_cell"))
@@ -321,3 +350,53 @@ def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", la
         return pd.DataFrame(out, columns=[key, label, column, "original_event"])
 
     return data.groupBy(label, "_cell").applyInPandas(made, f"{key} string, {label} {kind}, {column} array<double>, original_event string")
+
+
+def _alien_share(rows: DataFrame, k: int, key: str, label: str, column: str) -> DataFrame:
+    """(key, label, alien, n): how many of a row's ``k`` nearest other rows, over all classes, are of another class."""
+    from fluxloom.operators.classify import nearest_rows
+
+    found = nearest_rows(rows, rows, k + 1, key, label, column).where(F.col("other") != F.col(key))
+    found = found.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "other"))).where(F.col("_r") <= k)
+    return found.join(rows.select(key, F.col(label).alias("_own")), key).groupBy(key).agg(F.count_if(F.col("y") != F.col("_own")).alias("alien"), F.count("*").alias("n"))
+
+
+METHODS = ("SMOTE", "ADASYN", "SVMSMOTE", "SMOTEENN", "SMOTETomek")
+
+
+def resample(rows: DataFrame, method: str = "SMOTE", k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features") -> DataFrame:
+    """Rows and synthetic rows, (key, label, features, original_event), with the classes brought to one size.
+
+    ADASYN draws rows by the share of their nearest that are of another class. SVMSMOTE draws rows within the margin of the
+    kernel machine whose nearest are not all of another class. SMOTEENN takes rows out again that have one of another class among
+    their three nearest, SMOTETomek pairs of different classes that are each other's nearest. Keys are distinct.
+    """
+    if method not in METHODS:
+        raise ValueError(f"{method}: one of {METHODS}")
+    plain = rows.select(F.col(key).cast("string").alias(key), label, F.col(column).cast("array<double>").alias(column))
+    weights = None
+    if method in ("ADASYN", "SVMSMOTE"):
+        alien = materialised(_alien_share(plain, k, key, label, column))
+        weights = alien.select(key, (F.col("alien") / F.col("n")).alias("weight"))
+    if method == "SVMSMOTE":
+        from fluxloom.operators.classify import KernelSvm
+
+        machine = KernelSvm().fit(plain.select(key, F.col(label).alias("label"), F.col(column).alias("features")))
+        told = machine.predict(plain.select(key, F.col(label).alias("label"), F.col(column).alias("features")), key)
+        own = F.element_at("probability", F.array_position(F.array(*[F.lit(y) for y in machine.labels]), F.col("label")).cast("int"))
+        inside = told.select(key, (own <= 1 / (1 + math.exp(-1.0))).alias("inside"))
+        weights = weights.join(inside, key).select(key, (F.col("inside") & (F.col("weight") < 1)).cast("double").alias("weight"))
+    made = smote(plain, k, seed, key, label, column, weights=weights)
+    out = materialised(plain.withColumn("original_event", F.lit(None).cast("string")).unionByName(made))
+    if method == "SMOTEENN":
+        bad = _alien_share(out, 3, key, label, column).where("alien > 0")
+        return out.join(bad.select(key), key, "left_anti")
+    if method == "SMOTETomek":
+        from fluxloom.operators.classify import nearest_rows
+
+        found = nearest_rows(out, out, 2, key, label, column).where(F.col("other") != F.col(key))
+        first = found.groupBy(key).agg(F.min_by(F.struct("other", "y"), F.struct("d", "other")).alias("_f"))
+        first = materialised(first.join(out.select(key, F.col(label).alias("_own")), key).select(F.col(key).alias("_a"), F.col("_f.other").alias("_b"), (F.col("_f.y") != F.col("_own")).alias("_apart")).where("_apart"))
+        pairs = first.alias("p").join(first.alias("q"), (F.col("p._a") == F.col("q._b")) & (F.col("p._b") == F.col("q._a"))).select(F.col("p._a").alias(key))
+        return out.join(pairs.distinct(), key, "left_anti")
+    return out

@@ -92,19 +92,19 @@ def _decided(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, best["y"].alias("y_pred"), best["l"].alias("log_likelihood"), F.transform(parts, lambda p: p / total).alias("probability"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int, key: str = "object_id", label: str = "label", column: str = "features", block: int = 4096) -> DataFrame:
-    """(key, y_pred, probability) by the ``k`` nearest training rows, each voting one over its distance.
+def nearest_rows(train: DataFrame, test: DataFrame, k: int, key: str = "object_id", label: str = "label", column: str = "features", block: int = 4096) -> DataFrame:
+    """(key, other, y, d): the ``k`` nearest training rows of every test row, exactly.
 
-    Training rows stand in numbered blocks of about ``block`` rows. Every test row meets every block, each block gives its
-    ``k`` nearest, and the nearest of these decide: partial results are k rows a block, never all pairs.
+    Both sides stand in numbered blocks of about ``block`` rows. Every block of test rows meets every block of training rows, a
+    meeting gives each test row its ``k`` nearest, and the nearest of these count: no task holds more than two blocks, and
+    partial results are k rows a block, never all pairs.
     """
-    labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
-    blocks = max(1, math.ceil(train.count() / block))
+    blocks, salts = (max(1, math.ceil(df.count() / block)) for df in (train, test))
+    salts = max(salts, 64 // blocks, 1)
     kind, lab = dict(test.dtypes)[key], dict(train.dtypes)[label]
-    fit = train.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).alias("other"), F.col(label).alias("y"), F.col(column).alias("x"))
-    salts, every = max(1, 64 // blocks), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    fit = train.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).alias("other"), F.col(label).alias("y"), F.col(column).alias("x")).withColumn("s", every(salts))
     ask = test.select(every(blocks).alias("b"), key, F.col(column).alias("x"), F.pmod(F.xxhash64(key), F.lit(salts)).alias("s"))
-    fit = fit.withColumn("s", every(salts))
 
     def nearest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = {key: [], "other": [], "y": [], "d": []}
@@ -118,10 +118,16 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int, key: str = "object_id
                 out["other"] += ids[at].tolist()
                 out["y"] += y[at].tolist()
                 out["d"] += d[at].tolist()
-        return pd.DataFrame(out)
+        return pd.DataFrame({c: pd.Series(v, dtype=float if c == "d" else object) for c, v in out.items()})
 
     found = ask.groupBy("b", "s").cogroup(fit.groupBy("b", "s")).applyInPandas(nearest, f"{key} {kind}, other {dict(train.dtypes)[key]}, y {lab}, d double")
-    ranked = found.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "other"))).where(F.col("_r") <= k)
+    return found.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "other"))).where(F.col("_r") <= k).drop("_r")
+
+
+def knn_predict(train: DataFrame, test: DataFrame, k: int, key: str = "object_id", label: str = "label", column: str = "features", block: int = 4096) -> DataFrame:
+    """(key, y_pred, probability) by the ``k`` nearest training rows, each voting one over its distance."""
+    labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    ranked = nearest_rows(train, test, k, key, label, column, block)
     weight = 1 / F.greatest("d", F.lit(1e-12))
     votes = ranked.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("y") == y, weight)), F.lit(0.0)).alias(f"_v{i}") for i, y in enumerate(labels)])
     array = F.array(*[F.col(f"_v{i}") for i in range(len(labels))])
@@ -165,30 +171,31 @@ class Classifier:
         place = F.array_position("probability", F.array_max("probability")).cast("int")
         return told.select(*kept, F.element_at(F.array(*[F.lit(y) for y in self.labels]), place).alias("y_pred"), "probability")
 
-    def _parts(self) -> list:
-        return self.model if isinstance(self.model, list) else [self.model]
-
     def save(self, spark: SparkSession, path: str) -> None:
-        """The model in Spark's format with its labels and parameters beside it."""
-        parts = self._parts()
-        if not all(hasattr(m, "write") for m in parts):
-            raise NotImplementedError(f"{type(self).__name__} is kept as its training rows, not as a model")
+        """What was learned, in Spark's formats, with labels and parameters beside it."""
+        about = {"class": type(self).__name__, "labels": self.labels, "params": self.params} | self._save(path)
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    def _save(self, path: str) -> dict:
+        parts = self.model if isinstance(self.model, list) else [self.model]
         for i, m in enumerate(parts):
             m.write().overwrite().save(f"{path}/model{i}")
-        about = {"class": type(self).__name__, "labels": self.labels, "params": self.params, "models": [type(m).__name__ for m in parts], "list": isinstance(self.model, list)}
-        if hasattr(self, "lift"):
-            about["lift"] = [x.tolist() for x in self.lift]
-        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        about = {"models": [type(m).__name__ for m in parts], "list": isinstance(self.model, list)}
+        return about | ({"lift": [x.tolist() for x in self.lift]} if hasattr(self, "lift") else {})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Classifier:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         found = {c.__name__: c for c in Classifier.__subclasses__()}[about["class"]](**about["params"])
+        found.labels = about["labels"]
+        found._load(spark, path, about)
+        return found
+
+    def _load(self, spark: SparkSession, path: str, about: dict) -> None:
         parts = [getattr(classification, name).load(f"{path}/model{i}") for i, name in enumerate(about["models"])]
-        found.labels, found.model = about["labels"], parts if about["list"] else parts[0]
+        self.model = parts if about["list"] else parts[0]
         if "lift" in about:
-            found.lift = tuple(np.array(x) for x in about["lift"])
-        return found
+            self.lift = tuple(np.array(x) for x in about["lift"])
 
     def optimise(self, rows: DataFrame, grid: Mapping[str, Sequence[Any]] | None = None, **options: Any) -> Search:
         """Search this classifier's grid once and take the best parameters; a second call is an error."""
@@ -200,15 +207,15 @@ class Classifier:
 
 
 class RandomForest(Classifier):
-    grid = {"numTrees": (20, 40), "impurity": ("gini", "entropy")}
+    grid = {"numTrees": tuple(range(200, 900, 100)), "impurity": ("gini", "entropy")}
 
     def _fit(self, rows, weight):
-        args = {"numTrees": 40, "maxDepth": 10, "seed": 1} | self.params
+        args = {"numTrees": 200, "maxDepth": 10, "seed": 1} | self.params
         return RandomForestClassifier(**args, **({"weightCol": weight} if weight else {})).fit(rows)
 
 
 class DecisionTree(Classifier):
-    grid = {"impurity": ("gini", "entropy"), "minInstancesPerNode": (1, 5, 20)}
+    grid = {"impurity": ("gini", "entropy"), "minInstancesPerNode": tuple(range(1, 400, 25))}
 
     def _fit(self, rows, weight):
         args = {"maxDepth": 10, "seed": 1} | self.params
@@ -218,10 +225,10 @@ class DecisionTree(Classifier):
 class Perceptron(Classifier):
     """One hidden layer; the activation is the logistic one and the solver L-BFGS."""
 
-    grid = {"hidden": (40, 80)}
+    grid = {"hidden": tuple(range(80, 120, 5))}
 
     def _fit(self, rows, weight):
-        args = {"hidden": 40, "maxIter": 100, "seed": 1} | self.params
+        args = {"hidden": 80, "maxIter": 200, "seed": 1} | self.params
         hidden = args.pop("hidden")
         width = len(rows.first()["features"])
         return MultilayerPerceptronClassifier(layers=[width, hidden, max(2, len(self.labels))], **args).fit(rows)
@@ -230,7 +237,7 @@ class Perceptron(Classifier):
 class KernelSvm(Classifier):
     """A Gaussian kernel by random Fourier features under a logistic loss, so that it gives probabilities."""
 
-    grid = {"gamma": (0.01, 0.05), "C": (1.0, 10.0)}
+    grid = {"C": tuple(10.0**x for x in np.linspace(-2, 5, 5)), "gamma": tuple(10.0**x for x in np.linspace(-8, 3, 5))}
 
     def _lifted(self, rows: DataFrame) -> DataFrame:
         w, b = self.lift
@@ -253,12 +260,15 @@ class KernelSvm(Classifier):
 
 
 class BoostedTrees(Classifier):
-    """Gradient boosting, one model for each class against the others; their probabilities are scaled to one."""
+    """Gradient boosting, one model for each class against the others; their probabilities are scaled to one.
 
-    grid = {"maxDepth": (3, 5), "stepSize": (0.1, 0.2)}
+    Trees grow by depth, not by leaves: a depth stands for the leaves that it allows. The grid is meant for ``coordinate_search``.
+    """
+
+    grid = {"maxDepth": (3, 4, 5, 6), "stepSize": tuple(10.0**x for x in np.linspace(-3, -0.01, 50)), "maxIter": tuple(range(25, 120, 10)), "minInstancesPerNode": tuple(range(10, 70, 5))}
 
     def _fit(self, rows, weight):
-        args = {"maxIter": 20, "maxDepth": 4, "seed": 1} | self.params
+        args = {"maxIter": 25, "maxDepth": 4, "seed": 1} | self.params
         models = []
         for i in range(len(self.labels) if len(self.labels) > 2 else 1):
             one = rows.withColumn("label", (F.col("label") == (i if len(self.labels) > 2 else 1)).cast("double"))
@@ -279,7 +289,7 @@ class BoostedTrees(Classifier):
 class AdaBoost(Classifier):
     """SAMME over weighted trees or forests."""
 
-    grid = {"rounds": (5, 10)}
+    grid = {"rounds": tuple(range(5, 85, 10)), "minInstancesPerNode": tuple(range(5, 55, 10))}
 
     def __init__(self, base: type[Classifier] = DecisionTree, **params: Any):
         super().__init__(**params)
@@ -309,6 +319,17 @@ class AdaBoost(Classifier):
             self.model = [(1.0, stage)]
         return self
 
+    def _save(self, path: str) -> dict:
+        """Each stage is a classifier saved by itself."""
+        spark = SparkSession.getActiveSession()
+        for i, (_, stage) in enumerate(self.model):
+            stage.save(spark, f"{path}/stage{i}")
+        return {"alphas": [a for a, _ in self.model], "base": self.base.__name__}
+
+    def _load(self, spark: SparkSession, path: str, about: dict) -> None:
+        self.base = {c.__name__: c for c in Classifier.__subclasses__()}[about["base"]]
+        self.model = [(a, Classifier.load(spark, f"{path}/stage{i}")) for i, a in enumerate(about["alphas"])]
+
     def predict(self, rows: DataFrame, key: str = "object_id") -> DataFrame:
         kept = [c for c in rows.columns if c not in ("features", "probability")]
         score = F.array(*[F.lit(0.0) for _ in self.labels])
@@ -324,13 +345,20 @@ class AdaBoost(Classifier):
 
 
 class Neighbours(Classifier):
-    grid = {"k": tuple(range(1, 52, 10))}
+    grid = {"k": tuple(range(1, 180, 5))}
 
     def fit(self, train, weight=None):
         self.labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
         self.model = train
         return self
 
+    def _save(self, path: str) -> dict:
+        self.model.write.mode("overwrite").parquet(f"{path}/rows")
+        return {}
+
+    def _load(self, spark: SparkSession, path: str, about: dict) -> None:
+        self.model = spark.read.parquet(f"{path}/rows")
+
     def predict(self, rows, key="object_id"):
         found = knn_predict(self.model, rows, self.params.get("k", 11), key)
         return rows.drop("features").join(found, key)
@@ -342,6 +370,13 @@ class NaiveBayes(Classifier):
         self.model = fit_gaussian_nb(train)
         return self
 
+    def _save(self, path: str) -> dict:
+        self.model.write.mode("overwrite").parquet(f"{path}/rows")
+        return {}
+
+    def _load(self, spark: SparkSession, path: str, about: dict) -> None:
+        self.model = spark.read.parquet(f"{path}/rows")
+
     def predict(self, rows, key="object_id"):
         return rows.drop("features").join(predict_gaussian_nb(rows, self.model, key), key)
 

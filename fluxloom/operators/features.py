@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -12,19 +15,63 @@ from pyspark.sql import types as T
 
 from fluxloom.schema import LSST
 
-#: Analysis low-pass filters of orthogonal wavelets.
+#: Analysis low-pass filters that no rule below gives.
 LOW_PASS = {
-    "haar": (0.7071067811865476, 0.7071067811865476),
-    "db2": (-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025),
-    "sym2": (-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025),
+    "coif1": (-0.01565572813546454, -0.0727326195128539, 0.38486484686420286, 0.8525720202122554, 0.3378976624578092, -0.0727326195128539),
 }
+_WIDEST = {"db": 20, "sym": 10}
+
+
+def wavelets() -> list[str]:
+    """The names that ``filters_of`` knows."""
+    return ["haar", *LOW_PASS, *[f"{family}{n}" for family, top in _WIDEST.items() for n in range(1 if family == "db" else 2, top + 1)]]
+
+
+def _from_roots(n: int, roots: np.ndarray) -> np.ndarray:
+    """The filter with ``n`` zeros at -1 and the given ones, of sum sqrt(2)."""
+    taps = np.real(np.poly(np.concatenate([roots, -np.ones(n)])))
+    return taps * (np.sqrt(2.0) / taps.sum())
+
+
+@lru_cache(64)
+def _orthogonal(family: str, n: int) -> tuple[float, ...]:
+    """The analysis low-pass filter with ``n`` vanishing moments.
+
+    The half-band polynomial, sum of C(n - 1 + k, k) y^k, has its zeros in pairs z, 1 / z with z + 1 / z = 2 - 4 y. Of each pair
+    the extremal-phase filter (db) takes the one inside the circle; the least asymmetric one (sym) takes, pair by
+    pair, those that keep the phase nearest to a line.
+    """
+    y = np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)]) if n > 1 else np.zeros(0)
+    half = 1 - 2 * y
+    inside = np.array([z for h in half for z in (h - np.sqrt(h * h - 1 + 0j), h + np.sqrt(h * h - 1 + 0j)) if abs(z) < 1])
+    best = _from_roots(n, inside)
+    if family == "sym":
+        groups = [np.array([z]) if abs(z.imag) < 1e-9 else np.array([z, z.conjugate()]) for z in inside if z.imag > -1e-9]
+        omega, found = np.linspace(1e-3, np.pi * 0.9, 200), None
+        for choice in product((False, True), repeat=max(0, len(groups) - 1)):
+            zeros = [g if not out else 1 / g.conjugate() for g, out in zip(groups, (False, *choice), strict=True)]
+            taps = _from_roots(n, np.concatenate(zeros) if zeros else np.zeros(0))
+            phase = np.unwrap(np.angle(np.exp(-1j * np.outer(omega, np.arange(2 * n))) @ taps))
+            line = np.polyfit(omega, phase, 1)
+            off = float(((phase - np.polyval(line, omega)) ** 2).sum())
+            if found is None or off < found - 1e-9:
+                found, best = off, taps
+        # of a filter and its mirror image the one that is heavier towards its start
+        best = best if (best**2 @ np.arange(2 * n)) <= n - 0.5 else best[::-1]
+        return tuple(best.tolist())
+    return tuple(best[::-1].tolist())
 
 
 def filters_of(wavelet: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Low-pass and high-pass taps; a ValueError for an unknown wavelet."""
-    if wavelet not in LOW_PASS:
-        raise ValueError(f"unknown wavelet {wavelet}; one of {sorted(LOW_PASS)}")
-    low = LOW_PASS[wavelet]
+    name = {"haar": "db1", "sym2": "db2", "sym3": "db3"}.get(wavelet, wavelet)
+    family, number = name.rstrip("0123456789"), name[len(name.rstrip("0123456789")) :]
+    if name in LOW_PASS:
+        low = LOW_PASS[name]
+    elif family in _WIDEST and number and 1 <= int(number) <= _WIDEST[family]:
+        low = _orthogonal(family, int(number))
+    else:
+        raise ValueError(f"unknown wavelet {wavelet}; one of {wavelets()}")
     return low, tuple((-1) ** k * low[len(low) - 1 - k] for k in range(len(low)))
 
 

@@ -84,8 +84,8 @@ def _least_squares(curve, t, y, e, start, low, high, attempts, seed):
     return best, value
 
 
-def _ensemble(curve, t, y, e, start, low, high, attempts, seed, walkers=24, rounds=200):
-    """Affine-invariant sampling under a uniform prior on the box; the likeliest sample."""
+def _ensemble(curve, t, y, e, start, low, high, attempts, seed, walkers=24, rounds=200, chain=None):
+    """Affine-invariant sampling under a uniform prior on the box; the likeliest sample. ``chain`` takes every step's points."""
     rng = np.random.default_rng(seed)
     log = lambda p: -0.5 * float(np.sum(((y - curve(t, p)) / e) ** 2)) if np.all((p >= low) & (p <= high)) else -np.inf
     x = np.clip(start + 0.05 * (high - low) * rng.standard_normal((walkers, len(start))), low, high)
@@ -101,6 +101,8 @@ def _ensemble(curve, t, y, e, start, low, high, attempts, seed, walkers=24, roun
                 x[i], v[i] = p, w
                 if w > top:
                     best, top = p.copy(), w
+        if chain is not None:
+            chain.append((x.copy(), v.copy()))
     return best, -2 * top
 
 
@@ -161,6 +163,25 @@ def fit_parametric(obs: DataFrame, model: str = "newling", sampler: str = "least
     return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key, "filter").groupBy(key, "filter").applyInPandas(fitted, schema)
 
 
+def sample_chains(obs: DataFrame, model: str = "newling", rounds: int = 200, walkers: int = 24, seed: int = 0, key: str = "object_id", limits: Mapping[str, tuple[float, float, float]] | None = None) -> DataFrame:
+    """(key, filter, step, walker, params, log_likelihood): the chains of the ensemble sampler, one row per sampled point."""
+    bounds = dict(limits or MODELS[model][0])
+    low, high, start = (np.array([b[i] for b in bounds.values()], float) for i in range(3))
+    curve, kind = CURVES[model], dict(obs.dtypes)[key]
+
+    def sampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["flux_error"] != 0].sort_values("mjd")
+        if not len(pdf):
+            return pd.DataFrame(columns=[key, "filter", "step", "walker", "params", "log_likelihood"])
+        name, band, chain = pdf[key].iloc[0], pdf["filter"].iloc[0], []
+        _ensemble(curve, pdf["mjd"].to_numpy(), pdf["flux"].to_numpy(), pdf["flux_error"].to_numpy(), start, low, high, 1, _seed(seed, name, band), walkers, rounds, chain)
+        rows = [(name, band, step, w, x[w].tolist(), float(v[w])) for step, (x, v) in enumerate(chain) for w in range(walkers)]
+        return pd.DataFrame(rows, columns=[key, "filter", "step", "walker", "params", "log_likelihood"])
+
+    schema = f"{key} {kind}, filter string, step int, walker int, params array<double>, log_likelihood double"
+    return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key, "filter").groupBy(key, "filter").applyInPandas(sampled, schema)
+
+
 def fit_table(fits: DataFrame, filters: Sequence[str], model: str = "newling", key: str = "object_id") -> DataFrame:
     """One row per object with a column for each band and parameter, zero where a band was not fitted."""
     wide = fits.groupBy(key).pivot("filter", list(filters)).agg(F.first("params"))
@@ -186,24 +207,28 @@ def reconstruct_fits(obs: DataFrame, fits: DataFrame, model: str, points: int =
     return grid.select(key, "filter", "grid_ix", "mjd", MODELS[model][1](F.col("mjd"), {n: F.col("_p")[i] for i, n in enumerate(names)}).alias("flux"))
 
 
-def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", shifts: Sequence[float] | None = None, stretches: Sequence[float] = (0.5, 0.63, 0.8, 1.0, 1.25, 1.6, 2.0), sampler: str = "leastsq", seed: int = 0) -> DataFrame:
+def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", shifts: Sequence[float] | None = None, stretches: Sequence[float] = (0.5, 0.63, 0.8, 1.0, 1.25, 1.6, 2.0), sampler: str = "leastsq", seed: int = 0, bounds: Mapping[str, tuple[float, float]] | None = None, redshifts: DataFrame | None = None) -> DataFrame:
     """The best template (name, filter, phase, flux) for each object: template, t0, stretch, amplitude, chisq, status.
 
     For a template, start and stretch the amplitude has a closed form. The starts, two days apart, cover all at which the
     template meets the object's own times, unless ``shifts`` are given; each template's best start and stretch are then
     refined by ``sampler`` (leastsq, mcmc or nested) and the least chi-square wins. Templates are model inputs of bounded
     size and are sent to the workers.
+
+    ``bounds`` keeps t0 or stretch within (low, high). ``redshifts`` (key, z) fixes an object's redshift: its template is
+    stretched by 1 + z besides, so that ``stretch`` is the one in its own frame.
     """
-    run = SAMPLERS[sampler]
-    rows = templates.select("name", "filter", "phase", "flux").limit(1_000_001).toPandas()
-    if len(rows) > 1_000_000:
-        raise ValueError("more than a million template points")
-    table = {n: {f: (h["phase"].to_numpy(), h["flux"].to_numpy()) for f, h in g.sort_values("phase").groupby("filter")} for n, g in rows.groupby("name")}
-    kind = dict(obs.dtypes)[key]
+    run, bounds = SAMPLERS[sampler], dict(bounds or {})
+    if unknown := set(bounds) - {"t0", "stretch"}:
+        raise ValueError(f"no such parameters: {sorted(unknown)}")
+    table, kind = _template_table(templates), dict(obs.dtypes)[key]
+    slowest, fastest = bounds.get("stretch", (0.0, np.inf))
+    stretches = [s for s in stretches if slowest <= s <= fastest] or [float(np.mean(bounds["stretch"]))]
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["flux_error"] != 0]
         t, y, e, band = (pdf[c].to_numpy() for c in ("mjd", "flux", "flux_error", "filter"))
+        z = float(pdf["_z"].iloc[0]) if len(pdf) and "_z" in pdf and pd.notna(pdf["_z"].iloc[0]) else 0.0
         best = None
         for name, bands in sorted(table.items()):
 
@@ -211,7 +236,7 @@ def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", s
                 m = np.zeros(len(t))
                 for f, (x, v) in bands.items():  # noqa: B023
                     at = band == f
-                    m[at] = np.interp((t[at] - p[0]) / p[1], x, v, left=0.0, right=0.0)
+                    m[at] = np.interp((t[at] - p[0]) / (p[1] * (1 + z)), x, v, left=0.0, right=0.0)
                 norm = float(np.sum((m / e) ** 2))
                 return (max(0.0, float(np.sum(m * y / e**2)) / norm) if norm > 0 else 0.0), m
 
@@ -222,8 +247,9 @@ def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", s
             phases = np.concatenate([x for x, _ in bands.values()])
             first = None
             for s in stretches:
-                reach = (t.min() - phases.max() * s, t.max() - phases.min() * s) if len(t) else (0.0, 0.0)
-                for t0 in shifts if shifts is not None else np.arange(reach[0], reach[1] + 2, 2.0):
+                reach = (t.min() - phases.max() * s * (1 + z), t.max() - phases.min() * s * (1 + z)) if len(t) else (0.0, 0.0)
+                reach = (max(reach[0], bounds["t0"][0]), min(reach[1], bounds["t0"][1])) if "t0" in bounds else reach
+                for t0 in shifts if shifts is not None else np.unique(np.minimum(np.arange(reach[0], reach[1] + 2, 2.0), reach[1])):
                     a, m = model((t0, s))
                     if m.any():
                         c = float(np.sum(((y - a * m) / e) ** 2))
@@ -232,7 +258,9 @@ def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", s
             if first is None:
                 continue
             start = np.array(first[:2])
-            low, high = np.array([start[0] - 4, start[1] / 1.6]), np.array([start[0] + 4, start[1] * 1.6])
+            low, high = np.array([start[0] - 4, max(slowest, start[1] / 1.6)]), np.array([start[0] + 4, min(fastest, start[1] * 1.6)])
+            if "t0" in bounds:
+                low[0], high[0] = max(low[0], bounds["t0"][0]), min(high[0], bounds["t0"][1])
             found, c = run(curve, t, y, e, start, low, high, 1, _seed(seed, pdf[key].iloc[0], name))
             if c > first[2]:
                 found, c = start, first[2]
@@ -242,7 +270,40 @@ def fit_template(obs: DataFrame, templates: DataFrame, key: str = "object_id", s
         return pd.DataFrame([(pdf[key].iloc[0] if len(pdf) else None, *row, len(t), "ok" if best else "no template fits")], columns=[key, "template", "t0", "stretch", "amplitude", "chisq", "n_points", "status"]) if len(pdf) else pd.DataFrame(columns=[key, "template", "t0", "stretch", "amplitude", "chisq", "n_points", "status"])
 
     schema = f"{key} {kind}, template string, t0 double, stretch double, amplitude double, chisq double, n_points int, status string"
-    return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key).groupBy(key).applyInPandas(fitted, schema)
+    rows = obs.select(key, "filter", "mjd", "flux", "flux_error")
+    if redshifts is not None:
+        rows = rows.join(redshifts.select(key, F.col("z").cast("double").alias("_z")), key, "left")
+    return dealt(rows, key).groupBy(key).applyInPandas(fitted, schema)
+
+
+def _template_table(templates: DataFrame, most: int = 1_000_000) -> dict:
+    """Templates by name and filter as (phases, fluxes); more than ``most`` points are refused, as they go to all workers."""
+    rows = templates.select("name", "filter", "phase", "flux").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} template points")
+    return {n: {f: (h["phase"].to_numpy(), h["flux"].to_numpy()) for f, h in g.sort_values("phase").groupby("filter")} for n, g in rows.groupby("name")}
+
+
+def reconstruct_template(obs: DataFrame, fits: DataFrame, templates: DataFrame, points: int = 100, key: str = "object_id", redshifts: DataFrame | None = None) -> DataFrame:
+    """(key, filter, grid_ix, mjd, flux): each object's fitted template at ``points`` times over its span in each of its bands."""
+    table = _template_table(templates)
+    spans = obs.groupBy(key, "filter").agg(F.min("mjd").alias("a"), F.max("mjd").alias("b"))
+    rows = spans.join(fits.where("status = 'ok'").select(key, "template", "t0", "stretch", "amplitude"), key)
+    rows = rows.withColumn("z", F.lit(0.0)) if redshifts is None else rows.join(redshifts.select(key, F.col("z").cast("double").alias("z")), key, "left").na.fill(0.0, ["z"])
+    ids = dict(obs.dtypes)[key]
+
+    def read(batches):
+        for pdf in batches:
+            out = {c: [] for c in (key, "filter", "grid_ix", "mjd", "flux")}
+            for r in pdf.itertuples(index=False):
+                t = np.linspace(r.a, r.b, points)
+                x, v = table[r.template].get(r.filter, (np.zeros(1), np.zeros(1)))
+                flux = r.amplitude * np.interp((t - r.t0) / (r.stretch * (1 + r.z)), x, v, left=0.0, right=0.0)
+                for c, values in ((key, [getattr(r, key)] * points), ("filter", [r.filter] * points), ("grid_ix", range(points)), ("mjd", t), ("flux", flux)):
+                    out[c] += list(values)
+            yield pd.DataFrame(out)
+
+    return rows.mapInPandas(read, f"{key} {ids}, filter string, grid_ix int, mjd double, flux double")
 
 
 def fit_with(obs: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "object_id") -> DataFrame:

@@ -211,6 +211,30 @@ def predict_2d(obs: DataFrame, params: DataFrame, times: Sequence[float], filter
     return left.cogroup(dealt(one, key).groupBy(key)).applyInPandas(predicted, f"{key} {kind}, filter string, mjd double, flux double, flux_error double")
 
 
+def peak_times(obs: DataFrame, params: DataFrame, filters: Sequence[str], before: float = 105.0, after: float = 300.0, key: str = "object_id", wavelengths: Mapping[str, float] = PASSBANDS) -> DataFrame:
+    """(key, peak_mjd): the day of the highest modelled flux in any band, the first on ties.
+
+    Days run from ``before`` days before an object's first detection to ``after`` days after its last; an object without a
+    detection has no row. The process is made again from its parameters and the observations.
+    """
+    kind = dict(obs.dtypes)[key]
+
+    def found(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        seen = rows[rows["detected"].astype(bool)]["mjd"] if len(rows) else []
+        rows = rows[rows["flux_error"] != 0]
+        if not len(rows) or not len(fits) or not len(seen):
+            return pd.DataFrame(columns=[key, "peak_mjd"])
+        p, days = fits["params"].iloc[0], np.arange(seen.min() - before, seen.max() + after + 1)
+        x = np.column_stack([rows["mjd"], rows["filter"].map(wavelengths)]).astype(float)
+        gp, _ = condition(kernel_2d(p[0], p[1]), x, rows["flux"].to_numpy(float), rows["flux_error"].to_numpy(float))
+        flux = np.stack([gp.kernel(np.column_stack([days, np.full(len(days), wavelengths[f])]), gp.x) @ gp.weights for f in filters]).max(axis=0)
+        return pd.DataFrame({key: [rows[key].iloc[0]], "peak_mjd": [float(days[flux.argmax()])]})
+
+    one = params.dropDuplicates([key]).select(key, "params")
+    left = dealt(obs.select(key, "filter", "mjd", "flux", "flux_error", "detected"), key).groupBy(key)
+    return left.cogroup(dealt(one, key).groupBy(key)).applyInPandas(found, f"{key} {kind}, peak_mjd double")
+
+
 def reconstruction_error(models: DataFrame, restored: DataFrame, key: str = "object_id") -> DataFrame:
     """(key, error): chi-square over points of a restored model (key, filter, grid_ix, flux) against the model."""
     other = restored.select(key, "filter", "grid_ix", F.col("flux").alias("_r"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.ordering import ranked
+from fluxloom.runtime import broadcast_if_small, materialised
 
 def _tallies(rows: DataFrame, thresholds: Sequence[float], strict: bool, by: Sequence[str]) -> DataFrame:
     """(by, t, threshold, tp, fp, fn, tn) for every threshold, from one pass.
@@ -135,7 +136,7 @@ def percentile_interval(rows: DataFrame, value: str, by: Sequence[str] = (), lev
         near = F.greatest(1 - F.abs(F.col("_r") - (F.col("_n") - 1) * share), F.lit(0.0))
         return F.sum(F.when(near > 0, near * F.col("_v")))
 
-    joined = held.join(F.broadcast(sizes), same) if not keys else held.join(sizes, same)
+    joined = held.join(broadcast_if_small(materialised(sizes)), same)
     return (joined.groupBy(*keys) if keys else joined).agg(end(tail).alias("low"), end(1 - tail).alias("high"))
 
 

@@ -171,6 +171,13 @@ def classification_features(spark, sf_dir):
     return found.select("object_id", *[r6(n) for n in names], "count_max_center", "count_max_rise_20")
 
 
+@query()
+def classification_features_full(spark, sf_dir):
+    """All 41 columns."""
+    raw = T.raw_features(observations(spark, sf_dir), grid_models(spark, sf_dir), objects(spark, sf_dir), BANDS)
+    return T.classification_features(raw, BANDS, red="lsstz")
+
+
 def _swt_sql(source: str, value: str, step: int) -> str:
     low, high = T.filters_of("sym2")
     part = lambda taps: " + ".join(f"({t!r})::DOUBLE * x{k}.{value}" for k, t in enumerate(taps))

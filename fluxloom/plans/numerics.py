@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +15,7 @@ from fluxloom.operators import metrics as M
 from fluxloom.operators import pca as C
 from fluxloom.operators import tsne as V
 from fluxloom.plans.registry import query, r6
-from fluxloom.runtime import ensure_checkpoint_dir, materialised, table
+from fluxloom.runtime import Scratch, materialised, table
 from fluxloom.sources.fixtures import grid_models, objects, observations
 from fluxloom.streaming import sessions
 
@@ -50,6 +47,14 @@ def gp_predict_grid(spark, sf_dir):
     return G.predict_2d(obs, params, [0.5, 10.5, 20.5], BANDS).select("object_id", "filter", "mjd", r6("flux", 4), r6("flux_error", 4))
 
 
+@query()
+def t_peak_gp(spark, sf_dir):
+    """The day of each object's highest modelled flux, from saved parameters."""
+    obs = observations(spark, sf_dir)
+    params = G.params_of(materialised(G.fit_gps(_spread(obs), 2, 0, 31, filters=BANDS)))
+    return G.peak_times(obs.select("object_id", "filter", "mjd", "flux", "flux_error", "detected"), params, BANDS).select("object_id", r6("peak_mjd"))
+
+
 @query()
 def chisq_cubic_interp(spark, sf_dir):
     rows = X.on_model_cubic(observations(spark, sf_dir), grid_models(spark, sf_dir))
@@ -122,11 +127,28 @@ def parametric_nested(spark, sf_dir):
 
 
 @query()
-def template_fit(spark, sf_dir):
+def parametric_chains(spark, sf_dir):
+    """The sampled points of the first band's fits, in the order in which they were drawn."""
+    return P.sample_chains(_spread(observations(spark, sf_dir)).where("filter = 'lsstg'"), rounds=20).select("object_id", "filter", "step", "walker", "params", "log_likelihood")
+
+
+def _templates(spark):
     names = spark.range(2).select(F.when(F.col("id") == 0, "slow").otherwise("fast").alias("name"), F.when(F.col("id") == 0, 12.0).otherwise(4.0).alias("w"))
     points = names.withColumn("filter", F.explode(F.array(*[F.lit(b) for b in BANDS]))).withColumn("phase", F.explode(F.sequence(F.lit(-10), F.lit(30))))
-    templates = points.select("name", "filter", F.col("phase").cast("double").alias("phase"), F.exp(-F.pow(F.col("phase") / F.col("w"), F.lit(2.0))).alias("flux"))
-    return P.fit_template(_spread(observations(spark, sf_dir)), templates)
+    return points.select("name", "filter", F.col("phase").cast("double").alias("phase"), F.exp(-F.pow(F.col("phase") / F.col("w"), F.lit(2.0))).alias("flux"))
+
+
+@query()
+def template_fit(spark, sf_dir):
+    return P.fit_template(_spread(observations(spark, sf_dir)), _templates(spark))
+
+
+@query()
+def template_reconstruct(spark, sf_dir):
+    """The fitted templates read at 20 times over each object's own span in each band."""
+    obs = _spread(observations(spark, sf_dir))
+    fits = materialised(P.fit_template(obs, _templates(spark), bounds={"stretch": (0.5, 2.0)}))
+    return P.reconstruct_template(obs, fits, _templates(spark), points=20).select("object_id", "filter", "grid_ix", r6("mjd"), r6("flux"))
 
 
 def _augmented(spark, sf_dir, survey, wanted="all", each=2):
@@ -153,11 +175,44 @@ def augment_survey_variants(spark, sf_dir):
     return out
 
 
+@query()
+def augment_refit_gps(spark, sf_dir):
+    """Synthesised objects and the processes fitted to them anew, on 16 times (one copy each)."""
+    made = materialised(_augmented(spark, sf_dir, "plasticc_wfd", each=1))
+    return A.refit_gps(made, number_gp=16, t_min=0, t_max=60, filters=BANDS).select("object_id", "filter", "grid_ix", "mjd", "flux", "flux_error", "status")
+
+
 @query()
 def smote(spark, sf_dir):
     return A.smote(_vectors(spark, sf_dir))
 
 
+def _resampled(spark, sf_dir, method):
+    """The classes of the vectors made uneven, then brought to one size."""
+    rows = _vectors(spark, sf_dir).where("label % 3 = 0 OR object_id % 3 > 0")
+    return A.resample(rows, method).select("object_id", "label", "original_event")
+
+
+@query()
+def resample_adasyn(spark, sf_dir):
+    return _resampled(spark, sf_dir, "ADASYN")
+
+
+@query()
+def resample_svmsmote(spark, sf_dir):
+    return _resampled(spark, sf_dir, "SVMSMOTE")
+
+
+@query()
+def resample_smoteenn(spark, sf_dir):
+    return _resampled(spark, sf_dir, "SMOTEENN")
+
+
+@query()
+def resample_smotetomek(spark, sf_dir):
+    return _resampled(spark, sf_dir, "SMOTETomek")
+
+
 @query()
 def tsne_embed(spark, sf_dir):
     return V.tsne(_vectors(spark, sf_dir))
@@ -170,9 +225,20 @@ def _classified(spark, sf_dir, make, **params):
     return fitted.predict(rows.where("object_id % 10 >= 3")).select("object_id", "label", "y_pred", "probability")
 
 
+@query()
+def roc_one_vs_rest(spark, sf_dir):
+    """A curve of 20 thresholds for each class against the others, by a decision tree."""
+    told = _classified(spark, sf_dir, K.DecisionTree)
+    labels = [r[0] for r in told.select("label").distinct().orderBy("label").collect()]
+    rows = told.select("label", F.posexplode("probability").alias("i", "probability"))
+    rows = rows.select(F.get(F.array(*[F.lit(y) for y in labels]), F.col("i")).alias("class"), "probability", "label")
+    return M.roc(rows.select("class", "probability", (F.col("label") == F.col("class")).alias("positive")), 20, by=["class"])
+
+
 @query()
 def clf_rf(spark, sf_dir):
-    return _classified(spark, sf_dir, K.RandomForest)
+    """Made smaller than the library's defaults: 40 trees."""
+    return _classified(spark, sf_dir, K.RandomForest, numTrees=40)
 
 
 @query()
@@ -182,21 +248,25 @@ def clf_dt(spark, sf_dir):
 
 @query()
 def clf_gbt_ovr(spark, sf_dir):
+    """Made smaller than the library's defaults: 4 rounds of depth 3."""
     return _classified(spark, sf_dir, K.BoostedTrees, maxIter=4, maxDepth=3)
 
 
 @query()
 def clf_adaboost_dt(spark, sf_dir):
+    """Made smaller than the library's defaults: 3 rounds of depth 3."""
     return _classified(spark, sf_dir, K.AdaBoost, rounds=3, maxDepth=3)
 
 
 @query()
 def clf_adaboost_rf(spark, sf_dir):
+    """Made smaller than the library's defaults: 2 rounds of 10 trees of depth 4."""
     return _classified(spark, sf_dir, lambda **p: K.AdaBoost(K.RandomForest, **p), rounds=2, numTrees=10, maxDepth=4)
 
 
 @query()
 def clf_mlp(spark, sf_dir):
+    """Made smaller than the library's defaults: 20 units, 40 iterations."""
     return _classified(spark, sf_dir, K.Perceptron, hidden=20, maxIter=40)
 
 
@@ -222,11 +292,7 @@ def bootstrap_recall_ci(spark, sf_dir):
 def stream_gap_sessions(spark, sf_dir):
     """Light curves cut at gaps of 36 hours from a stream over the event table; an extension."""
     events = sessions.read_events(spark, sf_dir)
-    local = spark.sparkContext.master.startswith("local[")
-    ensure_checkpoint_dir(spark)
-    base = tempfile.mkdtemp(prefix="fluxloom-stream-") if local else str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
-    name = f"gap_sessions_{uuid.uuid4().hex[:8]}"
-    return sessions.drain(sessions.gap_sessions(events), f"{base}/{name}", name, "complete")
+    return sessions.drain(sessions.gap_sessions(events), Scratch(spark, "gap_sessions").folder, "complete")
 
 
 @query("""WITH e AS (SELECT user_id, ts, value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),

@@ -80,13 +80,17 @@ def read(spark: SparkSession, path: str, schema: str, pattern: str = "*.FITS", t
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content").mapInPandas(decoded, f"{schema}, file string")
 
 
-def head_and_phot(spark: SparkSession, path: str, head_schema: str, phot_schema: str, positive: bool = True) -> tuple[DataFrame, DataFrame]:
+def head_and_phot(spark: SparkSession, path: str, head_schema: str, phot_schema: str, positive: bool = True, ids: DataFrame | None = None, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """The pairs of head and photometry files: objects, and observations with the id of the object they point to.
 
     A head row points to its observations by 1-based ``PTROBS_MIN`` and ``PTROBS_MAX``, which ``head_schema`` must hold.
+    ``ids`` (SNID) keeps only these objects, ``prefix`` only files whose names begin so.
     """
-    head = read(spark, path, head_schema, "*HEAD*")
-    numbered = read(spark, path, f"{phot_schema}", "*PHOT*").withColumn("_at", F.monotonically_increasing_id())
+    head = read(spark, path, head_schema, f"{prefix}*HEAD*")
+    if ids is not None:
+        wanted = ids.select(F.trim(F.col("SNID").cast("string")).alias("_wanted")).distinct()
+        head = head.join(wanted, F.trim("SNID") == F.col("_wanted"), "left_semi")
+    numbered = read(spark, path, f"{phot_schema}", f"{prefix}*PHOT*").withColumn("_at", F.monotonically_increasing_id())
     from pyspark.sql import Window as W
 
     phot = numbered.withColumn("_row", F.row_number().over(W.partitionBy("file").orderBy("_at"))).withColumn("_pair", F.replace("file", F.lit("PHOT"), F.lit("HEAD")))
@@ -95,6 +99,16 @@ def head_and_phot(spark: SparkSession, path: str, head_schema: str, phot_schema:
     return head.drop("file"), rows.where("FLUXCAL > 0") if positive else rows
 
 
+def opsim(spark: SparkSession, path: str, head_schema: str, phot_schema: str, subset: str | DataFrame = "all", positive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The simulated Ia and non-Ia objects together; ``subset``: all, Ia, nIa, or a table of SNID."""
+    kinds = {"all": "LSST_", "Ia": "LSST_Ia_", "nIa": "LSST_NONIa_"}
+    if isinstance(subset, str):
+        if subset not in kinds:
+            raise ValueError(f"{subset}: one of {sorted(kinds)} or a table of SNID")
+        return head_and_phot(spark, path, head_schema, phot_schema, positive, None, kinds[subset])
+    return head_and_phot(spark, path, head_schema, phot_schema, positive, subset, kinds["all"])
+
+
 def mapped(df: DataFrame, column: str, names: Mapping[str, str]) -> DataFrame:
     """``column`` with its values renamed."""
     return df.withColumn(column, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.trim(column)), F.col(column)))

@@ -17,6 +17,13 @@ def save_folder(data: LightCurves, path: str, key: str = "object_id") -> None:
     data.observations.repartition(key).write.mode("overwrite").partitionBy(key).option("header", True).csv(f"{path}/objects")
 
 
+def save_list(data: LightCurves, path: str, name: str, key: str = "object_id") -> None:
+    """The names of the objects as a list file ``<name>.LIST`` and one text file per object of its observations."""
+    save_folder(data, path, key)
+    names = data.observations.select(F.concat(F.col(key).cast("string"), F.lit(".DAT")).alias("value")).distinct().orderBy("value")
+    names.coalesce(1).write.mode("overwrite").text(f"{path}/{name}.LIST")
+
+
 def load_folder(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(f"{path}/objects")
@@ -91,6 +98,6 @@ def append_objects(data: LightCurves, observations: DataFrame, objects: DataFram
     from fluxloom.operators.preprocess import rezero
 
     new = rezero(observations) if subtract_min else observations
-    more = [r[0] for r in new.select("filter").distinct().limit(1000).collect()]
+    more = [r[0] for r in new.select("filter").distinct().collect()]  # the filters of a survey are few
     filters = tuple(dict.fromkeys((*data.filters, *sorted(more))))
     return LightCurves(data.observations.unionByName(new, allowMissingColumns=True), data.objects.unionByName(objects, allowMissingColumns=True), data.models, filters)

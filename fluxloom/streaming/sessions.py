@@ -27,8 +27,16 @@ def window_peaks(events: DataFrame, window: str = "1 day", slide: str | None = N
     return found.select("user_id", F.col("w.start").alias("start"), "peak", "n_obs")
 
 
-def drain(stream: DataFrame, checkpoint: str, table: str, output_mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its rows."""
-    query = stream.writeStream.format("memory").queryName(table).outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, output_mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into Parquet files under ``folder`` and return its rows.
+
+    In complete mode each trigger's whole result replaces the one before; nothing is gathered on the driver.
+    """
+    path = f"{folder}/rows"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if output_mode == "complete" else f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(table)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)

@@ -18,7 +18,7 @@ def test_spline_repeats_cubics():
     assert np.allclose(spline_not_a_knot(x, f(x), at), f(at))
 
 
-@pytest.mark.parametrize("wavelet", sorted(T.LOW_PASS))
+@pytest.mark.parametrize("wavelet", ["haar", "db2", "sym2", "coif1", "db5", "db12", "sym4", "sym9"])
 def test_wavelets_invert(wavelet):
     x = np.random.default_rng(0).standard_normal(32)
     parts = T.swt_array(x, 5, wavelet)
@@ -154,10 +154,10 @@ def test_tsne_parts_blobs():
     assert np.linalg.norm(y[:25].mean(0) - y[25:].mean(0)) > 2 * inside
 
 
-@pytest.mark.parametrize("name", ["decision_tree", "svm", "boosted_trees"])
+@pytest.mark.parametrize("name", sorted(K.CLASSIFIERS))
 def test_classifiers_are_saved(spark, tmp_path, name):
     rows = _blobs(spark, 15)
-    params = {"maxIter": 2} if name == "boosted_trees" else {}
+    params = {"boosted_trees": {"maxIter": 2}, "boost_dt": {"rounds": 2, "maxDepth": 2}, "boost_rf": {"rounds": 2, "numTrees": 3}, "random_forest": {"numTrees": 5}, "knn": {"k": 3}}.get(name, {})
     fitted = K.CLASSIFIERS[name](**params).fit(rows)
     fitted.save(spark, str(tmp_path / name))
     again = K.Classifier.load(spark, str(tmp_path / name))

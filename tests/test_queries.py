@@ -6,7 +6,6 @@ from fluxloom import plans
 from tests.oracle import rows_of, sql_rows
 
 WITH_SQL = sorted(plans.oracle_sql())
-SLOW = {"clf_gbt_ovr", "grid_search_cv", "parametric_mcmc", "parametric_nested"}
 MAY_BE_EMPTY = {"augment_ddf"}
 
 
@@ -15,7 +14,7 @@ def test_agrees_with_sql(spark, small, name):
     assert rows_of(plans.queries()[name](spark, small)) == sql_rows(plans.oracle_sql()[name], small)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(WITH_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(WITH_SQL)))
 def test_runs(spark, small, name):
     assert plans.queries()[name](spark, small).count() > 0 or name in MAY_BE_EMPTY
 
