@@ -113,8 +113,7 @@ def test_pipeline_against_brute_force(spark, small):
     told = stages["language_id"](spark, docs, small).cache()
     assert {r.doc_id for r in told.collect()} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     near = stages["near_dedup"](spark, told, small).cache()
-    ids = [(r.doc_id, brute.simhash(r.text, 5)) for r in told.collect()]
-    groups = brute.components([i for i, _ in ids], [p for _, p in ids], 5)
+    groups = brute.jaccard_groups([(r.doc_id, r.text) for r in told.collect()])
     assert sorted(r.doc_id for r in near.collect()) == sorted(set(groups.values()))
     cut = stages["substring_dedup"](spark, near, small).cache()
     before = [(r.doc_id, r.text) for r in near.collect()]
