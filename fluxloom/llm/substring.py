@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm.arrow import add_columns, map_batches
 from fluxloom.llm.words import row_of, utf8
-from fluxloom.runtime import materialised, table
+from fluxloom.runtime import materialised, released, table
 
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK_BITS = 16
@@ -266,14 +266,22 @@ def repeated_windows(rows: DataFrame, width: int = 50, gram: int = 12, sketch_ro
     later = F.col("least").isNotNull() & (F.col("rank_id").isNull() | (F.col("rank_id") > F.col("least")))
     starts = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>")))
     placed = spans.join(told, span).where(later | F.col("varied"))
-    placed = materialised(placed.select("rank_id", *key, later.alias("later"), "anchor", starts.alias("starts"), "count", "windows"))
+    placed = placed.select("rank_id", *key, later.alias("later"), "anchor", starts.alias("starts"), "count", "windows")
+    placed = materialised(placed.withColumn("ref", F.monotonically_increasing_id()))
+    del spans, least, varied, told
+    released(spark)
     covered = placed.where("later").select(*key, F.explode("starts").alias("start"), "count")
-    fronts = placed.where(~F.col("later")).select("rank_id", *key, "anchor", "starts", F.posexplode("windows").alias("place", "window"))
+    # a window carries no more than a number for its span, whose document and places are looked up for those that go
+    fronts = placed.where(~F.col("later")).select("rank_id", "ref", "anchor", F.posexplode("windows").alias("place", "window"))
     seen = fronts.groupBy("anchor", "window").agg(F.min("rank_id").alias("smallest"), F.max("rank_id").alias("largest"), F.count_if(F.col("rank_id").isNull()).alias("nameless"))
     seen = seen.where("smallest < largest OR nameless > 0 AND smallest IS NOT NULL").select("anchor", "window", "smallest")
-    beaten = fronts.join(seen, ["anchor", "window"]).where("rank_id IS NULL OR rank_id > smallest")
-    beaten = beaten.select(*key, "place", F.explode("starts").alias("start")).select(*key, (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("count"))
-    return covered.unionByName(beaten).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "count"))).alias("gone"))
+    beaten = fronts.join(seen, ["anchor", "window"]).where("rank_id IS NULL OR rank_id > smallest").select("ref", "place")
+    beaten = beaten.join(placed.select("ref", *key, "starts"), "ref").select(*key, "place", F.explode("starts").alias("start"))
+    beaten = beaten.select(*key, (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("count"))
+    gone = materialised(covered.unionByName(beaten).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "count"))).alias("gone")))
+    del placed, covered, fronts, seen, beaten
+    released(spark)
+    return gone
 
 
 def _kept(words: list, gone: list | None, width: int) -> list:
