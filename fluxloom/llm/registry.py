@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import chat, code_search, language_id, mixing, order_minhash, packing, quality, simhash, substring, url_filter
+from fluxloom.llm import chat, code_search, language_id, mixing, order_minhash, packing, quality, simhash, substring, token_files, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_quality": quality.op9_quality,
         "op10_substring_dedup": substring.op10_substring_dedup,
+        "op13_token_files": token_files.op13_token_files,
     }
 
 
