@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import chat, code_search, language_id, mixing, order_minhash, packing, quality, simhash, substring, token_files, url_filter
+from fluxloom.llm import chat, code_search, language_id, lexical_search, mixing, order_minhash, packing, prefix_trie, quality, simhash, substring, token_files, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_quality": quality.op9_quality,
         "op10_substring_dedup": substring.op10_substring_dedup,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_token_files": token_files.op13_token_files,
     }
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict:
         "op6_chat_format": chat.OP6_SQL,
         "op7_code_search": code_search.OP7_SQL,
         "op10_substring_dedup": substring.OP10_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
     }
