@@ -20,7 +20,7 @@ BANDS = ("lsstu", "lsstg", "lsstr", "lssti", "lsstz")
 
 # --- chi-square -------------------------------------------------------------------------------------------------------
 
-_ON_MODEL = f"""{OBS_SQL}, {GRID_SQL}, fitted AS (SELECT o.*, a.flux + (b.flux - a.flux) * (o.mjd - a.mjd) / (b.mjd - a.mjd) AS model_flux
+_ON_MODEL = f"""{OBS_SQL}, {GRID_SQL}, fitted AS MATERIALIZED (SELECT o.*, a.flux + (b.flux - a.flux) * (o.mjd - a.mjd) / (b.mjd - a.mjd) AS model_flux
   FROM obs o JOIN grid a ON a.object_id = o.object_id AND a.filter = o.filter AND a.grid_ix = least(floor(o.mjd)::INT, 30)
   JOIN grid b ON b.object_id = o.object_id AND b.filter = o.filter AND b.grid_ix = a.grid_ix + 1)"""
 
@@ -191,12 +191,12 @@ def _coefficients(spark, sf_dir, level):
     return found.select("object_id", "filter", F.col("place").alias("grid_ix"), r6(f"cA_{level}").alias("ca"), r6(f"cD_{level}").alias("cd"))
 
 
-@query(f"WITH {GRID_SQL}, l1 AS ({_swt_sql('grid', 'flux', 1)}) SELECT object_id, filter, grid_ix::INT AS grid_ix, round(ca, 6) AS ca, round(cd, 6) AS cd FROM l1")
+@query(f"WITH {GRID_SQL}, l1 AS MATERIALIZED ({_swt_sql('grid', 'flux', 1)}) SELECT object_id, filter, grid_ix::INT AS grid_ix, round(ca, 6) AS ca, round(cd, 6) AS cd FROM l1")
 def swt_level1_circular(spark, sf_dir):
     return _coefficients(spark, sf_dir, 1)
 
 
-@query(f"WITH {GRID_SQL}, l1 AS ({_swt_sql('grid', 'flux', 1)}), l2 AS ({_swt_sql('l1', 'ca', 2)}) SELECT object_id, filter, grid_ix::INT AS grid_ix, round(ca, 6) AS ca, round(cd, 6) AS cd FROM l2")
+@query(f"WITH {GRID_SQL}, l1 AS MATERIALIZED ({_swt_sql('grid', 'flux', 1)}), l2 AS MATERIALIZED ({_swt_sql('l1', 'ca', 2)}) SELECT object_id, filter, grid_ix::INT AS grid_ix, round(ca, 6) AS ca, round(cd, 6) AS cd FROM l2")
 def swt_level2_circular(spark, sf_dir):
     return _coefficients(spark, sf_dir, 2)
 

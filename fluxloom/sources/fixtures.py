@@ -54,14 +54,15 @@ def grid_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("object_id", "filter", "grid_ix", F.col("grid_ix").cast("double").alias("mjd"), flux.alias("flux"), F.lit(1.0).alias("flux_error"))
 
 
-#: The same tables as DuckDB common table expressions.
-OBS_SQL = """obs AS (
+#: The same tables as DuckDB common table expressions. They are materialised: under a LIMIT, DuckDB may else plan a table's
+#: join with itself as one that does not end.
+OBS_SQL = """obs AS MATERIALIZED (
   SELECT event_id, user_id AS object_id, (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS mjd,
     CASE event_type WHEN 'click' THEN 'lsstu' WHEN 'error' THEN 'lsstg' WHEN 'purchase' THEN 'lsstr' WHEN 'signup' THEN 'lssti' WHEN 'view' THEN 'lsstz' END AS filter,
     value AS flux, 1 + json_extract_string(props, '$.k')::DOUBLE / 10 AS flux_error, value >= 100 AS detected
   FROM events
 )"""
-OBJ_SQL = """objs AS (
+OBJ_SQL = """objs AS MATERIALIZED (
   SELECT o AS object_id, CASE o % 3 WHEN 0 THEN 42 WHEN 1 THEN 62 ELSE 90 END AS target, o % 10 = 0 AS ddf,
     CASE WHEN o % 4 = 0 THEN -9.0::DOUBLE ELSE 0.05::DOUBLE + (o % 20) * 0.05::DOUBLE END AS hostgal_specz,
     0.05::DOUBLE + (o % 20) * 0.05::DOUBLE + ((o * 7) % 11 - 5) * 0.01::DOUBLE AS hostgal_photoz,
@@ -69,7 +70,7 @@ OBJ_SQL = """objs AS (
   FROM (SELECT DISTINCT user_id AS o FROM events)
 )"""
 GRID_SQL = """bands(b, filter) AS (VALUES (0, 'lsstu'), (1, 'lsstg'), (2, 'lsstr'), (3, 'lssti'), (4, 'lsstz')
-), grid AS (
+), grid AS MATERIALIZED (
   SELECT object_id, filter, i AS grid_ix, i::DOUBLE AS mjd,
     20.0::DOUBLE + (object_id % 7) * 5.0::DOUBLE + b * 3.0::DOUBLE + ((i * 13 + object_id * 5 + b * 7) % 17) * 4.0::DOUBLE AS flux
   FROM (SELECT DISTINCT user_id AS object_id FROM events), bands, range(0, 32) t(i)
