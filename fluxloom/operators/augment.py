@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators.fit import _seed
 from fluxloom.operators.gp import condition, fit_2d, kernel_2d
-from fluxloom.runtime import dealt, materialised
+from fluxloom.operators.neighbours import nearest_rows
+from fluxloom.ordering import running_sums
+from fluxloom.runtime import broadcast_if_small, dealt, materialised
 from fluxloom.schema import LSST, PASSBANDS
 
 
@@ -284,78 +286,59 @@ def refit_gps(made: DataFrame, key: str = "object_id", **options) -> DataFrame:
     return fit_gps(only, key=key, **options)
 
 
-def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features", borderline: bool = False, weights: DataFrame | None = None) -> DataFrame:
+def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", label: str = "label", column: str = "features", borderline: bool = False, weights: DataFrame | None = None, each: int = 512) -> DataFrame:
     """Synthetic rows that bring every class to the size of the largest: (key, label, features, original_event).
 
-    Each is a random point between a row and one of its ``k`` nearest in the class. Every row meets every block of about
-    2048 rows of its class, each block gives its ``k`` nearest, and the nearest of these count: whatever the class's size
-    they are exact. With ``borderline`` rows are preferred that have neighbours further away; with ``weights`` (key, weight)
-    rows are drawn by their weight, those of a class without weight evenly.
+    Each is a random point between a row and one of its ``k`` nearest in the class, found exactly by a metric index. What a
+    class needs is dealt to its rows in a random order by running sums, a row's share at a time, rounded down or up; with
+    ``borderline`` shares follow the mean distance of a row's nearest, with ``weights`` (key, weight) these, and a class without
+    weight deals evenly. A row's draws are cut into runs of ``each`` and these are spread over tasks of some thousands, so that a
+    rare class is made in as many tasks as a common one. Rows that repeat an id are rows of their own.
     """
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_need", F.max("_n").over(W.partitionBy()) - F.col("_n")).withColumn("_cells", F.ceil(F.col("_n") / 2048).cast("int"))
-    data = rows.join(sizes, rows[label].eqNullSafe(sizes[label])).drop(sizes[label]).where("_need > 0")
-    data = data.select(F.col(key).cast("string").alias("id"), label, F.col(column).cast("array<double>").alias("x"), "_n", "_need", "_cells")
-    # rows that repeat an id are rows of their own
-    order = F.row_number().over(W.partitionBy(label, "id").orderBy("x"))
-    data = materialised(data.withColumn("copy", order).withColumn("_cell", F.pmod(F.xxhash64("id", "copy"), F.col("_cells")).cast("int")))
-    kind = dict(rows.dtypes)[label]
-    cells = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
-    # blocks of askers meet blocks of the class: no task holds more than two blocks
-    ask = data.select(label, F.col("_cell").alias("_ask"), cells.alias("_met"), "id", "copy", "x")
-    known = data.select(F.col(label).alias("_kl"), cells.alias("_ka"), F.col("_cell").alias("_km"), F.col("id").alias("other"), F.col("copy").alias("other_copy"), F.col("x").alias("y"))
-
-    def nearest(asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        out = {label: [], "id": [], "copy": [], "other": [], "other_copy": [], "d": [], "y": []}
-        if len(asked) and len(met):
-            met = met.sort_values(["other", "other_copy"])
-            x, ids, copies = np.stack(met["y"].to_numpy()), met["other"].to_numpy(), met["other_copy"].to_numpy()
-            for c, i, n, q in zip(asked[label], asked["id"], asked["copy"], asked["x"], strict=True):
-                d = ((x - q) ** 2).sum(axis=1)
-                d[(ids == i) & (copies == n)] = np.inf
-                at = [j for j in np.argsort(d, kind="stable")[:k] if d[j] < np.inf]
-                for name, values in ((label, [c] * len(at)), ("id", [i] * len(at)), ("copy", [n] * len(at)), ("other", ids[at]), ("other_copy", copies[at]), ("d", d[at]), ("y", x[at])):
-                    out[name] += list(values)
-        return pd.DataFrame(out)
-
-    found = ask.groupBy(label, "_ask", "_met").cogroup(known.groupBy("_kl", "_ka", "_km")).applyInPandas(nearest, f"{label} {kind}, id string, copy int, other string, other_copy int, d double, y array<double>")
-    found = found.withColumn("_r", F.row_number().over(W.partitionBy(label, "id", "copy").orderBy("d", "other", "other_copy"))).where(F.col("_r") <= k)
-    lists = found.groupBy(F.col(label).alias("_l"), F.col("id").alias("_i"), F.col("copy").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("_r", "d", "y"))).alias("near"), F.avg(F.sqrt("d")).alias("far"))
-    data = data.join(lists, data[label].eqNullSafe(F.col("_l")) & (data["id"] == F.col("_i")) & (data["copy"] == F.col("_c")), "left")
+    sizes = sizes.withColumn("_need", F.max("_n").over(W.partitionBy()) - F.col("_n")).where("_need > 0")
+    data = rows.join(sizes, rows[label].eqNullSafe(sizes[label])).drop(sizes[label])
+    data = data.select(F.col(key).cast("string").alias("id"), F.col(label).alias("y"), F.col(column).cast("array<double>").alias("x"), "_need")
+    data = data.withColumn("copy", F.row_number().over(W.partitionBy("y", "id").orderBy("x")))
+    # null labels are a class
+    data = data.withColumns({"g": F.coalesce(F.concat(F.lit("="), F.col("y").cast("string")), F.lit("-")), "row": F.concat_ws("\u0001", F.coalesce("id", F.lit("")), "copy")})
+    data = materialised(data)
+    found = nearest_rows(data, data, k + 1, "row", "x", "x", group="g").where(F.col("other") != F.col("row"))
+    found = found.withColumn("_r", F.row_number().over(W.partitionBy("row").orderBy("d", "other"))).where(F.col("_r") <= k)
+    lists = found.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("_r", F.col("y").alias("x")))).alias("near"), F.avg("d").alias("far"))
+    data = data.join(lists, F.col("row") == F.col("_row"), "left")
     if weights is not None:
-        given = weights.groupBy(F.col(key).cast("string").alias("_wi")).agg(F.max("weight").alias("_weight"))
-        data = data.join(given, data["id"] == given["_wi"], "left").withColumn("far", F.coalesce("_weight", F.lit(0.0))).drop("_wi", "_weight")
-    far = data.groupBy(F.col(label).alias("_fl")).agg(F.sum("far").alias("_all"))
-    # rows draw their share of what the class needs; shares add up to it exactly, as rounded running sums over cells
-    share = F.col("far") / F.col("_all") if borderline or weights is not None else F.lit(None).cast("double")
-    data = data.join(far, data[label].eqNullSafe(F.col("_fl")), "left").withColumn("_share", F.coalesce(F.when(F.col("_all") > 0, share), 1 / F.col("_n")))
-    parts = data.groupBy(label, "_cell").agg(F.sum("_share").alias("_s"), F.first("_need").alias("_w"))
-    run = F.sum("_s").over(W.partitionBy(label).orderBy("_cell"))
-    last = F.lead("_cell").over(W.partitionBy(label).orderBy("_cell")).isNull()
-    parts = parts.withColumn("_to", F.when(last, F.col("_w")).otherwise(F.least("_w", F.round(run * F.col("_w")).cast("long"))))
-    parts = parts.withColumn("_want", F.col("_to") - F.coalesce(F.lag("_to").over(W.partitionBy(label).orderBy("_cell")), F.lit(0)))
-    parts = parts.select(F.col(label).alias("_pl"), F.col("_cell").alias("_pc"), "_want")
-    data = data.join(parts, data[label].eqNullSafe(F.col("_pl")) & (data["_cell"] == F.col("_pc"))).select(label, "_cell", "id", "copy", "x", "near", "_share", "_want")
-
-    def made(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "copy"])
-        x, ids, near = np.stack(pdf["x"].to_numpy()), pdf["id"].tolist(), pdf["near"].tolist()
-        rng = np.random.default_rng(_seed(seed, pdf[label].iloc[0], pdf["_cell"].iloc[0]))
-        weights, out = pdf["_share"].to_numpy(float), []
-        for i in range(int(pdf["_want"].iloc[0])):
-            at = int(rng.choice(len(x), p=weights / weights.sum()))
-            others = near[at] if near[at] is not None else []
-            other = np.asarray(others[rng.integers(len(others))]["y"], float) if len(others) else x[at]
-            out.append((f"{ids[at]}_syn{pdf['_cell'].iloc[0]}_{i}", pdf[label].iloc[0], (x[at] + rng.random() * (other - x[at])).tolist(), ids[at]))
-        return pd.DataFrame(out, columns=[key, label, column, "original_event"])
-
-    return data.groupBy(label, "_cell").applyInPandas(made, f"{key} string, {label} {kind}, {column} array<double>, original_event string")
+        given = weights.groupBy(F.col(key).cast("string").alias("_wi")).agg(F.max("weight").alias("_w"))
+        share = data.join(given, data["id"] == given["_wi"], "left").withColumn("share", F.coalesce("_w", F.lit(0.0)))
+    else:
+        share = data.withColumn("share", F.coalesce("far", F.lit(0.0)) if borderline else F.lit(1.0))
+    # shares are whole numbers, so that sums do not depend on how rows are dealt out
+    share = share.withColumn("share", F.round(F.col("share") * 1_000_000).cast("long"))
+    even = materialised(share.groupBy(F.col("g").alias("_g")).agg(F.sum("share").alias("_all"), F.count("*").alias("_rows")))
+    share = share.join(broadcast_if_small(even), F.col("g") == F.col("_g")).withColumn("share", F.when(F.col("_all") > 0, F.col("share")).otherwise(1))
+    share = share.withColumn("_all", F.when(F.col("_all") > 0, F.col("_all")).otherwise(F.col("_rows"))).select("g", "row", "id", "copy", "y", "x", "near", "share", "_all", "_need")
+    lot = F.xxhash64(F.lit(seed), "row")
+    sums = materialised(running_sums(share, [F.col("g"), lot, F.col("row")], ahead=F.col("share")))
+    first = materialised(sums.groupBy(F.col("g").alias("_g")).agg(F.min("ahead").alias("_first")))
+    dealt_ = sums.join(broadcast_if_small(first), F.col("g") == F.col("_g")).withColumn("ahead", F.col("ahead") - F.col("_first"))
+    upto = lambda x: F.floor(x.cast("double") * F.col("_need") / F.col("_all"))
+    dealt_ = dealt_.select("row", "id", "copy", "y", "x", "near", upto(F.col("ahead")).alias("low"), upto(F.col("ahead") + F.col("share")).alias("high")).where("high > low")
+    total = dealt_.agg(F.coalesce(F.sum(F.col("high") - F.col("low")), F.lit(0))).first()[0]
+    runs = dealt_.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low") - 1) / each))))
+    runs = runs.repartition(max(1, math.ceil(total / (8 * each))), "row", "run")
+    last = F.least(F.col("high") - F.col("low"), (F.col("run") + 1) * each) - 1
+    draws = runs.withColumn("j", F.explode(F.sequence(F.col("run") * each, last)))
+    chance = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "row", "j"), 11) / float(1 << 53)
+    place = F.floor(chance(1) * F.size("near")).cast("int")
+    other = F.when(F.size("near") > 0, F.get("near", place)["x"]).otherwise(F.col("x"))
+    draws = draws.withColumns({"_t": chance(2), "_o": other})
+    point = F.zip_with("x", "_o", lambda a, b: a + F.col("_t") * (b - a))
+    name = F.concat(F.col("id"), F.lit("_syn"), F.when(F.col("copy") > 1, F.concat(F.col("copy").cast("string"), F.lit("_"))).otherwise(""), F.col("j").cast("string"))
+    return draws.select(name.alias(key), F.col("y").alias(label), point.alias(column), F.col("id").alias("original_event"))
 
 
 def _alien_share(rows: DataFrame, k: int, key: str, label: str, column: str) -> DataFrame:
     """(key, label, alien, n): how many of a row's ``k`` nearest other rows, over all classes, are of another class."""
-    from fluxloom.operators.classify import nearest_rows
-
     found = nearest_rows(rows, rows, k + 1, key, label, column).where(F.col("other") != F.col(key))
     found = found.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "other"))).where(F.col("_r") <= k)
     return found.join(rows.select(key, F.col(label).alias("_own")), key).groupBy(key).agg(F.count_if(F.col("y") != F.col("_own")).alias("alien"), F.count("*").alias("n"))
@@ -392,8 +375,6 @@ def resample(rows: DataFrame, method: str = "SMOTE", k: int = 5, seed: int = 0,
         bad = _alien_share(out, 3, key, label, column).where("alien > 0")
         return out.join(bad.select(key), key, "left_anti")
     if method == "SMOTETomek":
-        from fluxloom.operators.classify import nearest_rows
-
         found = nearest_rows(out, out, 2, key, label, column).where(F.col("other") != F.col(key))
         first = found.groupBy(key).agg(F.min_by(F.struct("other", "y"), F.struct("d", "other")).alias("_f"))
         first = materialised(first.join(out.select(key, F.col(label).alias("_own")), key).select(F.col(key).alias("_a"), F.col("_f.other").alias("_b"), (F.col("_f.y") != F.col("_own")).alias("_apart")).where("_apart"))

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.operators import metrics as M
+from fluxloom.operators.neighbours import nearest_rows
 from fluxloom.operators.subset import stratified_folds
 
 
@@ -92,38 +93,6 @@ def _decided(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, best["y"].alias("y_pred"), best["l"].alias("log_likelihood"), F.transform(parts, lambda p: p / total).alias("probability"))
 
 
-def nearest_rows(train: DataFrame, test: DataFrame, k: int, key: str = "object_id", label: str = "label", column: str = "features", block: int = 4096) -> DataFrame:
-    """(key, other, y, d): the ``k`` nearest training rows of every test row, exactly.
-
-    Both sides stand in numbered blocks of about ``block`` rows. Every block of test rows meets every block of training rows, a
-    meeting gives each test row its ``k`` nearest, and the nearest of these count: no task holds more than two blocks, and
-    partial results are k rows a block, never all pairs.
-    """
-    blocks, salts = (max(1, math.ceil(df.count() / block)) for df in (train, test))
-    salts = max(salts, 64 // blocks, 1)
-    kind, lab = dict(test.dtypes)[key], dict(train.dtypes)[label]
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    fit = train.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).alias("other"), F.col(label).alias("y"), F.col(column).alias("x")).withColumn("s", every(salts))
-    ask = test.select(every(blocks).alias("b"), key, F.col(column).alias("x"), F.pmod(F.xxhash64(key), F.lit(salts)).alias("s"))
-
-    def nearest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = {key: [], "other": [], "y": [], "d": []}
-        if len(asked) and len(known):
-            known = known.sort_values("other")
-            x, ids, y = np.stack(known["x"].to_numpy()), known["other"].to_numpy(), known["y"].to_numpy()
-            for name, q in zip(asked[key], asked["x"], strict=True):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                at = np.argsort(d, kind="stable")[:k]
-                out[key] += [name] * len(at)
-                out["other"] += ids[at].tolist()
-                out["y"] += y[at].tolist()
-                out["d"] += d[at].tolist()
-        return pd.DataFrame({c: pd.Series(v, dtype=float if c == "d" else object) for c, v in out.items()})
-
-    found = ask.groupBy("b", "s").cogroup(fit.groupBy("b", "s")).applyInPandas(nearest, f"{key} {kind}, other {dict(train.dtypes)[key]}, y {lab}, d double")
-    return found.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "other"))).where(F.col("_r") <= k).drop("_r")
-
-
 def knn_predict(train: DataFrame, test: DataFrame, k: int, key: str = "object_id", label: str = "label", column: str = "features", block: int = 4096) -> DataFrame:
     """(key, y_pred, probability) by the ``k`` nearest training rows, each voting one over its distance."""
     labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
