@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxloom.operators import boosting
 from fluxloom.operators import metrics as M
 from fluxloom.operators.neighbours import nearest_rows
 from fluxloom.operators.subset import stratified_folds
@@ -255,6 +256,34 @@ class BoostedTrees(Classifier):
         return rows.withColumn("probability", F.transform(parts, lambda p: p / total))
 
 
+class LeafwiseTrees(Classifier):
+    """Gradient boosting with trees grown best leaf first, one softmax model for all classes (see ``boosting``).
+
+    The grid is meant for ``coordinate_search`` with ``at_defaults``.
+    """
+
+    grid = {"num_leaves": tuple(range(10, 55, 5)), "learning_rate": tuple(10.0**x for x in np.linspace(-3, -0.01, 50)), "n_estimators": tuple(range(25, 120, 10)), "min_child_samples": tuple(range(20, 80, 10)), "max_depth": tuple(range(1, 20, 3)), "min_split_gain": tuple(np.linspace(0.0, 2.0, 21))}
+
+    def _fit(self, rows, weight):
+        data = rows.select("label", vector_to_array("features").alias("x"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
+        return boosting.fit(data, len(self.labels), boosting.Growth(**self.params))[0]
+
+    def _probability(self, rows):
+        model, classes = self.model, len(self.labels)
+
+        @F.pandas_udf("array<double>")
+        def told(x: pd.Series) -> pd.Series:
+            return pd.Series(list(model.probabilities(np.stack(x.to_numpy()))[:, :classes]) if len(x) else [])
+
+        return rows.withColumn("probability", told(vector_to_array("features")))
+
+    def _save(self, path: str) -> dict:
+        return {"boosted": self.model.plain()}
+
+    def _load(self, spark: SparkSession, path: str, about: dict) -> None:
+        self.model = boosting.Boosted.of(about["boosted"])
+
+
 class AdaBoost(Classifier):
     """SAMME over weighted trees or forests."""
 
@@ -352,7 +381,7 @@ class NaiveBayes(Classifier):
 
 CLASSIFIERS: dict[str, Callable[..., Classifier]] = {
     "svm": KernelSvm, "knn": Neighbours, "neural_network": Perceptron, "random_forest": RandomForest, "decision_tree": DecisionTree,
-    "boost_dt": AdaBoost, "boost_rf": lambda **p: AdaBoost(RandomForest, **p), "nb": NaiveBayes, "boosted_trees": BoostedTrees,
+    "boost_dt": AdaBoost, "boost_rf": lambda **p: AdaBoost(RandomForest, **p), "nb": NaiveBayes, "boosted_trees": BoostedTrees, "leafwise_trees": LeafwiseTrees,
 }
 
 
@@ -407,12 +436,15 @@ def grid_search(make: Callable[..., Classifier], rows: DataFrame, grid: Mapping[
     return Search(best, found, edges)
 
 
-def coordinate_search(make: Callable[..., Classifier], rows: DataFrame, grid: Mapping[str, Sequence[Any]], **options: Any) -> Search:
-    """One parameter after the other, each at the best values of those before, then the neighbourhood of what was found."""
+def coordinate_search(make: Callable[..., Classifier], rows: DataFrame, grid: Mapping[str, Sequence[Any]], at_defaults: bool = False, **options: Any) -> Search:
+    """One parameter after the other, then the neighbourhood of what was found, all parameters together.
+
+    Each is searched at the best values of those before or, with ``at_defaults``, with all others at their defaults.
+    """
     best: dict[str, Any] = {}
     scores: list = []
     for name, values in grid.items():
-        fixed = dict(best)
+        fixed = {} if at_defaults else dict(best)
         found = grid_search(lambda fixed=fixed, **p: make(**fixed, **p), rows, {name: values}, **options)
         best[name] = found.best[name]
         scores += found.scores

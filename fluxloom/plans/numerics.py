@@ -252,6 +252,12 @@ def clf_gbt_ovr(spark, sf_dir):
     return _classified(spark, sf_dir, K.BoostedTrees, maxIter=4, maxDepth=3)
 
 
+@query()
+def clf_leafwise(spark, sf_dir):
+    """Made smaller than the library's defaults: 5 rounds of 8 leaves."""
+    return _classified(spark, sf_dir, K.LeafwiseTrees, n_estimators=5, num_leaves=8)
+
+
 @query()
 def clf_adaboost_dt(spark, sf_dir):
     """Made smaller than the library's defaults: 3 rounds of depth 3."""
