@@ -2,7 +2,7 @@
 
 Features are cut into at most ``max_bin`` bins at quantiles. A round grows one tree a class (one in all for two classes). A pass over
 the rows sums gradients, second derivatives and rows by (tree, leaf, feature, bin) in each partition; partitions' sums are
-merged feature by feature, which also finds each feature's best split there, so that histograms never meet on the driver: it
+dealt by (tree, leaf, feature) and merged, which also finds each feature's best split there, so that histograms never meet on the driver: it
 gets one split a leaf.
 
 The leaf with the greatest gain is split next, until a tree has ``num_leaves``. One pass serves all leaves of all trees that this
@@ -265,22 +265,27 @@ def _best_splits(data: DataFrame, growers: list[_Grower], how: Growth) -> DataFr
             if nodes:
                 cube = held[k].reshape(3, len(nodes), -1, size)
                 for j, node in enumerate(nodes):
-                    n = cube.shape[2]
-                    columns = [pa.array([k] * n, pa.int32()), pa.array([node] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([cube[:, j, f].tobytes() for f in range(n)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "feature", "cells"])
+                    full = [np.flatnonzero(n) for n in cube[2, j]]  # of a small leaf most bins are empty
+                    columns = [pa.array([x] * len(full), pa.int32()) for x in (k, node)] + [pa.array(range(len(full)), pa.int32())]
+                    columns += [pa.array([x.astype("<u2").tobytes() for x in full], pa.binary()), pa.array([cube[:, j, f][:, x].tobytes() for f, x in enumerate(full)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "feature", "bins", "cells"])
 
-    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, size))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for cells in batch.column(3).to_pylist():
-                total += np.frombuffer(cells).reshape(3, size)
-        found, feature = best_split(*total, how), key[2].as_py()
-        best = None if found is None else {"gain": found[0], "feature": feature, "bin": found[1], "left": found[2]}
-        yield pa.RecordBatch.from_pylist([{"tree": key[0].as_py(), "node": key[1].as_py(), "feature": feature, "sums": total.sum(axis=1).tolist(), "best": best}], schema=out)
+            for *key, bins, cells in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                held = totals.setdefault(tuple(key), np.zeros((3, size)))
+                held[:, np.frombuffer(bins, "<u2")] += np.frombuffer(cells).reshape(3, -1)
+        rows = []
+        for (tree, node, feature), total in totals.items():
+            found = best_split(*total, how)
+            best = None if found is None else {"gain": found[0], "feature": feature, "bin": found[1], "left": found[2]}
+            rows.append({"tree": tree, "node": node, "feature": feature, "sums": total.sum(axis=1).tolist(), "best": best})
+        yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     struct = pa.struct([("gain", pa.float64()), ("feature", pa.int32()), ("bin", pa.int32()), ("left", pa.list_(pa.float64()))])
     out = pa.schema([("tree", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("sums", pa.list_(pa.float64())), ("best", struct)])
-    each = data.mapInArrow(summed, "tree int, node int, feature int, cells binary").groupBy("tree", "node", "feature")
-    each = each.applyInArrow(merged, "tree int, node int, feature int, sums array<double>, best struct<gain: double, feature: int, bin: int, left: array<double>>")
+    each = data.mapInArrow(summed, "tree int, node int, feature int, bins binary, cells binary").repartition("tree", "node", "feature")
+    each = each.mapInArrow(merged, "tree int, node int, feature int, sums array<double>, best struct<gain: double, feature: int, bin: int, left: array<double>>")
     order = F.when(F.col("best").isNotNull(), F.struct(F.col("best.gain"), -F.col("feature")))
     return each.groupBy("tree", "node").agg(F.min_by("sums", "feature").alias("sums"), F.max_by("best", order).alias("best"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxloom.operators import boosting
+from fluxloom.operators import boosting, perceptron
 from fluxloom.operators import metrics as M
 from fluxloom.operators.neighbours import nearest_rows
 from fluxloom.operators.subset import stratified_folds
+from fluxloom.runtime import materialised
 
 
 def _width(df: DataFrame, column: str = "features") -> int:
@@ -204,6 +206,102 @@ class Perceptron(Classifier):
         return MultilayerPerceptronClassifier(layers=[width, hidden, max(2, len(self.labels))], **args).fit(rows)
 
 
+class TanhPerceptron(Classifier):
+    """Hidden layers of tanh units, trained by Adam on seeded mini-batches (see ``perceptron``)."""
+
+    grid = {"hidden": tuple((n,) for n in range(80, 120, 5))}
+
+    def fit(self, train: DataFrame, weight: str | None = None, key: str = "object_id") -> TanhPerceptron:
+        rows = self._prepared(train.withColumn("_key", F.col(key).cast("string")), "_key")
+        data = rows.select("label", vector_to_array("features").alias("x"), F.col("_key").alias("key"))
+        self.sizes, self.model, self.losses = perceptron.fit(data, len(self.labels), **self.params)
+        return self
+
+    def _probability(self, rows):
+        weights, classes = self.model, len(self.labels)
+
+        @F.pandas_udf("array<double>")
+        def told(x: pd.Series) -> pd.Series:
+            return pd.Series(list(perceptron.forward(np.nan_to_num(np.stack(x.to_numpy())), weights)[-1][:, :classes]) if len(x) else [])
+
+        return rows.withColumn("probability", told(vector_to_array("features")))
+
+    def _save(self, path: str) -> dict:
+        return {"sizes": self.sizes, "flat": perceptron.flattened(self.model).tolist()}
+
+    def _load(self, spark: SparkSession, path: str, about: dict) -> None:
+        self.sizes, self.model = about["sizes"], perceptron.unflattened(np.array(about["flat"]), about["sizes"])
+
+
+class BaggedForest(Classifier):
+    """A forest whose bags can be made again, and so its out-of-bag score.
+
+    A row stands in a tree's bag as often as a Poisson draw of mean 1 says, which is a hash of seed, tree and key. Trees are
+    fitted side by side, ``parallelism`` at a time, each node on a random share of the features.
+    """
+
+    grid = {"numTrees": tuple(range(200, 900, 100)), "impurity": ("gini", "entropy")}
+
+    def _bag(self, tree: int, key: str) -> Column:
+        return bag_count(tree, key, self.params.get("seed", 1))
+
+    def fit(self, train: DataFrame, weight: str | None = None, key: str = "object_id") -> BaggedForest:
+        args = {"numTrees": 200, "maxDepth": 10, "impurity": "entropy", "seed": 1, "parallelism": 4} | self.params
+        rows = materialised(self._prepared(train.withColumn("_key", F.col(key)), "_key"))
+        trees, parallel = args.pop("numTrees"), args.pop("parallelism")
+
+        def one(tree: int) -> Any:
+            bag = rows.withColumn("_w", self._bag(tree, "_key").cast("double")).where("_w > 0")
+            return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", weightCol="_w", **(args | {"seed": args["seed"] + tree})).fit(bag)
+
+        with ThreadPool(parallel) as pool:
+            self.model = pool.map(one, range(trees))
+        return self
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with each tree's probabilities as _p0, _p1 and so on."""
+        for i, tree in enumerate(self.model):
+            told = tree.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_v{i}")
+            rows = told.transform(rows).withColumn(f"_p{i}", vector_to_array(f"_v{i}")).drop(f"_v{i}")
+        return rows
+
+    def _mean(self, parts: Column) -> Column:
+        classes = len(self.labels)
+        total = F.aggregate(parts, F.array(*[F.lit(0.0)] * classes), lambda a, p: F.zip_with(a, p, lambda x, y: x + F.coalesce(y, F.lit(0.0))))
+        return F.when(F.size(parts) > 0, F.transform(total, lambda x: x / F.size(parts)))
+
+    def _probability(self, rows):
+        kept = rows.columns
+        return self._each(rows).select(*kept, self._mean(F.array(*[F.col(f"_p{i}") for i in range(len(self.model))])).alias("probability"))
+
+    def out_of_bag(self, train: DataFrame, key: str = "object_id") -> DataFrame:
+        """(key, label, votes, y_pred, probability): each row of the training table by the trees whose bags lack it.
+
+        Rows that stand in every bag have no vote, and null.
+        """
+        rows = self._each(train.select(key, "label", array_to_vector("features").alias("features")))
+        voters = F.filter(F.array(*[F.when(self._bag(i, key) == 0, F.col(f"_p{i}")) for i in range(len(self.model))]), lambda p: p.isNotNull())
+        rows = rows.select(key, "label", voters.alias("_votes")).withColumn("probability", self._mean(F.col("_votes")))
+        place = F.array_position("probability", F.array_max("probability")).cast("int")
+        told = F.when(F.size("_votes") > 0, F.element_at(F.array(*[F.lit(y) for y in self.labels]), F.coalesce(place, F.lit(1))))
+        return rows.select(key, "label", F.size("_votes").alias("votes"), told.alias("y_pred"), "probability")
+
+    def out_of_bag_score(self, train: DataFrame, key: str = "object_id") -> float:
+        """The share of rows with a vote whose class the vote gives."""
+        told = self.out_of_bag(train, key).where("votes > 0")
+        return told.agg(F.avg((F.col("y_pred") == F.col("label")).cast("double"))).first()[0] or 0.0
+
+
+def bag_count(tree: int, key: str, seed: int) -> Column:
+    """How often a row stands in a tree's bag: a Poisson draw of mean 1 from a hash."""
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(tree), F.col(key).cast("string")), 11) / float(1 << 53)
+    count, below = F.lit(0), 0.0
+    for n in range(12):
+        below += math.exp(-1) / math.factorial(n)
+        count = F.when(chance >= below, F.lit(n + 1)).otherwise(count)
+    return count
+
+
 class KernelSvm(Classifier):
     """A Gaussian kernel by random Fourier features under a logistic loss, so that it gives probabilities."""
 
@@ -294,8 +392,6 @@ class AdaBoost(Classifier):
         self.base = base
 
     def fit(self, train: DataFrame, weight: str | None = None) -> AdaBoost:
-        from fluxloom.runtime import materialised
-
         args = {"rounds": 5} | self.params
         inner = {k: v for k, v in args.items() if k != "rounds"}
         self.labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
@@ -382,6 +478,7 @@ class NaiveBayes(Classifier):
 CLASSIFIERS: dict[str, Callable[..., Classifier]] = {
     "svm": KernelSvm, "knn": Neighbours, "neural_network": Perceptron, "random_forest": RandomForest, "decision_tree": DecisionTree,
     "boost_dt": AdaBoost, "boost_rf": lambda **p: AdaBoost(RandomForest, **p), "nb": NaiveBayes, "boosted_trees": BoostedTrees, "leafwise_trees": LeafwiseTrees,
+    "tanh_network": TanhPerceptron, "bagged_forest": BaggedForest,
 }
 
 

@@ -254,8 +254,22 @@ def clf_gbt_ovr(spark, sf_dir):
 
 @query()
 def clf_leafwise(spark, sf_dir):
-    """Made smaller than the library's defaults: 5 rounds of 8 leaves."""
-    return _classified(spark, sf_dir, K.LeafwiseTrees, n_estimators=5, num_leaves=8)
+    """Made smaller than the library's defaults: 3 rounds of 8 leaves."""
+    return _classified(spark, sf_dir, K.LeafwiseTrees, n_estimators=3, num_leaves=8)
+
+
+@query()
+def clf_tanh_adam(spark, sf_dir):
+    """Made smaller than the library's defaults: 20 units, 5 epochs."""
+    return _classified(spark, sf_dir, K.TanhPerceptron, hidden=(20,), epochs=5, rate=0.01)
+
+
+@query()
+def forest_out_of_bag(spark, sf_dir):
+    """The votes of trees that did not see a row, for all rows; made smaller than the library's defaults: 12 trees of depth 5."""
+    rows = _vectors(spark, sf_dir)
+    forest = K.BaggedForest(numTrees=12, maxDepth=5).fit(rows)
+    return forest.out_of_bag(rows)
 
 
 @query()
