@@ -1,16 +1,19 @@
 """Near-duplicate detection by SimHash with a segment-popcount embedding.
 
 A fingerprint has a bit for each of the 64 bits of the shingles' hashes, set where over half of the hashes set it.
-The embedding of a fingerprint counts the bits of its 32 two-bit segments. The Manhattan distance of two embeddings
-is at most the Hamming distance of the fingerprints, so it may prune but never loses a link.
-
-The segments are dealt into ``m`` parts. Fingerprints at most ``d`` bits apart agree in ``m - d`` parts at least, in
-their counts and in the bits counted. So every fingerprint enters one cell of the grid for each choice of ``m - d``
-parts; fingerprints that meet in a cell are candidates, those whose embeddings over all segments are further apart than
-``d`` are passed over, and the exact Hamming distance decides. ``m`` follows the number of fingerprints: a fingerprint
-of random bits enters ``C(m, d)`` cells and meets ``C(m, d) * 2 ** -(64 * (m - d) / m) * n`` others in them. ``m`` is
-the least for which that is at most 4, so candidates stay flat (``d = 4``: 15 cells up to 7e5 fingerprints, 35 up to
-2e7, 70 up to 2e8, 330 up to 2e10). The choice of ``m`` changes the work, never the links.
+Its embedding counts the bits of two-bit segments, in two segmentations: the 32 that begin at even bits and the 31 that
+begin at odd ones. In either the Manhattan distance of two embeddings is at most the Hamming distance of the fingerprints, so
+it may prune but never loses a link.
+
+The grid range-join works on these counts alone. The even segments are dealt into ``m`` parts of consecutive bits; the odd segments
+inside a part belong to it. Where two fingerprints are within ``d`` bits, at least ``m - d`` parts have equal counts. So every
+fingerprint enters one cell of the grid for each choice of ``m - d`` parts, named by their counts. Fingerprints that meet in a
+cell and whose embeddings are within ``d`` in both segmentations are candidates, and the exact Hamming distance decides. Counts
+of overlapping segments tell nearly as much as the bits: among runs of one length only the two that alternate are taken for each
+other. ``m`` follows the number of fingerprints: one of random bits enters ``C(m, d)`` cells and meets about
+``C(m, d) * 2 ** -(64 * (m - d) / m) * n`` others in them. ``m`` is the least for which that is at most 4, so candidates stay
+flat (``d = 4``: 15 cells up to 7e5 fingerprints, 35 up to 2e7, 70 up to 2e8, 330 up to 2e10). The choice of ``m`` changes the
+work, never the links.
 
 Documents with one fingerprint are one node from the start, so copies are never paired. Links are shrunk to spanning
 forests in the tasks that find them and joined into components by alternating star contractions, distributed.
@@ -68,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
 
 def embedded(fp: Column) -> Column:
-    """The counts of the 32 two-bit segments, each as its number of low bits set: 00, 01 or 11.
+    """The counts of the 32 two-bit segments from bit 0 on, each as its number of low bits set: 00, 01 or 11.
 
     The Manhattan distance of two embeddings is the number of bits in which these longs differ.
     """
@@ -76,10 +79,15 @@ def embedded(fp: Column) -> Column:
     return fp.bitwiseOR(next_).bitwiseAND(even).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_).bitwiseAND(even), 1))
 
 
-def part_masks(parts: int) -> list[int]:
-    """The bits of each part, as signed longs: whole segments, as even as they come."""
+def embedded_odd(fp: Column) -> Column:
+    """The counts of the 31 two-bit segments from bit 1 on."""
+    return embedded(F.shiftrightunsigned(fp, 1)).bitwiseAND(F.lit((1 << 62) - 1).cast("long"))
+
+
+def part_masks(parts: int) -> list[tuple[int, int]]:
+    """The counts of each part in either embedding, as signed longs: whole segments, as even as they come."""
     edges = [2 * (32 * i // parts) for i in range(parts + 1)]
-    return [_signed((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(_signed((1 << b) - (1 << a)), _signed((1 << max(a, b - 2)) - (1 << a))) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _signed(x: int) -> int:
@@ -95,21 +103,26 @@ def grid_parts(count: int, max_distance: int, candidates: float = 4.0) -> int:
 
 
 def grid_cells(fp: Column, parts: int, max_distance: int) -> Column:
-    """The cells that a fingerprint enters, one for each choice of the parts that agree."""
-    chosen = [_signed(sum(m & (1 << 64) - 1 for m in c)) for c in combinations(part_masks(parts), parts - max_distance)]
-    return F.transform(F.lit(chosen).cast("array<long>"), lambda m: F.xxhash64(m, fp.bitwiseAND(m)))
+    """The cells that a fingerprint enters, one for each choice of the parts whose counts agree."""
+    chosen = [tuple(_signed(sum(m[i] & (1 << 64) - 1 for m in c)) for i in (0, 1)) for c in combinations(part_masks(parts), parts - max_distance)]
+    masks = (F.lit([c[i] for c in chosen]).cast("array<long>") for i in (0, 1))
+    even, odd = embedded(fp), embedded_odd(fp)
+    return F.zip_with(*masks, lambda m, o: F.xxhash64(m, even.bitwiseAND(m), odd.bitwiseAND(o)))
 
 
 def _told_cell(a: Column, b: Column, parts: int, max_distance: int) -> Column:
-    """The one cell in which a close pair is told: that of the first parts that agree."""
-    differ, none = a.bitwiseXOR(b), F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).alias("n"))
+    """The one cell in which a close pair is told: that of the first parts whose counts agree."""
+    even, odd = embedded(a), embedded_odd(a)
+    differ, apart = even.bitwiseXOR(embedded(b)), odd.bitwiseXOR(embedded_odd(b))
+    none = F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("odd"), F.lit(0).alias("n"))
 
     def add(held: Column, m: Column) -> Column:
-        agrees = (differ.bitwiseAND(m) == 0) & (held["n"] < parts - max_distance)
-        return F.struct(F.when(agrees, held["mask"].bitwiseOR(m)).otherwise(held["mask"]).alias("mask"), (held["n"] + agrees.cast("int")).alias("n"))
+        agrees = (differ.bitwiseAND(m["even"]) == 0) & (apart.bitwiseAND(m["odd"]) == 0) & (held["n"] < parts - max_distance)
+        more = lambda name, mask: F.when(agrees, held[name].bitwiseOR(mask)).otherwise(held[name]).alias(name)
+        return F.struct(more("mask", m["even"]), more("odd", m["odd"]), (held["n"] + agrees.cast("int")).alias("n"))
 
-    mask = F.aggregate(F.lit(part_masks(parts)).cast("array<long>"), none, add, lambda held: held["mask"])
-    return F.xxhash64(mask, a.bitwiseAND(mask))
+    masks = F.array(*[F.struct(F.lit(e).cast("long").alias("even"), F.lit(o).cast("long").alias("odd")) for e, o in part_masks(parts)])
+    return F.aggregate(masks, none, add, lambda held: F.xxhash64(held["mask"], even.bitwiseAND(held["mask"]), odd.bitwiseAND(held["odd"])))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -140,7 +153,7 @@ def linked_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
     parts = grid_parts(nodes.count(), max_distance)
     entered = nodes.select("fp", F.explode(grid_cells(F.col("fp"), parts, max_distance)).alias("cell"))
     a, b = F.col("a.fp"), F.col("b.fp")
-    bound = F.bit_count(embedded(a).bitwiseXOR(embedded(b))) <= max_distance
+    bound = (F.bit_count(embedded(a).bitwiseXOR(embedded(b))) <= max_distance) & (F.bit_count(embedded_odd(a).bitwiseXOR(embedded_odd(b))) <= max_distance)
     near = F.bit_count(a.bitwiseXOR(b)) <= max_distance
     told = (F.col("a.cell") == F.col("b.cell")) & (a < b) & F.when(bound & near, _told_cell(a, b, parts, max_distance) == F.col("a.cell")).otherwise(F.lit(False))
     return entered.alias("a").join(entered.alias("b"), told).select(a.alias("u"), b.alias("v"))

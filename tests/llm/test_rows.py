@@ -60,13 +60,34 @@ def test_candidates_stay_flat(spark):
     assert max(met) <= 5 and [simhash.grid_parts(n, 4) for n in (10**5, 10**6, 10**9)] == [6, 7, 9]
 
 
-def test_embedding_bounds_the_distance(spark):
+def _counts(x, first):
+    return [(x >> i & 1) + (x >> i + 1 & 1) for i in range(first, 63, 2)]
+
+
+def test_embeddings_bound_the_distance(spark):
     rng = random.Random(8)
     pairs = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(200)]
-    counts = lambda x: [(x >> 2 * i & 1) + (x >> 2 * i + 1 & 1) for i in range(32)]
-    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.bit_count(simhash.embedded(F.col("a")).bitwiseXOR(simhash.embedded(F.col("b")))).alias("d"))
+    apart = lambda f: F.bit_count(f(F.col("a")).bitwiseXOR(f(F.col("b"))))
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", apart(simhash.embedded).alias("even"), apart(simhash.embedded_odd).alias("odd"))
     for r in df.collect():
-        assert r.d == sum(abs(x - y) for x, y in zip(counts(r.a), counts(r.b), strict=True)) <= bin(r.a ^ r.b).count("1")
+        for first, d in ((0, r.even), (1, r.odd)):
+            assert d == sum(abs(x - y) for x, y in zip(_counts(r.a, first), _counts(r.b, first), strict=True)) <= bin(r.a ^ r.b).count("1")
+
+
+def test_cells_depend_on_segment_counts_only(spark):
+    """Runs that alternate have the same counts and so the same cells; other bits change a count, and a cell with it."""
+    rng, signed = random.Random(5), lambda x: x - (1 << 64) if x >> 63 else x
+    cells = lambda xs, parts: [r.c for r in spark.createDataFrame([(signed(x),) for x in xs], "fp long").select(simhash.grid_cells(F.col("fp"), parts, 4).alias("c")).collect()]
+    for parts in (6, 7, 9):
+        edges = [2 * (32 * i // parts) for i in range(parts + 1)]
+        one = two = 0
+        for a, b in zip(edges, edges[1:], strict=False):  # every part alternates, from 0 or from 1
+            run = sum(1 << i for i in range(0, b - a, 2))
+            one, two = one | run << a, two | (run if rng.random() < 0.5 else run << 1) << a
+        assert one != two and cells([one], parts) == cells([two], parts)
+        x = rng.getrandbits(64)
+        own, *others = cells([x, *(x ^ 1 << i for i in range(64))], parts)
+        assert own not in others
 
 
 def _substring(df, **args):
