@@ -11,9 +11,9 @@ First pass: every partition builds a count-min sketch of the documents in which
 document, in ``rows`` rows of ``2 ** bits`` cells. The partitions' sketches are summed cell by cell. A merged cell is
 at least the count of each anchor that falls into it, so anchors with a cell below 2 occur in one document only.
 ``bits`` follows the size of the texts, at least 8 cells a row for an anchor, so that about 1.4 % of the anchors of one
-document pass. Only whether a cell reached 2 is kept, one bit each; that bitmap is broadcast up to ``broadcast_bytes``.
-Beyond, the sketch is a table: one row of 2^62 cells, whose partition sketches are Spark's partial counts, and the anchors
-of cells that reached 2 are joined to their documents. Either way the same windows go.
+document pass, whatever the size of the texts. Only whether a cell reached 2 is kept, one bit each; that bitmap is broadcast up to
+``broadcast_bytes``. Beyond, it stays a table of the cells that reached 2, row by row: anchors are joined to those of the first row,
+and what is left to those of the next. Either way the same windows go.
 
 Second pass: only windows whose anchor is estimated repeated are grouped, exactly. A run of windows that share an
 anchor is one span, named by a 128-bit hash of its words. A span that a smaller document has too goes whole. Only the
@@ -111,7 +111,7 @@ def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def _sketches(rows: DataFrame, width: int, gram: int, sketch_rows: int, bits: int) -> DataFrame:
     """The merged sketch in blocks of 2^16 cells: (row, block, bitmap), the bit of a cell set where it reached 2."""
-    high, size = max(0, bits - _BLOCK_BITS), 1 << min(bits, _BLOCK_BITS)
+    size = 1 << min(bits, _BLOCK_BITS)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         anchors = []
@@ -123,17 +123,16 @@ def _sketches(rows: DataFrame, width: int, gram: int, sketch_rows: int, bits: in
         anchors = np.concatenate(anchors)
         for row in range(sketch_rows):
             cells, counts = np.unique(_cells(anchors, row, bits), return_counts=True)
-            cuts = np.searchsorted(cells, np.arange(1, 1 << high) << _BLOCK_BITS)
-            out = {"row": [], "block": [], "cells": [], "counts": []}
-            for block, (c, n) in enumerate(zip(np.split(cells, cuts), np.split(counts, cuts), strict=True)):
-                if len(c):
-                    out["row"].append(row)
-                    out["block"].append(block)
-                    out["cells"].append((c & (size - 1)).astype("<u2").tobytes())
-                    out["counts"].append(np.minimum(n, 2).astype(np.uint8).tobytes())
+            blocks = cells >> _BLOCK_BITS
+            starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(cells) else np.zeros(0, np.int64)
+            held = zip(np.split(cells, starts[1:]), np.split(counts, starts[1:]), strict=True) if len(cells) else ()
+            out = {"row": [row] * len(starts), "block": blocks[starts], "cells": [], "counts": []}
+            for c, n in held:
+                out["cells"].append((c & (size - 1)).astype("<u2").tobytes())
+                out["counts"].append(np.minimum(n, 2).astype(np.uint8).tobytes())
             yield out
 
-    parts = map_batches(rows.select("text"), built, "row int, block int, cells binary, counts binary")
+    parts = map_batches(rows.select("text"), built, "row int, block long, cells binary, counts binary")
 
     def merged(key, batches):
         total = np.zeros(size, np.uint8)
@@ -142,12 +141,12 @@ def _sketches(rows: DataFrame, width: int, gram: int, sketch_rows: int, bits: in
                 at = np.frombuffer(cells, "<u2")
                 total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint8), 2)
         bitmap = zlib.compress(np.packbits(total >= 2).tobytes(), 1)
-        yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bitmap": pa.array([bitmap], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "bitmap": pa.array([bitmap], pa.binary())})
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged(key, batches)
 
-    return parts.groupBy("row", "block").applyInArrow(merge, "row int, block int, bitmap binary")
+    return parts.groupBy("row", "block").applyInArrow(merge, "row int, block long, bitmap binary")
 
 
 class RepeatSketch:
@@ -178,21 +177,28 @@ def sketch_bits(rows: DataFrame) -> int:
     return max(_BLOCK_BITS, math.ceil(math.log2(max(1, _CELLS * size // _BYTES))))
 
 
-def _by_table(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """``rows`` that have flagged anchors, with these: the sketch as a table, for texts beyond a broadcast."""
+def _by_table(rows: DataFrame, width: int, gram: int, sketch_rows: int, bits: int) -> DataFrame:
+    """``rows`` that have flagged anchors, with these: the sketch's cells that reached 2 as a table, for texts beyond a broadcast."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row, block, bitmap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8)))
+                yield {"row": np.full(len(at), row, np.int32), "cell": at + (block << _BLOCK_BITS)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             anchors = [np.unique(Spans(t, width, gram).anchor).astype(np.uint64) for t in batch.column(2).to_pylist()]
             n = [len(x) for x in anchors]
             all_ = np.concatenate([np.zeros(0, np.uint64), *anchors])
-            yield {"a": np.repeat(batch.column(0).to_numpy(), n), "b": np.repeat(batch.column(1).to_numpy(), n), "anchor": all_.view(np.int64), "cell": _cells(all_, 0, 62)}
-
-    held = materialised(map_batches(rows.select("key_a", "key_b", "text"), found, "a long, b long, anchor long, cell long"))
-    # rows that repeat an id and a text are one document
-    ends = [f(x).alias(f"{n}_{x}") for x in ("a", "b") for n, f in (("low", F.min), ("high", F.max))]
-    full = materialised(held.groupBy("cell").agg(*ends).where("low_a < high_a OR low_b < high_b").select("cell"))
-    flagged = held.join(full, "cell").groupBy("a", "b").agg(F.collect_set("anchor").alias("flagged"))
+            yield {"a": np.repeat(batch.column(0).to_numpy(), n), "b": np.repeat(batch.column(1).to_numpy(), n), "anchor": all_.view(np.int64)} | {f"cell{i}": _cells(all_, i, bits) for i in range(sketch_rows)}
+
+    full = materialised(map_batches(_sketches(rows, width, gram, sketch_rows, bits), cells, "row int, cell long"))
+    names = ", ".join(f"cell{i} long" for i in range(sketch_rows))
+    held = map_batches(rows.select("key_a", "key_b", "text"), found, f"a long, b long, anchor long, {names}")
+    for i in range(sketch_rows):  # only what one row has flagged is shuffled for the next
+        held = held.join(full.where(F.col("row") == i).select(F.col("cell").alias(f"cell{i}")), f"cell{i}").drop(f"cell{i}")
+    flagged = held.groupBy("a", "b").agg(F.collect_set("anchor").alias("flagged"))
     return rows.join(flagged, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b"))).drop("a", "b")
 
 
@@ -211,7 +217,7 @@ def repeated_windows(rows: DataFrame, width: int = 50, gram: int = 12, sketch_ro
     rows = rows.select("rank_id", "key_a", "key_b", "text")
     bits = sketch_bits(rows) if bits is None else bits
     if sketch_rows << bits > 8 * broadcast_bytes:
-        shared, rows = None, _by_table(rows, width, gram)
+        shared, rows = None, _by_table(rows, width, gram, sketch_rows, bits)
     else:
         sketch = RepeatSketch(sketch_rows, bits)
         for row, block, bitmap in _sketches(rows, width, gram, sketch_rows, bits).toLocalIterator():

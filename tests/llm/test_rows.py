@@ -123,6 +123,31 @@ def test_substring_by_table_against_brute_force(docs, seed):
     assert _substring(docs([(i, t, "en", "a") for i, t in rows], clash=False), width=8, gram=3, broadcast_bytes=0) == _cut(rows, 8)
 
 
+def test_sketch_as_a_table(docs):
+    """Bits by default and a small broadcast: the sketch's full cells are joined, few anchors pass, and the same words go."""
+    rng = random.Random(6)
+    passages = [[f"p{rng.randrange(10_000)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(900):
+        w = [f"w{rng.randrange(100_000)}" for _ in range(rng.randrange(0, 150))]
+        rows.append((i, " ".join(w + rng.choice(passages) if i % 9 == 0 else w)))
+    df = docs([(i, t, "en", "a") for i, t in rows], clash=False)
+    assert _substring(df, broadcast_bytes=1000) == _substring(df) == _cut(rows, 50)
+    keyed = substring.keyed(df, "doc_id", "text").select("rank_id", "key_a", "key_b", "text")
+    lone = {t for i, t in rows if i % 9}
+    flagged = [r for r in substring._by_table(keyed, 50, 12, 2, substring.sketch_bits(keyed)).collect() if r.text in lone]
+    anchors = sum(len(np.unique(substring.Spans(t, 50, 12).anchor)) for t in lone)
+    assert sum(len(r.flagged) for r in flagged) < 0.02 * anchors
+
+
+def test_blocks_of_a_wide_sketch(spark):
+    """A sketch of 2^40 cells holds only the blocks that have anchors."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = spark.createDataFrame([(text,), (text,), ("other " * 60 + text[:400],)], "text string")
+    held = substring._sketches(rows, 50, 12, 2, 40).collect()
+    assert 0 < len(held) < 200 and max(r.block for r in held) > 1 << 20 and {r.row for r in held} == {0, 1}
+
+
 def test_sketch_follows_the_texts(spark):
     rows = spark.createDataFrame([("x" * 1000,)], "text string")
     assert substring.sketch_bits(rows) == 16 and substring.sketch_bits(spark.range(1 << 16).select(F.lit("x" * 1024).alias("text"))) == 23
