@@ -22,9 +22,15 @@ LOW_PASS = {
 _WIDEST = {"db": 20, "sym": 10}
 
 
+#: The orders of the biorthogonal splines, of synthesis and analysis.
+SPLINES = ("1.1", "1.3", "1.5", "2.2", "2.4", "2.6", "2.8", "3.1", "3.3", "3.5", "3.7", "3.9", "4.4", "5.5", "6.8")
+#: Of these the ones whose further zeros are shared out: zeros at -1 of synthesis and analysis, and which group of zeros synthesis takes.
+_SHARED = {"4.4": (4, 4, 1), "5.5": (6, 4, 1), "6.8": (6, 8, 1)}
+
+
 def wavelets() -> list[str]:
-    """The names that ``filters_of`` knows."""
-    return ["haar", *LOW_PASS, *[f"{family}{n}" for family, top in _WIDEST.items() for n in range(1 if family == "db" else 2, top + 1)]]
+    """The names that ``filters_of`` and ``synthesis_of`` know."""
+    return [*[f"{family}{n}" for family in ("bior", "rbio") for n in SPLINES], "haar", *LOW_PASS, *[f"{family}{n}" for family, top in _WIDEST.items() for n in range(1 if family == "db" else 2, top + 1)]]
 
 
 def _from_roots(n: int, roots: np.ndarray) -> np.ndarray:
@@ -62,8 +68,49 @@ def _orthogonal(family: str, n: int) -> tuple[float, ...]:
     return tuple(best[::-1].tolist())
 
 
+@lru_cache(64)
+def _spline(orders: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The low-pass filters of analysis and synthesis of a biorthogonal spline, on one even length and with one centre.
+
+    The half-band polynomial of ``_orthogonal`` keeps its zeros here in whole groups, a zero with its inverse and conjugates, so
+    that both filters are symmetric. Synthesis is the plain spline and analysis takes all groups, except where they are shared.
+    """
+    synthesis, analysis, taken = _SHARED.get(orders, (*map(int, orders.split(".")), None))
+    n = (synthesis + analysis) // 2
+    y = np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)]) if n > 1 else np.zeros(0)
+    both = lambda v: [1 - 2 * v - np.sqrt((1 - 2 * v) ** 2 - 1 + 0j), 1 - 2 * v + np.sqrt((1 - 2 * v) ** 2 - 1 + 0j)]
+    groups = [both(v.real) if abs(v.imag) < 1e-9 else both(v) + both(v.conjugate()) for v in y if v.imag > -1e-9]
+    groups.sort(key=len, reverse=True)  # those of four zeros first, in the order of the roots
+    mine = [z for i, g in enumerate(groups) for z in g if i == taken]
+    others = [z for i, g in enumerate(groups) for z in g if i != taken]
+    low, back = _from_roots(analysis, np.array(others, complex)), _from_roots(synthesis, np.array(mine, complex))
+    width = max(len(low), len(back)) + max(len(low), len(back)) % 2
+    ahead = lambda taps: (width - len(taps) + 1) // 2
+    return tuple(tuple(np.pad(t, (ahead(t), width - len(t) - ahead(t))).tolist()) for t in (low, back))
+
+
+def _banks(wavelet: str) -> tuple[tuple[float, ...], tuple[float, ...]] | None:
+    """The low-pass filters of analysis and synthesis where these differ."""
+    family, orders = wavelet[:4], wavelet[4:]
+    if family not in ("bior", "rbio") or orders not in SPLINES:
+        return None
+    return _spline(orders) if family == "bior" else _spline(orders)[::-1]
+
+
+def _mirrored(low: Sequence[float]) -> tuple[float, ...]:
+    return tuple((-1) ** k * low[len(low) - 1 - k] for k in range(len(low)))
+
+
+def synthesis_of(wavelet: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Low-pass and high-pass taps of the inverse; those of ``filters_of`` but for biorthogonal families."""
+    banks = _banks(wavelet)
+    return (banks[1], _mirrored(banks[0])) if banks else filters_of(wavelet)
+
+
 def filters_of(wavelet: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """Low-pass and high-pass taps; a ValueError for an unknown wavelet."""
+    """Low-pass and high-pass taps of the analysis; a ValueError for an unknown wavelet."""
+    if banks := _banks(wavelet):
+        return banks[0], _mirrored(banks[1])
     name = {"haar": "db1", "sym2": "db2", "sym3": "db3"}.get(wavelet, wavelet)
     family, number = name.rstrip("0123456789"), name[len(name.rstrip("0123456789")) :]
     if name in LOW_PASS:
@@ -72,7 +119,7 @@ def filters_of(wavelet: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
         low = _orthogonal(family, int(number))
     else:
         raise ValueError(f"unknown wavelet {wavelet}; one of {wavelets()}")
-    return low, tuple((-1) ** k * low[len(low) - 1 - k] for k in range(len(low)))
+    return low, _mirrored(low)
 
 
 def max_level(n: int) -> int:
@@ -102,7 +149,7 @@ def swt_array(x: np.ndarray, levels: int, wavelet: str = "sym2") -> list[tuple[n
 
 def iswt_array(approximation: np.ndarray, details: Sequence[np.ndarray], wavelet: str = "sym2") -> np.ndarray:
     """The signal of the deepest approximation and the details of levels 1, 2, …"""
-    low, high = filters_of(wavelet)
+    low, high = synthesis_of(wavelet)
     x = approximation
     for level in range(len(details) - 1, -1, -1):
         x = sum(a * np.roll(x, k << level) + d * np.roll(details[level], k << level) for k, (a, d) in enumerate(zip(low, high, strict=True))) / 2
