@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.ordering import ranked
@@ -63,6 +64,34 @@ def random_subset(objects: DataFrame, n: int, seed: int, key: str = "object_id")
     return objects.orderBy(seeded_order(key, seed), key).limit(n)
 
 
+def kept_subset(objects: DataFrame, n: int, seed: int, path: str, key: str = "object_id") -> DataFrame:
+    """``random_subset``, drawn once: its keys are kept at ``path`` and taken from there the next time, whatever ``n`` and ``seed`` say then.
+
+    Kept keys that ``objects`` no longer has are left out.
+    """
+    spark = objects.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        random_subset(objects, n, seed, key).select(key).write.mode("overwrite").parquet(path)
+    return objects.join(spark.read.parquet(path), key, "left_semi")
+
+
+def sample_with_replacement(rows: DataFrame, n: int, seed: int, key: str = "object_id") -> DataFrame:
+    """``n`` draws of rows, each of any row: (draw from 0, copy of that row from 0, and the row).
+
+    Rows stand in the order of ``key`` (then of all columns) and are numbered through all partitions by the sizes of those before;
+    draw j takes the row whose number is the first 60 bits of md5("seed:j") modulo the rows. Draws meet rows by number, so a row
+    drawn often is repeated by the join; which rows are drawn depends on nothing but key order, ``n`` and ``seed``.
+    """
+    placed = ranked(rows, [], [F.col(key), F.to_json(F.struct(*[rows[c] for c in rows.columns]))], "_at")
+    total = rows.count()
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"))
+    first = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    draws = draws.withColumn("_at", first % max(1, total))
+    copies = F.row_number().over(W.partitionBy("_at").orderBy("draw")) - 1
+    return draws.withColumn("copy", copies).join(placed, "_at").drop("_at")
+
+
 def balanced(objects: DataFrame, seed: int, key: str = "object_id", label: str = "target") -> DataFrame:
     """Every class cut at random to the size of the smallest."""
     sizes = objects.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))

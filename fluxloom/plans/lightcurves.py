@@ -258,3 +258,12 @@ def clean_and_summarise(spark, sf_dir):
     band = lambda b: F.max(F.when(F.col("filter") == b, F.col("flux"))).alias(f"max_flux_{b}")
     found = obs.groupBy("object_id").agg(F.round(F.max("mjd") - F.min("mjd"), 6).alias("length"), F.count("*").alias("n_obs"), F.count_if("detected").alias("n_detected"), band("lsstr"), band("lsstz"))
     return found.join(objects(spark, sf_dir).select("object_id", "target", "ddf"), "object_id")
+
+
+@query(f"""WITH {OBJ_SQL}, placed AS MATERIALIZED (SELECT object_id, target, row_number() OVER (ORDER BY object_id) - 1 AS slot FROM objs),
+draws AS MATERIALIZED (SELECT j AS draw, ('0x' || substr(md5('7:' || j), 1, 15))::BIGINT % (SELECT count(*) FROM objs) AS slot FROM range(0, (SELECT 2 * count(*) FROM objs)) r(j))
+SELECT draw, row_number() OVER (PARTITION BY slot ORDER BY draw) - 1 AS copy, object_id, target FROM draws JOIN placed USING (slot)""")
+def sample_with_replacement(spark, sf_dir):
+    """Twice as many draws as there are objects."""
+    rows = objects(spark, sf_dir).select("object_id", "target")
+    return U.sample_with_replacement(rows, 2 * rows.count(), 7).select("draw", F.col("copy").cast("long").alias("copy"), "object_id", "target")

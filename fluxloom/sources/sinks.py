@@ -18,10 +18,10 @@ def save_folder(data: LightCurves, path: str, key: str = "object_id") -> None:
 
 
 def save_list(data: LightCurves, path: str, name: str, key: str = "object_id") -> None:
-    """The names of the objects as a list file ``<name>.LIST`` and one text file per object of its observations."""
-    save_folder(data, path, key)
-    names = data.observations.select(F.concat(F.col(key).cast("string"), F.lit(".DAT")).alias("value")).distinct().orderBy("value")
-    names.coalesce(1).write.mode("overwrite").text(f"{path}/{name}.LIST")
+    """One text file per object, ``<id>.DAT``, and the list file ``<name>.LIST`` of their names; ``spcc.read`` reads them back."""
+    from fluxloom.sources.object_files import save_objects
+
+    save_objects(data, path, name, key)
 
 
 def load_folder(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -101,3 +101,26 @@ def append_objects(data: LightCurves, observations: DataFrame, objects: DataFram
     more = [r[0] for r in new.select("filter").distinct().collect()]  # the filters of a survey are few
     filters = tuple(dict.fromkeys((*data.filters, *sorted(more))))
     return LightCurves(data.observations.unionByName(new, allowMissingColumns=True), data.objects.unionByName(objects, allowMissingColumns=True), data.models, filters)
+
+
+def save_features(rows: DataFrame, path: str, name: str, key: str = "object_id") -> None:
+    """A table of features, reduced or raw, under its name; ``load_features`` and ``features.combine`` take it up again.
+
+    A column ``features`` of arrays and plain columns are kept as they are. Saving a name again replaces it.
+    """
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{name}: an object has several rows of features")
+    rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_features(spark: SparkSession, path: str, names: list[str], key: str = "object_id") -> DataFrame:
+    """Saved tables of features side by side, for the objects that all of them have; plain columns keep their names, of arrays the elements follow each other."""
+    out = None
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}")
+        plain = [c for c in rows.columns if c not in (key, "features")]
+        part = F.array(*[F.col(c).cast("double") for c in plain]) if plain else F.array().cast("array<double>")
+        part = F.concat(F.col("features").cast("array<double>"), part) if "features" in rows.columns else part
+        part = rows.select(key, part.alias("_part"))
+        out = part.withColumnRenamed("_part", "features") if out is None else out.join(part, key).select(key, F.concat("features", "_part").alias("features"))
+    return out
