@@ -328,3 +328,39 @@ def test_stages_on_odd_tables(spark, docs, odd, empty):
         rows = out.collect()
         assert _kept_values(rows) and (not empty or not rows)
     assert (cp.STAGES[-1][1](spark, df, "").count() == 0) == empty
+
+
+def _nearest_codes(rows, asked, k):
+    out = []
+    for i, q in sorted(set(asked)):
+        d = sorted((bin(q ^ c).count("1"), j, c) for j, c in set(rows) if j != i)[:k]
+        out += [(i, q, x[1], x[0]) for x in d]
+    return out
+
+
+def test_code_search_with_an_id_on_thousands_of_codes(spark):
+    """One placeholder id on very many codes, asked for and met, and a query far from all."""
+    rng = random.Random(12)
+    rows = [(i, rng.getrandbits(62)) for i in range(1, 1500)] + [(0, rng.getrandbits(62)) for _ in range(3000)]
+    base = rows[40][1]
+    rows += [(5000 + i, base ^ 1 << i % 60) for i in range(30)] + [(9000, -1)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    asked = [r for r in rows if r[0] in (20, 40, 41, 1400, 9000)]
+    found = code_search.top_k_codes(df, spark.createDataFrame(asked, "id long, code long"), 6).collect()
+    got = sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in found)
+    full = [(i, c & (1 << 64) - 1) for i, c in rows]
+    want, seen = [], {}
+    for i, _, j, d in _nearest_codes(full, [(i, c & (1 << 64) - 1) for i, c in asked], 6):
+        seen[i] = seen.get(i, 0) + 1
+        want.append((i, seen[i], j, d))
+    assert got == sorted(want)
+    own = code_search.top_k_codes(df, df.where("id = 0").limit(40), 3)  # the placeholder's own rows find none of themselves
+    assert own.where("neighbor_id = 0").isEmpty() and own.count() == 3
+
+
+def test_long_vectors_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        df.select(code_search.sign_code(F.col("v"))).collect()
+    short = spark.createDataFrame([([1.0, -1.0, 1.0],), (None,)], "v array<double>").select(code_search.sign_code(F.col("v")).alias("c")).collect()
+    assert [r.c for r in short] == [5, None]
