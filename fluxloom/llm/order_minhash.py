@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxloom.runtime import materialised, table
+from fluxloom.runtime import broadcast_if_small, materialised, table
 
 _PLACE, _HASH, _BINS = 30, 33, 6
 _SPACE = " \t\n\x0b\x0c\r"
@@ -111,19 +111,26 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return placed.join(after, "_place").drop("_place", "_all")
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1024) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness, with the next document's beside it.
 
-    The edited text has its last quarter of code points replaced by the first as many of the next document's.
+    The edited text has its last quarter of code points replaced by the first as many of the next document's. An id that stands
+    on over ``share`` rows, null among them, is dealt out in that many shares.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select(F.struct("doc_id").alias("key"), "text")
-    ids = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("hash")).groupBy("doc_id").agg(F.max("n").alias("n"), F.min("hash").alias("hash"))
-    follows = next_ids(ids).select(F.struct("doc_id").alias("at_key"), F.floor(F.col("n") / 4).cast("int").alias("q"), F.struct(F.col("next_id").alias("doc_id")).alias("next_key"), "next_hash")
+    ids = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("hash")).groupBy("doc_id")
+    ids = materialised(ids.agg(F.max("n").alias("n"), F.min("hash").alias("hash"), F.ceil(F.count("*") / share).cast("int").alias("shares")))
+    crowded = materialised(ids.where("shares > 1").select(F.col("doc_id").alias("_id"), F.col("shares").alias("_shares")))
+    spread = rows.join(broadcast_if_small(crowded), rows["doc_id"].eqNullSafe(F.col("_id")), "left")
+    lot = F.when(F.col("_shares").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_shares")).cast("int")).otherwise(0)
+    keyed = spread.select(F.struct("doc_id", lot.alias("share")).alias("key"), "text")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    follows = next_ids(ids).select("doc_id", "shares", "next_id", "next_hash", F.floor(F.col("n") / 4).cast("int").alias("q"), every("next_shares").alias("next_share"))
+    follows = follows.select("doc_id", "shares", "q", "next_hash", F.struct(F.col("next_id").alias("doc_id"), F.col("next_share").alias("share")).alias("next_key"))
     # both joins deal the texts out by the same key, a struct that is equal for null ids too, so they are shuffled once
     found = keyed.join(follows, keyed["key"] == follows["next_key"]).where(F.xxhash64("text").bitwiseXOR(F.col("next_hash")) == 0)
-    found = with_fingerprint(found, "text", "sig").select("at_key", F.substring("text", F.lit(1), F.col("q")).alias("head"), "sig")
-    heads = found.groupBy("at_key").agg(F.first("head").alias("head"), F.first("sig").alias("next_sig"))
+    found = with_fingerprint(found, "text", "sig").select("doc_id", F.substring("text", F.lit(1), F.col("q")).alias("head"), "sig", every("shares").alias("share"))
+    heads = found.groupBy(F.struct("doc_id", "share").alias("at_key")).agg(F.first("head").alias("head"), F.first("sig").alias("next_sig"))
     whole = keyed.join(heads, keyed["key"] == heads["at_key"]).withColumn("n_chars", F.length("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("head", F.lit(1), quarter))

@@ -364,3 +364,23 @@ def test_long_vectors_are_refused(spark):
         df.select(code_search.sign_code(F.col("v"))).collect()
     short = spark.createDataFrame([([1.0, -1.0, 1.0],), (None,)], "v array<double>").select(code_search.sign_code(F.col("v")).alias("c")).collect()
     assert [r.c for r in short] == [5, None]
+
+
+def test_order_minhash_of_thousands_of_texts_without_id(spark, docs):
+    """Rows without an id are dealt out in shares: the same result, and no task with most of them."""
+    rows = [(None, f"text {i % 700} of {i % 700 // 7} without any id") for i in range(1500)] + [(i, f"text {i} with an id of its own") for i in range(60)] + [(7, "again the id")]
+    df = docs([(i, t, "en", "a") for i, t in rows], clash=False)
+    key = lambda r: (str(r.doc_id), r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)
+    plain = order_minhash.edited_likeness(df, share=10**6)
+    spread = order_minhash.edited_likeness(df, share=20)
+    assert sorted(map(key, plain.collect())) == sorted(map(key, spread.collect())) and spread.count() == len(rows)
+    settings_ = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # else these few rows are one task anyway
+    held = {n: spark.conf.get(n) for n in settings_}
+    try:
+        for n, v in settings_.items():
+            spark.conf.set(n, v)
+        sizes = order_minhash.edited_likeness(df, share=20).rdd.mapPartitions(lambda p: [sum(1 for r in p if r.doc_id is None)]).collect()
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v)
+    assert max(sizes) < 1500 * 0.45 and sum(sizes) == 1500
