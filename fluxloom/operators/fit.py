@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -182,6 +183,94 @@ def sample_chains(obs: DataFrame, model: str = "newling", rounds: int = 200, wal
     return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key, "filter").groupBy(key, "filter").applyInPandas(sampled, schema)
 
 
+class NestedRun(NamedTuple):
+    """Points with their log likelihoods and normalised weights, the log evidence and its error, and the information gained."""
+
+    points: np.ndarray
+    log_likelihood: np.ndarray
+    weight: np.ndarray
+    log_evidence: float
+    error: float
+    information: float
+
+
+def nested_run(log: Callable[[np.ndarray], float], low: np.ndarray, high: np.ndarray, live: int = 100, steps: int = 25, seed: int = 0, rest: float = 0.01, most: int = 50_000) -> NestedRun:
+    """Nested sampling of a likelihood under a uniform prior on a box.
+
+    The worst of the live points leaves with the share of prior volume that its likelihood marks off, about 1 / live of what is left;
+    a walk of ``steps`` steps from another live point, above that likelihood, takes its place. It ends once the live points could
+    raise the log evidence by less than ``rest``; they then share the volume that is left.
+    """
+    rng, width = np.random.default_rng(seed), len(low)
+    x = rng.uniform(low, high, (live, width))
+    v = np.array([log(p) for p in x])
+    gone, values, logs, evidence, scale = [], [], [], -np.inf, 1.0
+    shell = np.log(-np.expm1(-1.0 / live))  # the log of the share that leaves
+    for i in range(most):
+        worst = int(v.argmin())
+        mark = v[worst]
+        gone.append(x[worst].copy())
+        values.append(mark)
+        logs.append(mark - i / live + shell)
+        evidence = np.logaddexp(evidence, logs[-1])
+        if v.max() - (i + 1) / live < evidence + np.log(np.expm1(rest)) or v.max() - mark < 1e-12:
+            break
+        start = int(rng.integers(live - 1))
+        start += start >= worst
+        p, w, spread, taken = x[start].copy(), v[start], x.std(axis=0) + 1e-9 * (high - low), 0
+        for _ in range(steps):
+            q = p + scale * spread * rng.standard_normal(width)
+            if np.all((q >= low) & (q <= high)) and (u := log(q)) > mark:
+                p, w, taken = q, u, taken + 1
+        scale *= np.exp((taken / steps - 0.4) * 0.3)
+        x[worst], v[worst] = p, w
+    else:
+        i = most - 1
+    # the live points, without the one that has just left, share the rest
+    left = np.arange(live) != int(v.argmin())
+    logs += (v[left] - (i + 1) / live - np.log(left.sum())).tolist()
+    values, points = np.array([*values, *v[left]]), np.array([*gone, *x[left]])
+    logs = np.array(logs)
+    evidence = float(np.logaddexp.reduce(logs))
+    weight = np.exp(logs - evidence)
+    information = max(0.0, float((weight * values).sum()) - evidence)
+    return NestedRun(points, values, weight, evidence, float(np.sqrt(information / live)), information)
+
+
+def nested_posterior(obs: DataFrame, model: str = "newling", live: int = 100, steps: int = 25, seed: int = 0, key: str = "object_id", limits: Mapping[str, tuple[float, float, float]] | None = None) -> DataFrame:
+    """(key, filter, point, params, log_likelihood, weight, log_evidence, log_evidence_error): a row for each weighted point.
+
+    Weights of an object's band sum to 1; the evidence is that of the model under a uniform prior within the limits, without
+    the constant of the errors. A band without a usable point has no row.
+    """
+    bounds = dict(limits or MODELS[model][0])
+    low, high = (np.array([b[i] for b in bounds.values()], float) for i in range(2))
+    curve, kind = CURVES[model], dict(obs.dtypes)[key]
+    columns = [key, "filter", "point", "params", "log_likelihood", "weight", "log_evidence", "log_evidence_error"]
+
+    def sampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["flux_error"] != 0].sort_values("mjd")
+        if not len(pdf):
+            return pd.DataFrame(columns=columns)
+        t, y, e, name, band = pdf["mjd"].to_numpy(), pdf["flux"].to_numpy(), pdf["flux_error"].to_numpy(), pdf[key].iloc[0], pdf["filter"].iloc[0]
+        log = lambda p: -0.5 * float(np.sum(((y - curve(t, p)) / e) ** 2))
+        run = nested_run(log, low, high, live, steps, _seed(seed, name, band))
+        rows = [(name, band, i, p.tolist(), float(v), float(w), run.log_evidence, run.error) for i, (p, v, w) in enumerate(zip(run.points, run.log_likelihood, run.weight, strict=True))]
+        return pd.DataFrame(rows, columns=columns)
+
+    schema = f"{key} {kind}, filter string, point int, params array<double>, log_likelihood double, weight double, log_evidence double, log_evidence_error double"
+    return dealt(obs.select(key, "filter", "mjd", "flux", "flux_error"), key, "filter").groupBy(key, "filter").applyInPandas(sampled, schema)
+
+
+def posterior_means(posterior: DataFrame, key: str = "object_id") -> DataFrame:
+    """(key, filter, params, deviations, log_evidence, best): weighted means and deviations of the points, and the likeliest one."""
+    each = posterior.select(key, "filter", "weight", "log_evidence", F.posexplode("params").alias("i", "x"))
+    parts = each.groupBy(key, "filter", "log_evidence", "i").agg(F.sum(F.col("weight") * F.col("x")).alias("m"), F.sum(F.col("weight") * F.col("x") * F.col("x")).alias("q"))
+    packed = parts.groupBy(key, "filter", "log_evidence").agg(F.sort_array(F.collect_list(F.struct("i", "m", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("s")))).alias("p"))
+    best = posterior.groupBy(key, "filter").agg(F.max_by("params", F.struct("log_likelihood", "point")).alias("best"))
+    return packed.select(key, "filter", F.col("p.m").alias("params"), F.col("p.s").alias("deviations"), "log_evidence").join(best, [key, "filter"])
+
+
 def fit_table(fits: DataFrame, filters: Sequence[str], model: str = "newling", key: str = "object_id") -> DataFrame:
     """One row per object with a column for each band and parameter, zero where a band was not fitted."""
     wide = fits.groupBy(key).pivot("filter", list(filters)).agg(F.first("params"))

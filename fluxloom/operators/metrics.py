@@ -125,7 +125,9 @@ def percentile_interval(rows: DataFrame, value: str, by: Sequence[str] = (), lev
     Values are ranked over all partitions and those beside the two places are read, so no task holds a group's values.
     """
     tail, keys = (1 - level) / 2, list(by)
-    held = ranked(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), keys, [F.col("_v")])
+    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    # equal values may stand in any order: a lot spreads them over partitions
+    held = ranked(values.withColumn("_lot", F.xxhash64(F.monotonically_increasing_id())), keys, [F.col("_v"), F.col("_lot")]).drop("_lot")
     sizes = held.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
     same = F.lit(True)
     for i, k in enumerate(keys):

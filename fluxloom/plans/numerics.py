@@ -128,8 +128,15 @@ def parametric_nested(spark, sf_dir):
 
 @query()
 def parametric_chains(spark, sf_dir):
-    """The sampled points of the first band's fits, in the order in which they were drawn."""
-    return P.sample_chains(_spread(observations(spark, sf_dir)).where("filter = 'lsstg'"), rounds=20).select("object_id", "filter", "step", "walker", "params", "log_likelihood")
+    """The sampled points of all fits, in the order in which they were drawn; 20 rounds."""
+    return P.sample_chains(_spread(observations(spark, sf_dir)), rounds=20).select("object_id", "filter", "step", "walker", "params", "log_likelihood")
+
+
+@query()
+def nested_posterior(spark, sf_dir):
+    """Weighted points and evidence of every object and band; made smaller than the library's defaults: 24 live points."""
+    found = P.nested_posterior(_spread(observations(spark, sf_dir)), live=24, steps=8)
+    return found.select("object_id", "filter", "point", "params", "log_likelihood", "weight", "log_evidence", "log_evidence_error")
 
 
 def _templates(spark):
