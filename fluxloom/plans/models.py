@@ -172,11 +172,51 @@ def classification_features(spark, sf_dir):
     return found.select("object_id", *[r6(n) for n in names], "count_max_center", "count_max_rise_20")
 
 
-@query()
+def _classification_sql() -> str:
+    """All columns by name, from one row per band (b), the peaks (k), the times to a fraction (f) and the observations (o)."""
+    of = lambda name, band: f"max({name}) FILTER (filter = '{band}')"
+    wide = {"mi": of("mx", "lssti"), "ni": of("mn", "lssti"), "mr": of("mx", "lsstz"), "nr": of("mn", "lsstz"), "mb": of("mx", "lsstg"), "nb": of("mn", "lsstg"), "xr": of("ix", "lsstz"), "xb": of("ix", "lsstg"), "pw": of("pw", "lssti"), "nw": of("nw", "lssti"), "s2n": "sqrt(sum(s2))", "second": "median(second)"}
+    times = [(way, share) for way in ("fwd", "bwd") for share in ("0_5", "0_2")]
+    for way, share in times:
+        for side, band in (("i", "lssti"), ("r", "lsstz"), ("b", "lsstg")):
+            wide[f"{way}_{share}_{side}"] = of(f"{way}_{share}", band)
+    wide |= {f"d{p}": f"median((p{p} - mn) / nullif(mx - mn, 0)) - median((p50 - mn) / nullif(mx - mn, 0))" for p in (10, 30, 70, 90)}
+    out = {"host_photoz": "hostgal_photoz", "host_photoz_error": "hostgal_photoz_err", "length_scale": "NULL::DOUBLE", "max_mag": "-2.5 * log10(nullif(abs(mi), 0))", "pos_flux_ratio": "mi / nullif(mi - ni, 0)"}
+    for side, i in (("max", "m"), ("min", "n")):
+        for colour in ("red", "blue"):
+            out[f"{side}_flux_ratio_{colour}"] = f"abs({i}{colour[0]}) / nullif(abs({i}{colour[0]}) + abs({i}i), 0)"
+    out |= {"max_dt": "xr - xb", "positive_width": "pw", "negative_width": "nw"}
+    for way, share in times:
+        name = f"{way}_{share}"
+        out[f"time_{way}_max_{share}"] = f"{name}_i"
+        for colour in ("red", "blue"):
+            out[f"time_{way}_max_{share}_ratio_{colour}"] = f"{name}_{colour[0]} / nullif({name}_{colour[0]} + {name}_i, 0)"
+    out |= {"frac_s2n_5": "c5 / n", "frac_s2n_-5": "cm5 / n", "frac_background": "c3 / n", "time_width_s2n_5": "tw", "count_max_center": "cc"}
+    for way in ("rise", "fall"):
+        total = "cc"
+        for edge in (20, 50, 100):
+            total += f" + {way}_{edge}"
+            out[f"count_max_{way}_{edge}"] = total
+    out |= {"peak_frac_2": "second", "total_s2n": "s2n"} | {f"percentile_diff_{p}_50": f"d{p}" for p in (10, 30, 70, 90)}
+    bins = ", ".join(f"count(*) FILTER (d > {a} AND d < {b})::DOUBLE AS {'cc' if n == 'center' else n}" for a, b, n in T.TIME_BINS if n == "center" or n.split("_")[0] in ("rise", "fall") and n.split("_")[1] in ("20", "50", "100"))
+    near = ", ".join(f"min({'grid_ix - ix' if w == 'fwd' else 'ix - grid_ix'}) FILTER (grid_ix {'>' if w == 'fwd' else '<'} ix AND flux < m * {s.replace('_', '.')})::DOUBLE AS {w}_{s}" for w, s in times)
+    return f"""WITH {OBS_SQL}, {GRID_SQL}, {OBJ_SQL}, {_TOP.replace('t AS (', 't AS MATERIALIZED (', 1)}, mt AS MATERIALIZED (SELECT object_id, median(ix)::DOUBLE AS max_time FROM t GROUP BY object_id),
+b AS MATERIALIZED (SELECT object_id, filter, max(flux) AS mx, min(flux) AS mn, sum(flux * flux) AS s2, sum(greatest(flux, 0)) / nullif(max(flux), 0) AS pw, sum(least(flux, 0)) / nullif(min(flux), 0) AS nw, {', '.join(f'quantile_cont(flux, {p / 100}) AS p{p}' for p in (10, 30, 50, 70, 90))} FROM grid GROUP BY ALL),
+f AS MATERIALIZED (SELECT object_id, filter, any_value(ix)::DOUBLE AS ix, {near} FROM grid JOIN t USING (object_id, filter) GROUP BY ALL),
+g AS MATERIALIZED (SELECT *, lag(flux) OVER w AS a, lead(flux) OVER w AS z, max(abs(flux)) OVER (PARTITION BY object_id, filter) / 5 AS h FROM grid WINDOW w AS (PARTITION BY object_id, filter ORDER BY grid_ix)),
+k AS MATERIALIZED (SELECT object_id, filter, max(flux) FILTER (r = 2) / max(flux) FILTER (r = 1) AS second FROM (SELECT *, row_number() OVER (PARTITION BY object_id, filter ORDER BY flux DESC) AS r FROM g WHERE flux > a AND flux > z AND flux >= h) GROUP BY ALL),
+w AS MATERIALIZED (SELECT object_id, {', '.join(f'{v} AS "{n}"' for n, v in wide.items())} FROM b JOIN f USING (object_id, filter) LEFT JOIN k USING (object_id, filter) GROUP BY object_id),
+o AS MATERIALIZED (SELECT object_id, count(*)::DOUBLE AS n, count(*) FILTER (s > 5)::DOUBLE AS c5, count(*) FILTER (s < -5)::DOUBLE AS cm5, count(*) FILTER (abs(s) < 3)::DOUBLE AS c3, CASE WHEN count(*) FILTER (abs(s) > 5) < 2 THEN -1 ELSE max(mjd) FILTER (abs(s) > 5) - min(mjd) FILTER (abs(s) > 5) END AS tw, {bins}
+  FROM (SELECT *, flux / flux_error AS s, mjd - max_time AS d FROM obs JOIN mt USING (object_id)) GROUP BY object_id)
+SELECT object_id, {', '.join(f'round({v}, 5) AS "{n}"' for n, v in out.items())} FROM w JOIN o USING (object_id) JOIN objs USING (object_id)"""
+
+
+@query(_classification_sql())
 def classification_features_full(spark, sf_dir):
     """All 41 columns."""
     raw = T.raw_features(observations(spark, sf_dir), grid_models(spark, sf_dir), objects(spark, sf_dir), BANDS)
-    return T.classification_features(raw, BANDS, red="lsstz")
+    found = T.classification_features(raw, BANDS, red="lsstz")
+    return found.select("object_id", *[F.round(F.col(f"`{n}`"), 5).alias(n) for n in found.columns if n != "object_id"])
 
 
 def _swt_sql(source: str, value: str, step: int) -> str:
