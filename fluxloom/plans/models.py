@@ -369,6 +369,24 @@ def knn_distance_weighted(spark, sf_dir):
     return found.select("vec_id", "y_pred", r6(F.array_max("probability")).alias("probability"))
 
 
+@query(f"""WITH {_TRAIN.replace(' AS (', ' AS MATERIALIZED (')}, d AS MATERIALIZED (SELECT t.vec_id, any_value(t.label) AS label, r.vec_id AS other, any_value(r.label) AS voted, sqrt(sum((t.x - r.x) * (t.x - r.x))) AS d FROM test t JOIN train r USING (i) GROUP BY t.vec_id, r.vec_id),
+k AS MATERIALIZED (SELECT *, 1 / greatest(d, 1e-12) AS w, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM d), v AS MATERIALIZED (SELECT vec_id, voted, sum(w) / any_value(t) AS p FROM (SELECT *, sum(w) OVER (PARTITION BY vec_id) AS t FROM k WHERE r <= 6) GROUP BY vec_id, voted),
+classes AS MATERIALIZED (SELECT DISTINCT label AS class FROM train), scored AS MATERIALIZED (SELECT c.class, coalesce(v.p, 0) AS p, d.label = c.class AS y FROM (SELECT DISTINCT vec_id, label FROM d) d JOIN classes c ON true LEFT JOIN v ON v.vec_id = d.vec_id AND v.voted = c.class),
+th AS MATERIALIZED (SELECT unnest(range(0, 20))::INT AS t, unnest([{', '.join(f'{float(x)!r}::DOUBLE' for x in __import__('numpy').linspace(0, 1, 20))}]) AS threshold),
+tl AS MATERIALIZED (SELECT class, t, threshold, count(*) FILTER (y AND p >= threshold) AS tp, count(*) FILTER (NOT y AND p >= threshold) AS fp, count(*) FILTER (y) AS np, count(*) FILTER (NOT y) AS nn FROM scored, th GROUP BY ALL)
+SELECT class, t, round(threshold, 6) AS threshold, round(coalesce(fp / nullif(nn, 0)::DOUBLE, 0), 6) AS fpr, round(coalesce(tp / nullif(np, 0)::DOUBLE, 0), 6) AS tpr FROM tl""")
+def roc_one_vs_rest(spark, sf_dir):
+    """A curve of 20 thresholds for each class against the others, by the votes of the nearest rows."""
+    rows = _vectors(spark, sf_dir)
+    train, test = rows.where("vec_id % 10 < 3"), rows.where("vec_id % 10 >= 3")
+    labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
+    told = K.knn_predict(train, test, 6, "vec_id").join(test.select("vec_id", "label"), "vec_id")
+    each = told.select("label", F.posexplode("probability").alias("i", "probability"))
+    each = each.select(F.get(F.array(*[F.lit(y) for y in labels]), F.col("i")).alias("class"), "probability", "label")
+    curve = M.roc(each.select("class", "probability", (F.col("label") == F.col("class")).alias("positive")), 20, by=["class"])
+    return curve.select("class", "t", r6("threshold"), r6("fpr"), r6("tpr"))
+
+
 @query(f"WITH {_LONG}, s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM long GROUP BY i) SELECT vec_id, round(sum(abs((x - m) / s)), 5) AS l1, round(max((x - m) / s), 6) AS top FROM long JOIN s USING (i) GROUP BY vec_id")
 def standardise_union(spark, sf_dir):
     rows = K.standardised(_vectors(spark, sf_dir))

@@ -232,16 +232,6 @@ def _classified(spark, sf_dir, make, **params):
     return fitted.predict(rows.where("object_id % 10 >= 3")).select("object_id", "label", "y_pred", "probability")
 
 
-@query()
-def roc_one_vs_rest(spark, sf_dir):
-    """A curve of 20 thresholds for each class against the others, by a decision tree."""
-    told = _classified(spark, sf_dir, K.DecisionTree)
-    labels = [r[0] for r in told.select("label").distinct().orderBy("label").collect()]
-    rows = told.select("label", F.posexplode("probability").alias("i", "probability"))
-    rows = rows.select(F.get(F.array(*[F.lit(y) for y in labels]), F.col("i")).alias("class"), "probability", "label")
-    return M.roc(rows.select("class", "probability", (F.col("label") == F.col("class")).alias("positive")), 20, by=["class"])
-
-
 @query()
 def clf_rf(spark, sf_dir):
     """Made smaller than the library's defaults: 40 trees."""
