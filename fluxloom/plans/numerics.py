@@ -95,12 +95,6 @@ def reconstruct_error(spark, sf_dir):
     return G.reconstruction_error(grid_models(spark, sf_dir), restored).select("object_id", r6("error"))
 
 
-@query()
-def avocado_raw_full(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    return T.raw_features(obs, grid_models(spark, sf_dir), objects(spark, sf_dir), BANDS)
-
-
 def _parametric(spark, sf_dir, sampler, model="newling"):
     fits = P.fit_parametric(_spread(observations(spark, sf_dir)), model, sampler, attempts=2)
     return fits.select("object_id", "filter", "params", "chisq", "n_points", "status")
@@ -305,11 +299,16 @@ def bootstrap_recall_ci(spark, sf_dir):
     return M.bootstrap_interval(_pred(spark, sf_dir), "value", _EDGE, "y_true")
 
 
-@query()
+_SESSIONS = """WITH e AS MATERIALIZED (SELECT user_id, ts, value, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+s AS MATERIALIZED (SELECT *, sum(CASE WHEN g IS NULL OR g >= INTERVAL 36 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)"""
+
+
+@query(f"{_SESSIONS} SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 36 HOUR)::TIMESTAMP AS \"end\", count(*) AS n_obs, max(value) AS peak FROM s GROUP BY user_id, k")
 def stream_gap_sessions(spark, sf_dir):
     """Light curves cut at gaps of 36 hours from a stream over the event table; an extension."""
     events = sessions.read_events(spark, sf_dir)
-    return sessions.drain(sessions.gap_sessions(events), Scratch(spark, "gap_sessions").folder, "complete")
+    found = sessions.drain(sessions.gap_sessions(events), Scratch(spark, "gap_sessions").folder, "complete")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("""WITH e AS (SELECT user_id, ts, value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
