@@ -6,7 +6,7 @@ import importlib
 
 from fluxloom.plans.registry import ORACLES, QUERIES
 
-for _family in ("lightcurves", "models", "numerics", "surfaces"):
+for _family in ("lightcurves", "models", "numerics", "surfaces", "exchange"):
     importlib.import_module(f"fluxloom.plans.{_family}")
 
 
