@@ -306,8 +306,9 @@ s AS MATERIALIZED (SELECT *, sum(CASE WHEN g IS NULL OR g >= INTERVAL 36 HOUR TH
 @query(f"{_SESSIONS} SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 36 HOUR)::TIMESTAMP AS \"end\", count(*) AS n_obs, max(value) AS peak FROM s GROUP BY user_id, k")
 def stream_gap_sessions(spark, sf_dir):
     """Light curves cut at gaps of 36 hours from a stream over the event table; an extension."""
-    events = sessions.read_events(spark, sf_dir)
-    found = sessions.drain(sessions.gap_sessions(events), Scratch(spark, "gap_sessions").folder, "complete")
+    scratch = Scratch(spark, "gap_sessions")
+    found = materialised(sessions.drain_sessions(sessions.read_events(spark, sf_dir), scratch.folder))
+    scratch.remove()
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 

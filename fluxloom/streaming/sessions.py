@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -40,3 +41,29 @@ def drain(stream: DataFrame, folder: str, output_mode: str = "append") -> DataFr
     query = stream.writeStream.foreachBatch(put).outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def merged_sessions(parts: DataFrame) -> DataFrame:
+    """Sessions (user_id, start, end, n_obs, peak) that overlap, joined to one: parts of a table's sessions are its sessions."""
+    before = W.partitionBy("user_id").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
+    opens = (reach.isNull() | (F.col("start") > reach)).cast("int")  # as session windows do, which join at a gap of just that length
+    numbered = parts.withColumn("_new", opens).withColumn("_k", F.sum("_new").over(before.rowsBetween(W.unboundedPreceding, 0)))
+    found = numbered.groupBy("user_id", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_obs").alias("n_obs"), F.max("peak").alias("peak"))
+    return found.drop("_k")
+
+
+def drain_sessions(stream: DataFrame, folder: str, gap: str = "36 hours") -> DataFrame:
+    """The sessions of a stream of events that is run over what is there.
+
+    Each trigger writes the sessions of its own events, once, and the parts are joined at the end. So a trigger costs what it brings,
+    however many there are, sessions may span triggers, and late events count. A trigger that is run again replaces its part.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        gap_sessions(batch, gap).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = gap_sessions(stream.sparkSession.createDataFrame([], stream.schema), gap).schema
+    return merged_sessions(stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows"))
