@@ -28,9 +28,11 @@ SPLINES = ("1.1", "1.3", "1.5", "2.2", "2.4", "2.6", "2.8", "3.1", "3.3", "3.5",
 _SHARED = {"4.4": (4, 4, 1), "5.5": (6, 4, 1), "6.8": (6, 8, 1)}
 
 
-def wavelets() -> list[str]:
-    """The names that ``filters_of`` and ``synthesis_of`` know."""
-    return [*[f"{family}{n}" for family in ("bior", "rbio") for n in SPLINES], "haar", *LOW_PASS, *[f"{family}{n}" for family, top in _WIDEST.items() for n in range(1 if family == "db" else 2, top + 1)]]
+def wavelets(biorthogonal: bool = False) -> list[str]:
+    """The names of the orthogonal wavelets, or those of the biorthogonal ones, that ``filters_of`` and ``synthesis_of`` know."""
+    if biorthogonal:
+        return [f"{family}{n}" for family in ("bior", "rbio") for n in SPLINES]
+    return ["haar", *LOW_PASS, *[f"{family}{n}" for family, top in _WIDEST.items() for n in range(1 if family == "db" else 2, top + 1)]]
 
 
 def _from_roots(n: int, roots: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def filters_of(wavelet: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
     elif family in _WIDEST and number and 1 <= int(number) <= _WIDEST[family]:
         low = _orthogonal(family, int(number))
     else:
-        raise ValueError(f"unknown wavelet {wavelet}; one of {wavelets()}")
+        raise ValueError(f"unknown wavelet {wavelet}; one of {wavelets() + wavelets(True)}")
     return low, _mirrored(low)
 
 

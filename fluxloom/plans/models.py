@@ -208,7 +208,7 @@ k AS MATERIALIZED (SELECT object_id, filter, max(flux) FILTER (r = 2) / max(flux
 w AS MATERIALIZED (SELECT object_id, {', '.join(f'{v} AS "{n}"' for n, v in wide.items())} FROM b JOIN f USING (object_id, filter) LEFT JOIN k USING (object_id, filter) GROUP BY object_id),
 o AS MATERIALIZED (SELECT object_id, count(*)::DOUBLE AS n, count(*) FILTER (s > 5)::DOUBLE AS c5, count(*) FILTER (s < -5)::DOUBLE AS cm5, count(*) FILTER (abs(s) < 3)::DOUBLE AS c3, CASE WHEN count(*) FILTER (abs(s) > 5) < 2 THEN -1 ELSE max(mjd) FILTER (abs(s) > 5) - min(mjd) FILTER (abs(s) > 5) END AS tw, {bins}
   FROM (SELECT *, flux / flux_error AS s, mjd - max_time AS d FROM obs JOIN mt USING (object_id)) GROUP BY object_id)
-SELECT object_id, {', '.join(f'round({v}, 5) AS "{n}"' for n, v in out.items())} FROM w JOIN o USING (object_id) JOIN objs USING (object_id)"""
+SELECT object_id, {', '.join(f'round({v}, 9) AS "{n}"' for n, v in out.items())} FROM w JOIN o USING (object_id) JOIN objs USING (object_id)"""
 
 
 @query(_classification_sql())
@@ -216,27 +216,27 @@ def classification_features_full(spark, sf_dir):
     """All 41 columns."""
     raw = T.raw_features(observations(spark, sf_dir), grid_models(spark, sf_dir), objects(spark, sf_dir), BANDS)
     found = T.classification_features(raw, BANDS, red="lsstz")
-    return found.select("object_id", *[F.round(F.col(f"`{n}`"), 5).alias(n) for n in found.columns if n != "object_id"])
+    return found.select("object_id", *[F.round(F.col(f"`{n}`"), 9).alias(n) for n in found.columns if n != "object_id"])
 
 
 def _raw_sql() -> str:
     """All raw features by name: one row per band (b, f, k), the bins of the model (r) and the observations (o)."""
     low = "lower(filter)"
     bands = {"max_flux": "mx", "min_flux": "mn", "positive_width": "pw", "negative_width": "nw", "abs_diff": "ad", "total_s2n": "sqrt(s2)"} | {f"time_{w}_max_{s}": f"{w}_{s}" for w in ("fwd", "bwd") for s in ("0_8", "0_5", "0_2")}
-    out = {f"{n}_{f}": f"round(max({v}) FILTER ({low} = '{f}'), 5)" for f in BANDS for n, v in bands.items()}
-    out |= {f"percentile_{f}_{p}": f"round(max(p{p}) FILTER ({low} = '{f}'), 5)" for f in BANDS for p in (10, 30, 50, 70, 90)}
-    out |= {f"max_dt_{f}": f"round(max(ix) FILTER ({low} = '{f}') - any_value(max_time), 5)" for f in BANDS}
+    out = {f"{n}_{f}": f"round(max({v}) FILTER ({low} = '{f}'), 9)" for f in BANDS for n, v in bands.items()}
+    out |= {f"percentile_{f}_{p}": f"round(max(p{p}) FILTER ({low} = '{f}'), 9)" for f in BANDS for p in (10, 30, 50, 70, 90)}
+    out |= {f"max_dt_{f}": f"round(max(ix) FILTER ({low} = '{f}') - any_value(max_time), 9)" for f in BANDS}
     for f in BANDS:
         for sign, name in ((1, "pos"), (-1, "neg")):
             out[f"peaks_{name}_{f}_count"] = f"max(coalesce({name}_c, 0)) FILTER ({low} = '{f}')::INT"
-            out |= {f"peaks_{name}_{f}_frac_{i}": f"round(max({name}_{i}) FILTER ({low} = '{f}'), 5)" for i in (2, 3)}
+            out |= {f"peaks_{name}_{f}_frac_{i}": f"round(max({name}_{i}) FILTER ({low} = '{f}'), 9)" for i in (2, 3)}
     near = ", ".join(f"min({'grid_ix - ix' if w == 'fwd' else 'ix - grid_ix'}) FILTER (grid_ix {'>' if w == 'fwd' else '<'} ix AND flux < m * {s.replace('_', '.')})::DOUBLE AS {w}_{s}" for w in ("fwd", "bwd") for s in ("0_8", "0_5", "0_2"))
     tops = ", ".join(f"max(c) FILTER (sign = {sign}) AS {name}_c, max(p2 / p1) FILTER (sign = {sign}) AS {name}_2, max(p3 / p1) FILTER (sign = {sign}) AS {name}_3" for sign, name in ((1, "pos"), (-1, "neg")))
     means = ", ".join(f'avg(rel) FILTER (d >= {a} AND d < {b}) AS "mean_max_{n}", stddev_pop(rel) FILTER (d >= {a} AND d < {b}) AS "std_max_{n}"' for a, b, n in T.TIME_BINS)
     counts = ", ".join(f'count(*) FILTER (s {"<" if t < 0 else ">"} {t}) AS "count_s2n_{t}"' for t in (-20, -10, -5, -3, 3, 5, 10, 20))
-    widths = ", ".join(f'round(CASE WHEN count(*) FILTER (abs(s) > {t}) < 2 THEN -1 ELSE max(mjd) FILTER (abs(s) > {t}) - min(mjd) FILTER (abs(s) > {t}) END, 5) AS time_width_s2n_{t}' for t in (5, 10, 20))
+    widths = ", ".join(f'round(CASE WHEN count(*) FILTER (abs(s) > {t}) < 2 THEN -1 ELSE max(mjd) FILTER (abs(s) > {t}) - min(mjd) FILTER (abs(s) > {t}) END, 9) AS time_width_s2n_{t}' for t in (5, 10, 20))
     bins = ", ".join(f'count(*) FILTER (d > {a} AND d < {b}) AS "count_max_{n}"' for a, b, n in T.TIME_BINS)
-    kept = ", ".join(f'CASE WHEN "count_max_{n}" > 0 THEN round("{w}_max_{n}", 5) END AS "{w}_max_{n}"' for _, _, n in T.TIME_BINS for w in ("mean", "std"))
+    kept = ", ".join(f'CASE WHEN "count_max_{n}" > 0 THEN round("{w}_max_{n}", 9) END AS "{w}_max_{n}"' for _, _, n in T.TIME_BINS for w in ("mean", "std"))
     return f"""WITH {OBS_SQL}, {GRID_SQL}, {OBJ_SQL}, {_TOP.replace('t AS (', 't AS MATERIALIZED (', 1)}, mt AS MATERIALIZED (SELECT object_id, median(ix)::DOUBLE AS max_time FROM t GROUP BY object_id),
 g AS MATERIALIZED (SELECT *, lag(flux) OVER w AS a, lead(flux) OVER w AS z, max(abs(flux)) OVER (PARTITION BY object_id, filter) / 5 AS h FROM grid WINDOW w AS (PARTITION BY object_id, filter ORDER BY grid_ix)),
 b AS MATERIALIZED (SELECT object_id, filter, max(flux) AS mx, min(flux) AS mn, sum(flux * flux) AS s2, sum(abs(flux - a)) AS ad, sum(greatest(flux, 0)) / nullif(max(flux), 0) AS pw, sum(least(flux, 0)) / nullif(min(flux), 0) AS nw, {', '.join(f'quantile_cont(flux, {p / 100}) AS p{p}' for p in (10, 30, 50, 70, 90))} FROM g GROUP BY ALL),
@@ -246,9 +246,9 @@ q AS MATERIALIZED (SELECT object_id, filter, sign, count(*) AS c, max(top) FILTE
 k AS MATERIALIZED (SELECT object_id, filter, {tops} FROM q GROUP BY ALL),
 w AS MATERIALIZED (SELECT object_id, {', '.join(f'{v} AS "{n}"' for n, v in out.items())} FROM b JOIN f USING (object_id, filter) JOIN mt USING (object_id) LEFT JOIN k USING (object_id, filter) GROUP BY object_id),
 r AS MATERIALIZED (SELECT object_id, {means} FROM (SELECT object_id, flux / nullif(mx, 0) AS rel, mjd - max_time AS d FROM grid JOIN b USING (object_id, filter) JOIN mt USING (object_id)) GROUP BY object_id),
-o AS MATERIALIZED (SELECT object_id, any_value(max_time) AS max_time, count(*) AS count, {counts}, round(count(*) FILTER (abs(s) < 3) / count(*)::DOUBLE, 5) AS frac_background, {widths}, {bins}
+o AS MATERIALIZED (SELECT object_id, any_value(max_time) AS max_time, count(*) AS count, {counts}, round(count(*) FILTER (abs(s) < 3) / count(*)::DOUBLE, 9) AS frac_background, {widths}, {bins}
   FROM (SELECT *, flux / nullif(flux_error, 0) AS s, mjd - max_time AS d FROM obs JOIN mt USING (object_id)) GROUP BY object_id)
-SELECT o.*, w.* EXCLUDE (object_id), {kept}, hostgal_specz AS host_specz, round(hostgal_photoz, 5) AS host_photoz, round(hostgal_photoz_err, 5) AS host_photoz_error, ddf
+SELECT o.*, w.* EXCLUDE (object_id), {kept}, hostgal_specz AS host_specz, round(hostgal_photoz, 9) AS host_photoz, round(hostgal_photoz_err, 9) AS host_photoz_error, ddf
 FROM o JOIN w USING (object_id) JOIN r USING (object_id) JOIN objs USING (object_id)"""
 
 
@@ -256,7 +256,7 @@ FROM o JOIN w USING (object_id) JOIN r USING (object_id) JOIN objs USING (object
 def avocado_raw_full(spark, sf_dir):
     """All raw features."""
     found = T.raw_features(observations(spark, sf_dir), grid_models(spark, sf_dir), objects(spark, sf_dir), BANDS)
-    return found.select(*[F.round(F.col(f"`{n}`"), 5).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in found.dtypes])
+    return found.select(*[F.round(F.col(f"`{n}`"), 9).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in found.dtypes])
 
 
 def _swt_sql(source: str, value: str, step: int) -> str:

@@ -157,7 +157,7 @@ def test_tsne_parts_blobs():
 @pytest.mark.parametrize("name", sorted(K.CLASSIFIERS))
 def test_classifiers_are_saved(spark, tmp_path, name):
     rows = _blobs(spark, 15)
-    params = {"boosted_trees": {"maxIter": 2}, "boost_dt": {"rounds": 2, "maxDepth": 2}, "boost_rf": {"rounds": 2, "numTrees": 3}, "random_forest": {"numTrees": 5}, "knn": {"k": 3}}.get(name, {})
+    params = {"boosted_trees": {"maxIter": 2}, "boost_dt": {"rounds": 2, "maxDepth": 2}, "boost_rf": {"rounds": 2, "numTrees": 3}, "random_forest": {"numTrees": 5}, "knn": {"k": 3}, "bagged_forest": {"numTrees": 3}, "leafwise_trees": {"n_estimators": 2, "min_child_samples": 3}, "tanh_network": {"epochs": 3}}.get(name, {})
     fitted = K.CLASSIFIERS[name](**params).fit(rows)
     fitted.save(spark, str(tmp_path / name))
     again = K.Classifier.load(spark, str(tmp_path / name))

@@ -337,7 +337,7 @@ def test_classifiers_rank_held_out_rows(spark, name):
     rng = np.random.default_rng(12)
     rows = [(i, i % 2, (rng.normal(0, 1, 4) + 1.6 * (i % 2) * np.array([1, 1, 0, 0])).tolist()) for i in range(240)]
     df = spark.createDataFrame(rows, "object_id long, label int, features array<double>")
-    params = {"boosted_trees": {"maxIter": 5}, "boost_dt": {"rounds": 3, "maxDepth": 2}, "boost_rf": {"rounds": 2, "numTrees": 5, "maxDepth": 3}, "random_forest": {"numTrees": 20}, "knn": {"k": 15}, "neural_network": {"hidden": 8, "maxIter": 40}, "decision_tree": {"maxDepth": 3}}.get(name, {})
+    params = {"boosted_trees": {"maxIter": 5}, "boost_dt": {"rounds": 3, "maxDepth": 2}, "boost_rf": {"rounds": 2, "numTrees": 5, "maxDepth": 3}, "random_forest": {"numTrees": 20}, "knn": {"k": 15}, "neural_network": {"hidden": 8, "maxIter": 40}, "decision_tree": {"maxDepth": 3}, "bagged_forest": {"numTrees": 10, "maxDepth": 4}, "leafwise_trees": {"n_estimators": 6, "num_leaves": 5}, "tanh_network": {"hidden": (8,), "epochs": 25, "rate": 0.05, "batches": 2}}.get(name, {})
     fitted = K.CLASSIFIERS[name](**params).fit(df.where("object_id % 3 > 0"))
     told = fitted.predict(df.where("object_id % 3 = 0"))
     best = np.array([sum(f[:2]) for i, _, f in rows if i % 3 == 0])

@@ -45,7 +45,7 @@ def test_unknown_orders_are_refused():
     for name in ("bior1.2", "rbio7.7", "bior", "bior4"):
         with pytest.raises(ValueError):
             T.filters_of(name)
-    assert {"bior3.9", "rbio6.8"} <= set(T.wavelets())
+    assert {"bior3.9", "rbio6.8"} <= set(T.wavelets(True))
 
 
 def test_in_spark(spark):
