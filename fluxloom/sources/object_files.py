@@ -10,6 +10,7 @@ Files are written through ``pyarrow.fs``, as those of the source ``fits`` are re
 from __future__ import annotations
 
 import heapq
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,7 +68,7 @@ class ObjectFilesWriter(DataSourceWriter):
         folders = [m.folder for m in messages if m is not None]
         with fs.open_output_stream(f"{path}/{self.name}") as out:
             streams = [fs.open_input_stream(f"{folder}/_names") for folder in folders]
-            for name, folder in heapq.merge(*[((n, folder) for n in _lines(s)) for s, folder in zip(streams, folders, strict=True)]):
+            for name, folder in heapq.merge(*[zip(_lines(s), itertools.repeat(folder)) for s, folder in zip(streams, folders, strict=True)]):
                 fs.move(f"{folder}/{name}", f"{path}/{name}")
                 out.write(f"{name}\n".encode())
             for s in streams:

@@ -91,3 +91,15 @@ def test_feature_sinks(spark, tmp_path):
     sinks.save_features(b.limit(1), str(tmp_path), "raw")
     with pytest.raises(ValueError, match="several rows"):
         sinks.save_features(a.unionByName(a), str(tmp_path), "twice")
+
+
+def test_files_of_several_tasks(spark, tmp_path):
+    """Each name is moved from the folder of its own task."""
+    object_files.register(spark)
+    rows = spark.range(300).select(F.format_string("%03d.DAT", F.col("id") % 100).alias("file"), F.col("id").cast("string").alias("line"))
+    dealt = rows.repartition(5, "file").sortWithinPartitions("file", "line")
+    dealt.write.format("object_files").option("list", "ALL.LIST").mode("overwrite").save(str(tmp_path))
+    names = (tmp_path / "ALL.LIST").read_text().split()
+    assert names == [f"{i:03}.DAT" for i in range(100)] and sorted(p.name for p in tmp_path.iterdir()) == sorted([*names, "ALL.LIST"])
+    for i, name in enumerate(names):
+        assert (tmp_path / name).read_text().split() == sorted(str(i + j) for j in (0, 100, 200))
