@@ -45,38 +45,56 @@ def spline_not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarra
     n = len(x)
     if n < 4:
         return np.polyval(np.polyfit(x, y, max(0, n - 1)), at)
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * (d[i] - d[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, b)
-    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    t = at - x[i]
-    return y[i] + t * (d[i] - h[i] * (2 * m[i] + m[i + 1]) / 6) + t**2 * m[i] / 2 + t**3 * (m[i + 1] - m[i]) / (6 * h[i])
+    return splines_not_a_knot(x[None], y[None], at, np.zeros(len(at), int))
+
+
+def splines_not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The splines through the rows of ``x`` and ``y``, of at least four points each: at ``at``, each by the spline ``row``, in order."""
+    h = np.diff(x)
+    d, (g, n) = np.diff(y) / h, x.shape
+    a, b, i = np.zeros((g, n, n)), np.zeros((g, n)), np.arange(1, n - 1)
+    a[:, i, i - 1], a[:, i, i], a[:, i, i + 1] = h[:, :-1], 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:]
+    b[:, 1:-1] = 6 * (d[:, 1:] - d[:, :-1])
+    a[:, 0, 0], a[:, 0, 1], a[:, 0, 2] = h[:, 1], -(h[:, 0] + h[:, 1]), h[:, 0]
+    a[:, -1, -3], a[:, -1, -2], a[:, -1, -1] = h[:, -1], -(h[:, -2] + h[:, -1]), h[:, -2]
+    m = np.linalg.solve(a, b[..., None])[..., 0]
+    ends = np.cumsum(np.bincount(row, minlength=g))[:-1]
+    piece = np.clip(np.concatenate([np.searchsorted(own, t, "right") for own, t in zip(x, np.split(at, ends), strict=True)]) - 1, 0, n - 2)
+    low, high, h = (row, piece), (row, piece + 1), h[row, piece]
+    t = at - x[low]
+    return y[low] + t * (d[low] - h * (2 * m[low] + m[high]) / 6) + t**2 * m[low] / 2 + t**3 * (m[high] - m[low]) / (6 * h)
 
 
 def on_model_cubic(obs: DataFrame, models: DataFrame, key: str = "object_id") -> DataFrame:
-    """(key, filter, mjd, flux, flux_error, model_flux) by the cubic interpolant, null outside the grid."""
-    names = [key, "filter", "mjd", "flux", "flux_error"]
-    kind = dict(obs.dtypes)[key]
-    wanted = obs.select(*names).groupBy(key, "filter")
-    grid = models.select(key, "filter", F.col("mjd").alias("x"), F.col("flux").alias("y")).groupBy(key, "filter")
-
-    def fit(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = rows.copy()
-        out["model_flux"] = np.nan
-        points = points.sort_values("x")
-        if len(rows) and len(points) > 1:
-            x, t = points["x"].to_numpy(), rows["mjd"].to_numpy()
-            found = spline_not_a_knot(x, points["y"].to_numpy(), t)
-            out["model_flux"] = np.where((t >= x[0]) & (t <= x[-1]), found, np.nan)
-        return out[[*names, "model_flux"]]
-
-    rows = wanted.cogroup(grid).applyInPandas(fit, f"{key} {kind}, filter string, mjd double, flux double, flux_error double, model_flux double")
-    return rows.withColumn("model_flux", F.when(~F.isnan("model_flux"), F.col("model_flux")))
+    """(key, filter, mjd, flux, flux_error, model_flux) by the cubic interpolant, null outside the grid.
+
+    A band's grid and times are one row of arrays, and many bands are solved at once.
+    """
+    by, values = [key, "filter"], ["mjd", "flux", "flux_error"]
+    packed = obs.groupBy(*by).agg(F.collect_list(F.struct(*values)).alias("rows"))
+    grid = models.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sort_array(F.collect_list(F.struct(F.col("mjd").alias("x"), F.col("flux").alias("y")))).alias("grid"))
+    same = packed[key].eqNullSafe(grid[f"_{key}"]) & packed["filter"].eqNullSafe(grid["_filter"])
+    each = packed.join(grid.hint("merge"), same, "left")
+
+    @F.pandas_udf("array<double>")
+    def on_grid(times: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = np.array([np.full(len(t), np.nan) for t in times] + [None], object)[:-1]
+        lengths = np.array([0 if x is None else len(x) for x in xs], int)
+        for n in np.unique(lengths[lengths > 1]):
+            places = np.flatnonzero(lengths == n)
+            for at in np.array_split(places, 1 + len(places) * n * n // 2_000_000):
+                x, y = (np.stack(c.to_numpy()[at]).astype(float) for c in (xs, ys))
+                row, t = np.repeat(np.arange(len(at)), [len(times[i]) for i in at]), np.concatenate([np.asarray(times[i], float) for i in at])
+                found = splines_not_a_knot(x, y, t, row) if n > 3 else np.concatenate([spline_not_a_knot(a, b, t[row == i]) for i, (a, b) in enumerate(zip(x, y, strict=True))])
+                found = np.where((t >= x[row, 0]) & (t <= x[row, -1]), found, np.nan)
+                for i, part in zip(at, np.split(found, np.flatnonzero(np.diff(row)) + 1), strict=True):
+                    out[i] = part
+        return pd.Series(out)
+
+    told = each.select(*by, "rows", on_grid("rows.mjd", "grid.x", "grid.y").alias("model"))
+    rows = told.select(*by, F.explode(F.arrays_zip("rows", "model")).alias("r"))
+    model = F.col("r.model")
+    return rows.select(*by, *[F.col(f"r.rows.{v}").alias(v) for v in values], F.when(~F.isnan(model), model).alias("model_flux"))
 
 
 def chisq(rows: DataFrame, by: list[str], key_error: str = "flux_error") -> DataFrame:

@@ -236,7 +236,11 @@ def peak_times(obs: DataFrame, params: DataFrame, filters: Sequence[str], before
 
 
 def reconstruction_error(models: DataFrame, restored: DataFrame, key: str = "object_id") -> DataFrame:
-    """(key, error): chi-square over points of a restored model (key, filter, grid_ix, flux) against the model."""
+    """(key, error): chi-square over points of a restored model (key, filter, grid_ix, flux) against the model.
+
+    The join is a shuffled one: sizes estimated before rows are exploded leave out the points, so that a table of all
+    points would be broadcast.
+    """
     other = restored.select(key, "filter", "grid_ix", F.col("flux").alias("_r"))
     part = (F.col("flux") - F.col("_r")) / F.nullif("flux_error", F.lit(0.0))
-    return models.join(other, [key, "filter", "grid_ix"]).groupBy(key).agg(F.avg(part * part).alias("error"))
+    return models.join(other.hint("merge"), [key, "filter", "grid_ix"]).groupBy(key).agg(F.avg(part * part).alias("error"))
