@@ -43,3 +43,55 @@ def test_models_are_dealt_over_all_partitions(spark):
     assert all(np.allclose(r.again, v) for r, v in zip(again, x, strict=True))  # lengths may differ from row to row
     models = spark.range(64).select(F.col("id").alias("object_id"), F.format_string("b%d", F.col("id") % 3).alias("filter"), F.lit(0.0).alias("mjd"), F.lit(1.0).alias("flux"), F.lit(1.0).alias("flux_error"))
     assert T.pack_models(models).rdd.getNumPartitions() == 4
+
+
+def _bands(n=12, count=7):
+    from fluxloom.operators import fit as P
+
+    r = np.random.default_rng(5)
+    low, high, start = (np.array([b[i] for b in P.MODELS["karpenka"][0].values()], float) for i in range(3))
+    t = np.sort(r.uniform(0, 30, (count, n)), axis=1)
+    y, e = r.uniform(0, 200, (count, n)), r.uniform(1, 9, (count, n))
+    chi = lambda rows, p: np.sum(((y[rows] - P._karpenka(t[rows], p.T[:, :, None])) / e[rows]) ** 2, axis=1)
+    each = lambda v: np.tile(v, (count, 1))
+    return t, y, e, chi, (start, low, high), tuple(map(each, (start, low, high))), list(range(count))
+
+
+def test_many_fits_and_samplers_are_those_of_one():
+    from fluxloom.operators import fit as P
+
+    t, y, e, chi, one, many, seeds = _bands()
+    for name in P.SAMPLERS:
+        more = {"mcmc": {"rounds": 31, "walkers": 7}, "nested": {"rounds": 120, "live": 20}}.get(name, {})
+        found, value = P.MANY[name](chi, t.shape[1], *many, 3, seeds, **more)
+        for i in seeds:
+            p, c = P.SAMPLERS[name](P._karpenka, t[i], y[i], e[i], *one, 3, i, **more)
+            assert np.allclose(found[i], p, rtol=1e-9) and np.isclose(value[i], c, rtol=1e-9), name
+
+
+def test_many_nested_runs_are_those_of_one():
+    from fluxloom.operators import fit as P
+
+    t, y, e, chi, one, many, seeds = _bands(9, 4)
+    runs = P.many_nested_runs(chi, many[1], many[2], seeds, 15, 6)
+    for i, r in enumerate(runs):
+        own = P.nested_run(lambda p: -0.5 * float(np.sum(((y[i] - P._karpenka(t[i], p)) / e[i]) ** 2)), one[1], one[2], 15, 6, i)  # noqa: B023
+        assert np.allclose(r.points, own.points, rtol=1e-9) and np.allclose(r.weight, own.weight) and np.isclose(r.log_evidence, own.log_evidence)
+
+
+def test_groups_are_whole_whatever_the_batches(spark):
+    import pyarrow as pa
+
+    from fluxloom.runtime import in_groups
+
+    def counted(table, starts):
+        sizes = np.diff(np.append(starts, table.num_rows))
+        yield pa.table({"k": table["k"].take(starts), "n": pa.array(sizes)})
+
+    df = spark.range(5000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 50 + 2**60).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = sorted(in_groups(df, ["k"], counted, "k long, n long", rows=150).collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([(None, 100), *((i + 2**60, 100) for i in range(1, 50))], key=str)
