@@ -303,9 +303,11 @@ def smote(rows: DataFrame, k: int = 5, seed: int = 0, key: str = "object_id", la
     # null labels are a class
     data = data.withColumns({"g": F.coalesce(F.concat(F.lit("="), F.col("y").cast("string")), F.lit("-")), "row": F.concat_ws("\u0001", F.coalesce("id", F.lit("")), "copy")})
     data = materialised(data)
-    found = nearest_rows(data, data, k + 1, "row", "x", "x", group="g").where(F.col("other") != F.col("row"))
+    found = nearest_rows(data, data, k + 1, "row", "g", "x", group="g").where(F.col("other") != F.col("row"))
     found = found.withColumn("_r", F.row_number().over(W.partitionBy("row").orderBy("d", "other"))).where(F.col("_r") <= k)
-    lists = found.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("_r", F.col("y").alias("x")))).alias("near"), F.avg("d").alias("far"))
+    # vectors are fetched for the nearest rows only
+    found = found.join(data.select(F.col("row").alias("_other"), F.col("x").alias("_x")), F.col("other") == F.col("_other"))
+    lists = found.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("_r", F.col("_x").alias("x")))).alias("near"), F.avg("d").alias("far"))
     data = data.join(lists, F.col("row") == F.col("_row"), "left")
     if weights is not None:
         given = weights.groupBy(F.col(key).cast("string").alias("_wi")).agg(F.max("weight").alias("_w"))

@@ -3,11 +3,12 @@
 Up to ``max_pivots`` pivots are picked far apart in a bounded sample of the rows; every row belongs to the cell of its nearest
 pivot. For each cell and each pivot the index holds the least and the greatest distance of the cell's rows to the pivot. By the
 triangle inequality no row of a cell is nearer to a query than the query's distance to a pivot lies outside that range, so each
-query visits cells in the order of this bound: the first one, then as many again as it has seen, round by round, until its k-th
-distance is below the bounds of all cells left. What is sent to a cell are the queries that must see it, and no others.
+query visits the first cell by this bound, and then all cells whose bounds are not above its k-th distance.
 
 Rows with one vector are one entry that holds its k least keys, which is exact since ties go by key; so copies are compared
-once. Cells are cut into blocks of ``block`` entries and queries of a cell into as many, so that no task holds more than two blocks.
+once. Cells lie on shelves of some sixteen times ``block`` entries, and a query is sent once to a shelf, however many of its cells it
+must see; queries of a shelf are cut into as many, so a task holds two such parts. Rounds are written as Parquet: a checkpoint keeps
+the size estimated for its plan, and products of estimates from round to round fill the driver.
 With ``group`` a query sees rows of its own group only. Rows without a vector are not found and find nothing.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxloom.runtime import broadcast_if_small, materialised
+from fluxloom.runtime import Scratch, broadcast_if_small, materialised
 
 _CHUNK = 256
 
@@ -69,12 +70,12 @@ class MetricIndex:
     """The rows of ``train`` (key, label, features) by cells; ``keep`` is the greatest k that will be asked for."""
 
     def __init__(self, train: DataFrame, keep: int, key: str = "object_id", label: str = "label", column: str = "features", group: str | None = None, block: int = 4096, cell_rows: int = 1024, max_pivots: int = 256, sample: int = 4096):
-        self.keep, self.block = keep, block
+        self.keep, self.room, self.scratch = keep, 16 * block, Scratch(train.sparkSession, "neighbours")
         rows = train.where(F.col(column).isNotNull()).select(F.col(key).alias("other"), F.col(label).alias("y"), F.col(column).cast("array<double>").alias("x"), (F.col(group) if group else F.lit(0)).alias("g"))
         self.kinds = dict(rows.dtypes)
         # the least keys of each vector: the limit is taken in the tasks before the shuffle too
         first = F.row_number().over(W.partitionBy("g", "x").orderBy("other"))
-        held = materialised(rows.withColumn("_r", first).where(F.col("_r") <= keep).drop("_r"))
+        held = self.scratch.written(rows.withColumn("_r", first).where(F.col("_r") <= keep).drop("_r"))
         count = held.count()
         drawn = held.orderBy(F.xxhash64("x")).limit(sample).select("x").collect()  # at most ``sample`` rows
         self.pivots = spread_pivots(np.array([r.x for r in drawn], float).reshape(len(drawn), -1 if drawn else 0), max(1, min(max_pivots, math.ceil(count / cell_rows))))
@@ -87,15 +88,17 @@ class MetricIndex:
                     yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), away=list(d))
 
         schema = ", ".join(f"`{n}` {t}" for n, t in self.kinds.items())
-        cells = materialised(held.mapInPandas(placed, f"{schema}, cell int, away array<double>"))
+        cells = self.scratch.written(held.mapInPandas(placed, f"{schema}, cell int, away array<double>"))
         ranges = cells.select("cell", F.posexplode("away").alias("pivot", "d")).groupBy("cell", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high")).collect()  # pivots squared
         self.low, self.high = np.full((len(pivots), len(pivots)), np.inf), np.full((len(pivots), len(pivots)), -np.inf)
         for r in ranges:
             self.low[r.cell, r.pivot], self.high[r.cell, r.pivot] = r.low, r.high
-        sizes = materialised(cells.groupBy("g", "cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
-        self.sizes = sizes
+        # cells side by side, one for each pivot and group at most, share a shelf of some ``room`` entries; a larger cell is cut
+        ahead = F.sum("size").over(W.partitionBy("g").orderBy("cell")) - F.col("size")
+        sizes = cells.groupBy("g", "cell").agg(F.count("*").alias("size")).withColumns({"blocks": F.ceil(F.col("size") / self.room).cast("int"), "shelf": F.floor(ahead / self.room).cast("int")})
+        self.sizes = sizes = self.scratch.written(sizes)
         near = cells.drop("away").join(broadcast_if_small(sizes), ["g", "cell"])
-        self.entries = materialised(near.withColumn("b", F.pmod(F.xxhash64("other", F.lit(3)), F.col("blocks")).cast("int")).select("g", "cell", "b", "other", "y", "x"))
+        self.entries = self.scratch.written(near.withColumn("b", F.pmod(F.xxhash64("other", F.lit(3)), F.col("blocks")).cast("int")).select("g", "cell", "shelf", "b", "other", "y", "x"))
         self.evaluated = 0
 
     def _next(self, queries: DataFrame, seen: int, more: int, schema: str) -> DataFrame:
@@ -124,54 +127,57 @@ class MetricIndex:
             raise ValueError(f"the index keeps {self.keep} rows of a vector")
         kind = dict(test.dtypes)[key]
         asked = test.where(F.col(column).isNotNull()).select(F.col(key).alias("name"), F.col(column).cast("array<double>").alias("q"), (F.col(group) if group else F.lit(0)).alias("g"))
-        queries = materialised(asked.withColumn("most", F.lit(float("inf"))))
+        queries = self.scratch.written(asked.withColumn("most", F.lit(float("inf"))))
         schema = f"name {kind}, q array<double>, g {self.kinds['g']}, most double"
         out = f"name {kind}, other {self.kinds['other']}, y {self.kinds['y']}, d double"
-        block = self.block
 
         def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             found = {c: [] for c in ("name", "other", "y", "d")}
             if len(asked) and len(known):
                 known = known.sort_values("other", kind="stable")
                 ids, y, names = known["other"].to_numpy(), known["y"].to_numpy(), asked["name"].to_numpy()
-                for i, at, d in nearest_of(np.stack(asked["q"].to_numpy()), np.stack(known["x"].to_numpy()), k, asked["most"].to_numpy(float)):
-                    best = np.argsort(d, kind="stable")[:k]
-                    found["name"] += [names[i]] * len(best)
-                    found["other"] += ids[at[best]].tolist()
-                    found["y"] += y[at[best]].tolist()
-                    found["d"] += d[best].tolist()
+                q, x, most = np.stack(asked["q"].to_numpy()), np.stack(known["x"].to_numpy()), asked["most"].to_numpy(float)
+                where = known["cell"].to_numpy()
+                wanted, of = np.concatenate(asked["cells"].to_numpy()), np.repeat(np.arange(len(asked)), [len(c) for c in asked["cells"]])
+                near: list[list] = [[] for _ in names]
+                if 2 * len(wanted) > len(names) * len(np.unique(where)):  # most of the cells are wanted: all of them at once
+                    parts = [(np.arange(len(names)), np.arange(len(ids)))]
+                else:
+                    parts = [(of[wanted == c], np.flatnonzero(where == c)) for c in np.unique(where)]
+                for rows, places in parts:
+                    for i, at, d in nearest_of(q[rows], x[places], k, most[rows]):
+                        best = np.argsort(d, kind="stable")[:k]
+                        near[rows[i]].append((places[at[best]], d[best]))
+                for name, met_ in zip(names, near, strict=True):
+                    if met_:
+                        at, d = (np.concatenate(c) for c in zip(*met_, strict=True))
+                        best = np.lexsort((at, d))[:k]
+                        found["name"] += [name] * len(best)
+                        found["other"] += ids[at[best]].tolist()
+                        found["y"] += y[at[best]].tolist()
+                        found["d"] += d[best].tolist()
             return pd.DataFrame({c: pd.Series(v, dtype=float if c == "d" else object) for c, v in found.items()})
 
-        best, seen, more, done = None, 0, 1, []
-        while seen < len(self.pivots):
-            visits = materialised(self._next(queries, seen, more, schema).join(self.sizes.select("g", "cell", "size", "blocks"), ["g", "cell"]))
+        by = ["g", "shelf", "b"]
+        # the first cell bounds the distances that matter; all that are within reach, the first again, then give the nearest
+        for last, more in ((False, 1), (True, max(1, len(self.pivots)))):
+            visits = self._next(queries, 0, more, schema).select("name", "g", "cell").join(self.sizes, ["g", "cell"])
+            visits = self.scratch.written(visits.select("name", "g", "cell", "size", "blocks", "shelf"))
             self.evaluated += visits.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-            crowd = visits.groupBy("g", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-            crowd = materialised(crowd)
-            ask = visits.join(broadcast_if_small(crowd), ["g", "cell"]).withColumn("s", F.pmod(F.xxhash64("name", F.lit(5)), F.col("salts")).cast("int"))
-            ask = ask.select("name", "q", "most", "g", "cell", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-            fit = self.entries.join(broadcast_if_small(crowd), ["g", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
-            met = ask.groupBy("g", "cell", "b", "s").cogroup(fit.groupBy("g", "cell", "b", "s")).applyInPandas(meet, out)
-            met = met if best is None else met.unionByName(best)
+            sent = visits.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("name", *by).agg(F.collect_list("cell").alias("cells"))
+            sent = self.scratch.written(sent)
+            crowd = materialised(sent.groupBy(*by).agg(F.ceil(F.count("*") / self.room).cast("int").alias("salts")))
+            ask = sent.join(queries, ["name", "g"]).join(broadcast_if_small(crowd), by).withColumn("s", F.pmod(F.xxhash64("name", F.lit(5)), F.col("salts")).cast("int"))
+            ask = ask.select("name", "q", "most", *by, "s", "cells")
+            fit = self.entries.join(broadcast_if_small(crowd), by).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
+            met = ask.groupBy(*by, "s").cogroup(fit.groupBy(*by, "s")).applyInPandas(meet, out)
             ranked = met.withColumn("_r", F.row_number().over(W.partitionBy("name").orderBy("d", "other"))).where(F.col("_r") <= k).drop("_r")
-            best = materialised(ranked)
-            seen, more = seen + more, seen + more
-            if seen >= len(self.pivots):
+            best = self.scratch.written(ranked)
+            if last:
                 break
-            kth = best.groupBy("name").agg(F.count("*").alias("n"), F.max("d").alias("far"))
-            kth = materialised(kth.where(F.col("n") >= k).select(F.col("name").alias("_n"), "far"))
+            kth = best.groupBy("name").agg(F.count("*").alias("n"), F.max("d").alias("far")).where(F.col("n") >= k).select(F.col("name").alias("_n"), "far")
             told = queries.drop("most").join(kth, F.col("name") == F.col("_n"), "left")
-            queries = materialised(told.select("name", "q", "g", F.coalesce("far", F.lit(float("inf"))).alias("most")))
-            open_ = self._next(queries, seen, len(self.pivots), schema).select("name").distinct()
-            queries = materialised(queries.join(open_, "name", "left_semi"))
-            done.append(best.join(queries.select("name"), "name", "left_anti"))
-            best = materialised(best.join(queries.select("name"), "name", "left_semi"))
-            if queries.isEmpty():
-                break
-        if best is None:
-            return test.sparkSession.createDataFrame([], out).withColumnRenamed("name", key)
-        for part in done:
-            best = best.unionByName(part)
+            queries = self.scratch.written(told.select("name", "q", "g", F.coalesce("far", F.lit(float("inf"))).alias("most")))
         return best.withColumnRenamed("name", key)
 
 
@@ -180,4 +186,7 @@ def nearest_rows(train: DataFrame, test: DataFrame, k: int, key: str = "object_i
 
     ``index``: cell_rows, max_pivots, sample (see ``MetricIndex``).
     """
-    return MetricIndex(train, k, key, label, column, group, block, **index).nearest(test, k, key, column, group)
+    made = MetricIndex(train, k, key, label, column, group, block, **index)
+    found = materialised(made.nearest(test, k, key, column, group))
+    made.scratch.remove()
+    return found

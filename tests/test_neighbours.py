@@ -80,3 +80,11 @@ def test_a_rare_class_is_made_in_many_tasks(spark):
     assert len(each) == 50 and max(each.values()) - min(each.values()) <= 1
     assert made.select("object_id").distinct().count() == sum(sizes)
     assert made.where("features[1] <> 0 OR features[0] < 0 OR features[0] > 49").isEmpty()
+
+
+def test_size_estimates_do_not_multiply(spark):
+    """Nearest rows of nearest rows: an estimate that grows from round to round by products of others fills the driver."""
+    rows = _frame(spark, _clusters(60, 1.0))
+    found = nearest_rows(rows, rows, 3, cell_rows=10)
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert len(str(size)) <= 8
