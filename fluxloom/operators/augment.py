@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -107,9 +108,16 @@ SURVEYS = {
 }
 
 
-def mixture(rng: np.random.Generator, parts: tuple) -> float:
+@lru_cache(256)
+def _steps(parts: tuple) -> np.ndarray:
+    """Where the weights of a mixture end, from 0 to 1, as ``Generator.choice`` sums them."""
     weights = np.array([w for w, _, _ in parts])
-    _, mean, variance = parts[rng.choice(len(parts), p=weights / weights.sum())]
+    ends = (weights / weights.sum()).cumsum()
+    return ends / ends[-1]
+
+
+def mixture(rng: np.random.Generator, parts: tuple) -> float:
+    _, mean, variance = parts[int(_steps(parts).searchsorted(rng.random(), side="right"))]
     return float(rng.normal(mean, math.sqrt(variance)))
 
 

@@ -62,12 +62,27 @@ def condition(kernel, x: np.ndarray, y: np.ndarray, e: np.ndarray) -> tuple[Gp,
     return Gp(kernel, x, factor, weights), float(0.5 * half @ half + np.log(np.diag(factor)).sum() + 0.5 * len(y) * np.log(2 * np.pi))
 
 
+def negative_log_likelihood(kernel, x: np.ndarray, y: np.ndarray, e: np.ndarray) -> float:
+    """That of ``condition``, by one factorisation: the values are a last row beside the covariances, whose factor is L^-1 y."""
+    n, noise = len(y), e * e
+    k = np.zeros((n + 1, n + 1))
+    k[:n, :n] = kernel(x, x)
+    at = np.arange(n)
+    noise = noise + 1e-10 * max(1e-30, k[0, 0])
+    k[at, at] += noise
+    k[n, :n] = y
+    k[n, n] = 1 + 2 * float(y @ y) / float(noise.min())  # more than y K^-1 y; the row before it does not depend on it
+    factor = np.linalg.cholesky(k)
+    half = factor[n, :n]
+    return float(0.5 * half @ half + np.log(np.diag(factor)[:n]).sum() + 0.5 * n * np.log(2 * np.pi))
+
+
 def _maximised(make, start, low, high, x, y, e):
     """(parameters, process, converged): the best parameters, or the start where no step succeeds."""
 
     def cost(p: np.ndarray) -> float:
         try:
-            return condition(make(p), x, y, e)[1]
+            return negative_log_likelihood(make(p), x, y, e)
         except np.linalg.LinAlgError:
             return 1e25
 
@@ -79,11 +94,11 @@ def _maximised(make, start, low, high, x, y, e):
 
 def kernel_2d(log_amp: float, log_time: float, wavelength: float = 6000.0):
     """Matern-3/2 over (time, wavelength) with the given log variance and log squared time scale."""
-    scale = np.array([np.exp(0.5 * log_time), wavelength])
+    scale = np.exp(0.5 * log_time)
 
     def k(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = (a[:, None, :] - b[None, :, :]) / scale
-        return np.exp(log_amp) * matern32(np.sqrt((d * d).sum(axis=2)))
+        t, w = (a[:, None, 0] - b[None, :, 0]) / scale, (a[:, None, 1] - b[None, :, 1]) / wavelength
+        return np.exp(log_amp) * matern32(np.sqrt(t * t + w * w))
 
     return k
 

@@ -95,3 +95,24 @@ def test_groups_are_whole_whatever_the_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted([(None, 100), *((i + 2**60, 100) for i in range(1, 50))], key=str)
+
+
+def test_likelihood_by_one_factorisation():
+    r = np.random.default_rng(8)
+    x = np.column_stack([np.sort(r.uniform(0, 30, 40)), r.choice([3685.0, 6231.0], 40)])
+    y, e = r.uniform(0, 300, 40), r.uniform(1, 9, 40)
+    for amp, time in ((2.0, 1.0), (9.0, 6.0), (14.0, 13.0)):
+        k = G.kernel_2d(amp, time)
+        assert np.isclose(G.negative_log_likelihood(k, x, y, e), G.condition(k, x, y, e)[1], rtol=1e-10)
+    assert np.isclose(G.negative_log_likelihood(k, x, 0 * y, e), G.condition(k, x, 0 * y, e)[1], rtol=1e-10)
+
+
+def test_mixtures_draw_as_choice_does():
+    from fluxloom.operators import augment as A
+
+    parts = A.SURVEYS["noroll_v20_subset_wfd"].n_obs
+    a, b = np.random.default_rng(2), np.random.default_rng(2)
+    weights = np.array([w for w, _, _ in parts])
+    for _ in range(200):
+        _, mean, variance = parts[b.choice(len(parts), p=weights / weights.sum())]
+        assert A.mixture(a, parts) == b.normal(mean, np.sqrt(variance))
