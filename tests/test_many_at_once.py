@@ -116,3 +116,13 @@ def test_mixtures_draw_as_choice_does():
     for _ in range(200):
         _, mean, variance = parts[b.choice(len(parts), p=weights / weights.sum())]
         assert A.mixture(a, parts) == b.normal(mean, np.sqrt(variance))
+
+
+def test_templates_found_and_read(spark):
+    from fluxloom.operators import fit as P
+
+    templates = spark.createDataFrame([("a", "lsstr", float(t), float(np.exp(-((t / 5) ** 2)))) for t in range(-10, 20)], "name string, filter string, phase double, flux double")
+    obs = spark.createDataFrame([(k, "lsstr", float(t), float(9 * np.exp(-(((t - 8) / 5) ** 2))), 0.5) for k in range(20) for t in range(0, 20, 2)], "object_id long, filter string, mjd double, flux double, flux_error double")
+    fits = P.fit_template(obs, templates)
+    assert all(abs(r.t0 - 8) < 0.1 and abs(r.stretch - 1) < 0.05 and abs(r.amplitude - 9) < 0.2 for r in fits.collect())
+    assert P.reconstruct_template(obs, fits, templates, 5).count() == 100
