@@ -1,28 +1,29 @@
 """Synthesised objects: an original is moved to another redshift, its model read at the new wavelengths and times.
 
 Every copy draws from a generator seeded by its id and try, so results do not depend on how rows are dealt out. The
-surveys differ only in the constants of ``SURVEYS``.
+surveys differ only in the constants of ``SURVEYS``; copies for several surveys share the models of their originals.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.operators.fit import _seed
-from fluxloom.operators.gp import condition, fit_2d, kernel_2d
+from fluxloom.operators.gp import condition, in_batches, kernel_2d, many_fit_2d
 from fluxloom.operators.neighbours import nearest_rows
-from fluxloom.ordering import running_sums
-from fluxloom.runtime import broadcast_if_small, dealt, materialised
-from fluxloom.schema import LSST, PASSBANDS
+from fluxloom.ordering import ranked, running_sums
+from fluxloom.runtime import broadcast_if_small, in_groups, materialised
+from fluxloom.schema import PASSBANDS
 
 
 @dataclass(frozen=True)
@@ -109,16 +110,19 @@ SURVEYS = {
 
 
 @lru_cache(256)
-def _steps(parts: tuple) -> np.ndarray:
-    """Where the weights of a mixture end, from 0 to 1, as ``Generator.choice`` sums them."""
+def _steps(parts: tuple) -> tuple[list[float], list[tuple[float, float]]]:
+    """Where the weights of a mixture end, from 0 to 1, as ``Generator.choice`` sums them, and its means and deviations."""
     weights = np.array([w for w, _, _ in parts])
     ends = (weights / weights.sum()).cumsum()
-    return ends / ends[-1]
+    return (ends / ends[-1]).tolist(), [(mean, math.sqrt(variance)) for _, mean, variance in parts]
+
+
+def _drawn(rng: np.random.Generator, ends: list[float], parts: list[tuple[float, float]]) -> float:
+    return rng.normal(*parts[bisect_right(ends, rng.random())])
 
 
 def mixture(rng: np.random.Generator, parts: tuple) -> float:
-    _, mean, variance = parts[int(_steps(parts).searchsorted(rng.random(), side="right"))]
-    return float(rng.normal(mean, math.sqrt(variance)))
+    return float(_drawn(rng, *_steps(parts)))
 
 
 def new_redshift(rng: np.random.Generator, z: float, rule: str) -> float:
@@ -145,7 +149,23 @@ def luminosity_distance(z: float, h0: float = 70.0, matter: float = 0.3) -> floa
     return 299792.458 / h0 * (1 + z) * float(step / 3 * (e[0] + e[-1] + 4 * e[1:-1:2].sum() + 2 * e[2:-1:2].sum()))
 
 
-def new_photoz(rng: np.random.Generator, z: float, table: np.ndarray, tries: int = 100) -> tuple[float, float] | None:
+class Redshifts:
+    """Numbered rows (difference, error) that workers draw from: all of them, equal ones held once with their count.
+
+    Equal rows have numbers side by side, ``ends`` are the numbers after the last of each.
+    """
+
+    def __init__(self, rows: np.ndarray, counts: np.ndarray):
+        self.rows, self.ends = rows, np.cumsum(counts)
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def __getitem__(self, number: int) -> np.ndarray:
+        return self.rows[self.ends.searchsorted(number, side="right")]
+
+
+def new_photoz(rng: np.random.Generator, z: float, table: Redshifts | np.ndarray, tries: int = 100) -> tuple[float, float] | None:
     """The first positive pair of photometric redshift and error drawn from rows (difference, error)."""
     for _ in range(tries):
         diff, error = table[rng.integers(len(table))]
@@ -154,36 +174,40 @@ def new_photoz(rng: np.random.Generator, z: float, table: np.ndarray, tries: int
     return None
 
 
-def trimmed(rows: pd.DataFrame, longest: float, step: float = 5.0) -> pd.DataFrame:
-    """The fainter edge cut by up to five days until the object is short enough."""
-    while len(rows) and rows["mjd"].max() - rows["mjd"].min() > longest:
-        a, b = rows["mjd"].min(), rows["mjd"].max()
+def trimmed(mjd: np.ndarray, flux: np.ndarray, longest: float, step: float = 5.0) -> np.ndarray:
+    """The places of rows in time that stay: the fainter edge is cut by up to five days until the object is short enough."""
+    at = np.arange(len(mjd))
+    while len(at) and mjd[at[-1]] - mjd[at[0]] > longest:
+        t, size = mjd[at], np.abs(flux[at])
+        a, b = t[0], t[-1]
         cut = min(step, b - a - longest)
-        head, tail = rows[rows["mjd"] < a + cut], rows[rows["mjd"] > b - cut]
-        first = (head["flux"].abs().mean() if len(head) else 0.0) <= (tail["flux"].abs().mean() if len(tail) else 0.0)
-        rows = rows[rows["mjd"] >= a + max(cut, 1e-9)] if first else rows[rows["mjd"] <= b - max(cut, 1e-9)]
-    return rows
+        head, tail = size[t < a + cut], size[t > b - cut]
+        first = (head.sum() / len(head) if len(head) else 0.0) <= (tail.sum() / len(tail) if len(tail) else 0.0)
+        at = at[t >= a + max(cut, 1e-9)] if first else at[t <= b - max(cut, 1e-9)]
+    return at
 
 
-def observing_times(rng: np.random.Generator, rows: pd.DataFrame, z0: float, z1: float, target: int, longest: float) -> pd.DataFrame:
-    """Observations stretched about the peak, cut to the longest duration, filled or thinned towards ``target``.
-
-    ``rest`` keeps the time in the original's frame.
+def observing_times(rng: np.random.Generator, mjd: np.ndarray, band: np.ndarray, flux: np.ndarray, z0: float, z1: float, target: int, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times, times in the original's frame, bands) of a copy: the observations in time order, ``band`` by place, stretched about
+    the peak, cut to the longest duration, filled or thinned towards ``target``.
     """
-    peak = rows["mjd"].iloc[int(rows["flux"].to_numpy().argmax())]
     stretch = (1 + z1) / (1 + z0)
-    new = rows.assign(mjd=peak + (rows["mjd"] - peak) * stretch, rest=rows["mjd"])
-    new = trimmed(new[new["mjd"] >= 0], longest)
-    if not len(new):
-        return new
-    extra = min(max(0, int(target * (stretch - 1))), len(rows) // 2)
+    peak = mjd[int(flux.argmax())]
+    new = peak + (mjd - peak) * stretch
+    at = np.flatnonzero(new >= 0)
+    at = at[trimmed(new[at], flux[at], longest)]
+    if not len(at):
+        return new[at], mjd[at], band[at]
+    own = band[at]
+    extra = min(max(0, int(target * (stretch - 1))), len(mjd) // 2)
     if extra:
-        more = new.iloc[rng.integers(len(new), size=extra)].copy()
-        more["filter"] = rng.choice(sorted(new["filter"].unique()), extra)
-        new = pd.concat([new, more])
-    drop = int(max(len(new) - target, 0.1 * len(new)))
-    new = new.iloc[np.sort(rng.permutation(len(new))[drop:])].sort_values("mjd", kind="stable")
-    return new.assign(mjd=new["mjd"] - new["mjd"].min()) if len(new) else new
+        at = np.concatenate([at, at[rng.integers(len(at), size=extra)]])
+        own = np.concatenate([own, rng.choice(np.unique(own), extra)])
+    drop = int(max(len(at) - target, 0.1 * len(at)))
+    kept = np.sort(rng.permutation(len(at))[drop:])
+    kept = kept[np.argsort(new[at[kept]], kind="stable")]
+    at, own = at[kept], own[kept]
+    return (new[at] - new[at[0]] if len(at) else new[at]), mjd[at], own
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -214,15 +238,59 @@ def standardised_redshifts(table: DataFrame) -> DataFrame:
     raise ValueError("a redshift table has hostgal_photoz_err and either z_diff or hostgal_specz and hostgal_photoz")
 
 
-def redshift_table(objects: DataFrame, most: int = 100_000, z_table: DataFrame | None = None) -> np.ndarray:
-    """Rows (photoz - specz, error) from which photometric redshifts are drawn.
+#: Different rows of a redshift table that are sent to the workers whole: some 3 MB. Beyond, draws are joined to the table.
+SENT_REDSHIFTS = 1 << 17
+
+
+_REDSHIFT_ORDER = ("h", "z_diff", "hostgal_photoz_err")
+
+
+def _redshift_rows(objects: DataFrame, z_table: DataFrame | None = None) -> DataFrame:
+    """(h, z_diff, hostgal_photoz_err): the rows from which photometric redshifts are drawn, numbered in the order of these columns.
 
-    They come from ``z_table`` or the objects with a spectroscopic redshift. Workers draw at random from these rows, so a random
-    sample of them, of ``most`` rows by hash, stands for larger tables: its size bounds what is sent to the workers.
+    They come from ``z_table`` or the objects with a spectroscopic redshift.
     """
     rows = standardised_redshifts(objects.where("hostgal_specz > 0") if z_table is None else z_table).where("z_diff IS NOT NULL AND hostgal_photoz_err IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("z_diff", "hostgal_photoz_err"), "z_diff", "hostgal_photoz_err").limit(most).collect()
-    return np.array([tuple(r) for r in rows], float).reshape(-1, 2)
+    return rows.select(F.xxhash64("z_diff", "hostgal_photoz_err").alias("h"), *[F.col(c).cast("double").alias(c) for c in ("z_diff", "hostgal_photoz_err")])
+
+
+def redshift_table(objects: DataFrame, most: int = SENT_REDSHIFTS, z_table: DataFrame | None = None) -> Redshifts | None:
+    """All rows (photoz - specz, error) from which photometric redshifts are drawn; none if over ``most`` of them differ."""
+    counts = materialised(_redshift_rows(objects, z_table).groupBy(*_REDSHIFT_ORDER).agg(F.count("*").alias("n")))
+    if counts.count() > most:
+        return None
+    rows = counts.orderBy(*_REDSHIFT_ORDER).collect()
+    return Redshifts(np.array([(r.z_diff, r.hostgal_photoz_err) for r in rows], float).reshape(-1, 2), np.array([r.n for r in rows], int))
+
+
+def _joined_photoz(wanted: DataFrame, numbered: DataFrame, key: str, surveys: Sequence[str], pick: Callable, seed: int, tries: int, most: int = 100) -> DataFrame:
+    """(key, pairs): of every survey, copy and try the draws that ``new_photoz`` makes, from a table that stays a table.
+
+    The draws are joined to the numbers of its rows: the first draw of each, then the next nine, then the rest, for those without
+    a positive pair so far. ``pairs`` has the number of draws, redshift and error; a try without a positive pair is not in it.
+    """
+    total, kind = numbered.count(), dict(wanted.dtypes)[key]
+    left = wanted.select(key, "z0", F.posexplode(F.array(*[F.lit(s) for s in surveys])).alias("s", "survey"), "n_copies")
+    left = left.withColumn("i", F.explode(F.expr("sequence(0, n_copies - 1)"))).select(key, "z0", "s", "survey", "i", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
+    found = None
+    for first, last in ((0, 1), (1, 10), (10, most)):
+        def asked(batches: Iterator[pa.RecordBatch], first=first, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z, numbers = [], []
+                for name, z0, survey, i, attempt in zip(*[batch[c].to_pylist() for c in (key, "z0", "survey", "i", "attempt")], strict=True):
+                    rng = np.random.default_rng(_seed(seed, name, i, attempt))
+                    z.append(pick(survey)(rng, z0))
+                    numbers.append([int(rng.integers(total)) for _ in range(last)][first:])
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in (key, "z0", "s", "survey", "i", "attempt")], pa.array(z, pa.float64()), pa.array(numbers, pa.list_(pa.int64()))], names=[key, "z0", "s", "survey", "i", "attempt", "z", "numbers"])
+
+        draws = materialised(left.mapInArrow(asked, f"{key} {kind}, z0 double, s int, survey string, i int, attempt int, z double, numbers array<long>"))
+        own = [key, "s", "i", "attempt"]
+        met = draws.select(*own, "z", F.posexplode("numbers").alias("draw", "number")).join(numbered, "number").where("z + z_diff > 0 AND hostgal_photoz_err > 0")
+        good = met.groupBy(*own).agg(F.min(F.struct((F.col("draw") + first + 1).alias("draws"), (F.col("z") + F.col("z_diff")).alias("photoz"), F.col("hostgal_photoz_err").alias("error"))).alias("p"))
+        good = materialised(good)
+        found = good if found is None else found.unionByName(good)
+        left = draws.join(good.drop("p"), own, "left_anti").select(key, "z0", "s", "survey", "i", "attempt")
+    return found.groupBy(key).agg(F.collect_list(F.struct("s", "i", "attempt", F.col("p.draws").cast("int").alias("draws"), "p.photoz", "p.error")).alias("pairs"))
 
 
 def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str = "plasticc_wfd", max_duration: float | None = None, seed: int = 0, tries: int = 10, key: str = "object_id", choose_z: Callable | None = None, z_table: DataFrame | None = None) -> DataFrame:
@@ -232,55 +300,105 @@ def augment(obs: DataFrame, objects: DataFrame, copies: DataFrame, survey: str =
     observations of which two are detected, and has ``tries`` attempts at it. ``max_duration`` must not be shorter than
     the longest object.
     """
-    setup = SURVEYS[survey]
+    return augment_surveys(obs, objects, copies, [survey], max_duration, seed, tries, key, choose_z, z_table).drop("survey")
+
+
+def augment_surveys(obs: DataFrame, objects: DataFrame, copies: DataFrame, surveys: Sequence[str], max_duration: float | None = None, seed: int = 0, tries: int = 10, key: str = "object_id", choose_z: Callable | None = None, z_table: DataFrame | None = None, sent: int = SENT_REDSHIFTS) -> DataFrame:
+    """``augment`` for each of ``surveys``, whose name is the last column: an original's model is fitted once.
+
+    A redshift table of over ``sent`` different rows is not sent to the workers; the draws from it are then made by a join.
+    """
+    setups = [SURVEYS[s] for s in surveys]
     from fluxloom.operators.stats import longest
 
     top = longest(obs, key).first()[0] or 0.0
     if max_duration is not None and max_duration < top:
         raise ValueError(f"an object lasts {top} days, more than {max_duration}")
-    limit, table = max_duration or top, redshift_table(objects, z_table=z_table)
-    pick = choose_z or (lambda rng, z: new_redshift(rng, z, setup.redshift))
-    host = objects.select(key, "ddf", "hostgal_specz", "hostgal_photoz")
-    host = host.where("ddf") if setup.from_ddf else host
-    rows = obs.select(key, "mjd", "filter", "flux", "flux_error").join(host, key)
-    rows = rows.join(copies.where("n_copies > 0"), key)
-
-    def made(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["object_id", "original_event", "mjd", "filter", "flux", "flux_error", "detected", "hostgal_specz", "hostgal_photoz", "hostgal_photoz_err", "ddf"]
-        pdf = pdf[pdf["flux_error"] != 0].sort_values(["mjd", "filter", "flux"])
-        if len(pdf) < 2 or not len(table):
-            return pd.DataFrame(columns=columns)
-        name, n = pdf[key].iloc[0], int(pdf["n_copies"].iloc[0])
-        spec, photo = float(pdf["hostgal_specz"].iloc[0]), float(pdf["hostgal_photoz"].iloc[0])
-        z0 = spec if spec > 0 else max(photo, 1e-3)
-        x = np.column_stack([pdf["mjd"], pdf["filter"].map(PASSBANDS)]).astype(float)
-        y, e = pdf["flux"].to_numpy(float), pdf["flux_error"].to_numpy(float)
-        params, _, _ = fit_2d(x[:, 0], x[:, 1], y, e)
-        gp, _ = condition(kernel_2d(params[0], params[1]), x, y, e)
-        out = []
-        for i in range(n):
-            for attempt in range(tries):
-                rng = np.random.default_rng(_seed(seed, name, i, attempt))
-                z1 = pick(rng, z0)
-                pair = new_photoz(rng, z1, table)
-                target = max(setup.least_obs, int(mixture(rng, setup.n_obs)))
-                new = observing_times(rng, pdf[["mjd", "filter", "flux", "flux_error"]], z0, z1, target, limit)
-                if pair is None or len(new) < 3:
-                    continue
-                mean, var = gp.predict(np.column_stack([new["rest"].to_numpy(), new["filter"].map(PASSBANDS).to_numpy(float) * (1 + z0) / (1 + z1)]))
-                scale = (1 + z0) / (1 + z1) * (luminosity_distance(z0) / luminosity_distance(z1)) ** 2
-                noise = np.exp([mixture(rng, setup.noise[f]) for f in new["filter"]])
-                flux = mean * scale + rng.normal(0, noise)
-                error = np.sqrt(np.maximum(var, 0) * scale**2 + noise**2)
-                seen = rng.random(len(flux)) < (_erf((flux / error - 5.5) / 2) + 1) / 2
-                if seen.sum() < 2:
+    limit, table = max_duration or top, redshift_table(objects, sent, z_table)
+    pick = lambda s: choose_z or (lambda rng, z: new_redshift(rng, z, SURVEYS[s].redshift))
+    host = objects.select(key, "ddf", *[F.col(c).cast("double").alias(c) for c in ("hostgal_specz", "hostgal_photoz")])
+    host = host.where("ddf") if all(s.from_ddf for s in setups) else host
+    host = host.withColumn("z0", F.when((F.col("hostgal_specz") > 0) & ~F.isnan("hostgal_specz"), F.col("hostgal_specz")).otherwise(F.greatest("hostgal_photoz", F.lit(1e-3))))
+    host = host.join(copies.where("n_copies > 0"), key).select(key, "ddf", "z0", "n_copies")
+    if table is None:
+        numbered = ranked(_redshift_rows(objects, z_table).withColumn("_all", F.lit(0)), ["_all"], _REDSHIFT_ORDER, "number")
+        numbered = materialised(numbered.select("number", "z_diff", "hostgal_photoz_err"))
+        total = numbered.count()
+        host = host.join(_joined_photoz(host, numbered, key, surveys, pick, seed, tries), key, "left")
+    else:
+        total = len(table)
+        host = host.withColumn("pairs", F.lit(None).cast("array<struct<s:int,i:int,attempt:int,draws:int,photoz:double,error:double>>"))
+    rows = obs.where(~F.col("flux_error").eqNullSafe(F.lit(0.0))).select(key, "filter", *[F.col(c).cast("double").alias(c) for c in ("mjd", "flux", "flux_error")]).join(host, key)
+    noise = [{f: _steps(parts) for f, parts in s.noise.items()} for s in setups]
+
+    def photoz(rng: np.random.Generator, z: float, place: tuple[int, int, int], pairs: dict) -> tuple[float, float] | None:
+        if table is not None:
+            return new_photoz(rng, z, table)
+        draws, *pair = pairs.get(place, (0,))
+        for _ in range(draws):
+            rng.integers(total)
+        return tuple(pair) or None
+
+    def made(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        ends = np.append(starts[1:], rows.num_rows)
+        wide = np.flatnonzero(ends - starts >= 2)
+        if not total:
+            return
+        for part in in_batches(ends[wide] - starts[wide]):
+            yield from copied(rows, starts[wide[part]], ends[wide[part]])
+
+    def copied(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.Table]:
+        names = sorted(set(rows["filter"].unique().to_pylist()) - {None})
+        code = {f: i for i, f in enumerate(names)}
+        band = np.array([code.get(f, -1) for f in rows["filter"].to_pylist()], int)
+        wave = np.array([*[PASSBANDS.get(f, np.nan) for f in names], np.nan], float)
+        mjd, flux, error = (rows[c].to_numpy() for c in ("mjd", "flux", "flux_error"))
+        spans = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        curves = [(np.column_stack([mjd[at], wave[band[at]]]), flux[at], error[at]) for at in spans]
+        first = [rows[c].take(pa.array(starts)).to_pylist() for c in (key, "ddf", "z0", "n_copies", "pairs")]
+        told, parts = [], []  # (object_id, original_event, z, photoz, error, survey) and (times, bands, flux, error, detected) of each copy
+        params, _ = many_fit_2d(curves)
+        for at, curve, p, name, ddf, z0, n, pairs in zip(spans, curves, params, *first, strict=True):
+            gp, _ = condition(kernel_2d(p[0], p[1]), *curve)
+            away, t, own = luminosity_distance(z0), mjd[at], band[at]
+            drawn = {(r["s"], r["i"], r["attempt"]): (r["draws"], r["photoz"], r["error"]) for r in pairs or ()}
+            for s, setup in enumerate(setups):
+                if setup.from_ddf and not ddf:
                     continue
-                out.append(pd.DataFrame({"object_id": f"{name}_aug{i}", "original_event": str(name), "mjd": new["mjd"].to_numpy(), "filter": new["filter"].to_numpy(), "flux": flux, "flux_error": error, "detected": seen, "hostgal_specz": z1, "hostgal_photoz": pair[0], "hostgal_photoz_err": pair[1], "ddf": setup.ddf}))
-                break
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
-
-    schema = "object_id string, original_event string, mjd double, filter string, flux double, flux_error double, detected boolean, hostgal_specz double, hostgal_photoz double, hostgal_photoz_err double, ddf boolean"
-    return dealt(rows, key).groupBy(key).applyInPandas(made, schema)
+                added = [noise[s].get(f) for f in names]
+                for i in range(n):
+                    for attempt in range(tries):
+                        rng = np.random.default_rng(_seed(seed, name, i, attempt))
+                        z1 = pick(surveys[s])(rng, z0)
+                        pair = photoz(rng, z1, (s, i, attempt), drawn)
+                        target = max(setup.least_obs, int(mixture(rng, setup.n_obs)))
+                        times, rest, kept = observing_times(rng, t, own, flux[at], z0, z1, target, limit)
+                        if pair is None or len(times) < 3:
+                            continue
+                        mean, var = gp.predict(np.column_stack([rest, wave[kept] * (1 + z0) / (1 + z1)]))
+                        scale = (1 + z0) / (1 + z1) * (away / luminosity_distance(z1)) ** 2
+                        extra = np.exp([_drawn(rng, *added[f]) for f in kept.tolist()])
+                        value = mean * scale + rng.normal(0, extra)
+                        wide = np.sqrt(np.maximum(var, 0) * scale**2 + extra**2)
+                        seen = rng.random(len(value)) < (_erf((value / wide - 5.5) / 2) + 1) / 2
+                        if seen.sum() < 2:
+                            continue
+                        told.append((f"{name}_aug{i}", str(name), z1, *pair, s))
+                        parts.append((times, kept, value, wide, seen))
+                        break
+        if not told:
+            return
+        times, kept, value, wide, seen = (np.concatenate(c) for c in zip(*parts, strict=True))
+        ids, events, z, photo, unsure, which = zip(*told, strict=True)
+        each = pa.array(np.repeat(np.arange(len(told)), [len(c[0]) for c in parts]))
+        long = lambda values, kind=None: pa.array(values, kind).take(each)
+        yield pa.table({
+            "object_id": long(ids), "original_event": long(events), "mjd": pa.array(times), "filter": pa.array(names).take(pa.array(kept)), "flux": pa.array(value), "flux_error": pa.array(wide), "detected": pa.array(seen),
+            "hostgal_specz": long(z, pa.float64()), "hostgal_photoz": long(photo, pa.float64()), "hostgal_photoz_err": long(unsure, pa.float64()), "ddf": long([setups[s].ddf for s in which]), "survey": long([surveys[s] for s in which]),
+        })
+
+    columns = "object_id string, original_event string, mjd double, filter string, flux double, flux_error double, detected boolean, hostgal_specz double, hostgal_photoz double, hostgal_photoz_err double, ddf boolean, survey string"
+    return in_groups(rows, [key], made, columns, ["mjd", "filter", "flux", "flux_error"])
 
 
 def refit_gps(made: DataFrame, key: str = "object_id", **options) -> DataFrame:
