@@ -7,7 +7,7 @@ query visits the first cell by this bound, and then all cells whose bounds are n
 
 Rows with one vector are one entry that holds its k least keys, which is exact since ties go by key; so copies are compared
 once. Cells lie on shelves of some sixteen times ``block`` entries, and a query is sent once to a shelf, however many of its cells it
-must see; queries of a shelf are cut into as many, so a task holds two such parts. Rounds are written as Parquet: a checkpoint keeps
+must see; queries of a shelf are cut into as many at most, so a task holds two such parts. Rounds are written as Parquet: a checkpoint keeps
 the size estimated for its plan, and products of estimates from round to round fill the driver.
 With ``group`` a query sees rows of its own group only. Rows without a vector are not found and find nothing.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.runtime import Scratch, broadcast_if_small, materialised
 
-_CHUNK = 256
+_CHUNK, _COLUMNS = 256, 1024
 
 
 def spread_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -49,21 +49,54 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearest_of(asked: np.ndarray, known: np.ndarray, k: int, most: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of ``asked`` the places of its ``k`` nearest of ``known``, with ties, and their distances.
 
-    Inner products choose candidates with room for their rounding, whose distances are then taken exactly. ``most`` bounds the
-    distances that matter.
+    One product of the rows with a last column of 1 and of squared lengths gives squared distances but for the query's length. It is
+    made in blocks that stay near the processor; what is within a query's bound, with room for rounding, is a candidate. ``most``
+    bounds the distances that matter, and a block with many candidates lowers the bound to its own k-th distance. Distances
+    of the candidates that are left are then taken exactly.
     """
-    size = np.sqrt((known**2).sum(axis=1).max(initial=0.0))
+    square = (known**2).sum(axis=1)
+    size, wide = np.sqrt(square.max(initial=0.0)), np.column_stack([-2 * known, square])
+    products, close = np.empty(_CHUNK * _COLUMNS), np.empty(_CHUNK * _COLUMNS, bool)
     for start in range(0, len(asked), _CHUNK):
         part = asked[start : start + _CHUNK]
-        rough = _distances(part, known)
-        room = 1e-6 * (1.0 + size + np.sqrt((part**2).sum(axis=1)))
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(part), np.inf)
-        for i, (row, limit) in enumerate(zip(rough, kth + room, strict=True)):
-            if most is not None:
-                limit = min(limit, most[start + i] + room[i])
-            at = np.flatnonzero(row <= limit)
-            d = np.sqrt(((known[at] - part[i]) ** 2).sum(axis=1))
-            yield start + i, at, d
+        own = (part**2).sum(axis=1)
+        room = 1e-6 * (1.0 + size + np.sqrt(own))
+        limit = np.full(len(part), np.inf) if most is None else (most[start : start + _CHUNK] + room) ** 2 - own
+        left, found = np.column_stack([part, np.ones(len(part))]), []
+
+        def lowered(rows: np.ndarray, kth: np.ndarray, own=own, room=room, limit=limit) -> None:
+            limit[rows] = np.minimum(limit[rows], (np.sqrt(np.maximum(kth + own[rows], 0.0)) + room[rows]) ** 2 - own[rows])
+
+        for first in range(0, len(known), _COLUMNS):
+            block = wide[first : first + _COLUMNS]
+            shape = len(part), len(block)
+            rough, near = (v[: shape[0] * shape[1]].reshape(shape) for v in (products, close))
+            np.matmul(left, block.T, out=rough)
+            if rough.shape[1] > k and len(open_ := np.flatnonzero(np.isinf(limit))):
+                lowered(open_, np.partition(rough[open_], k - 1, axis=1)[:, k - 1])
+            at = np.flatnonzero(np.less_equal(rough, limit[:, None], out=near))
+            row = at // rough.shape[1]
+            many = np.flatnonzero(np.bincount(row, minlength=len(part)) > 8 * k)
+            if len(many):
+                lowered(many, np.partition(rough[many], k - 1, axis=1)[:, k - 1])
+            value = rough.ravel()[at]
+            kept = value <= limit[row]
+            found.append((row[kept], at[kept] % rough.shape[1] + first, value[kept]))
+        row, place, value = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        order = np.argsort(row, kind="stable")
+        row, place, value = row[order], place[order], value[order]
+        ends = np.searchsorted(row, np.arange(len(part) + 1))
+        for i in range(len(part)):
+            at, rough = place[ends[i] : ends[i + 1]], value[ends[i] : ends[i + 1]]
+            if len(at) > k:
+                kth = np.partition(rough, k - 1)[k - 1]
+                at = at[rough <= (np.sqrt(max(kth + own[i], 0.0)) + room[i]) ** 2 - own[i]]
+            yield start + i, at, np.sqrt(((known[at] - part[i]) ** 2).sum(axis=1))
+
+
+def queries_of_part(visits: int, room: int, partitions: int) -> int:
+    """How many queries of a shelf are one part: few enough for all partitions to have work, from ``room`` / 8 to ``room``."""
+    return max(1, room // 8, min(room, math.ceil(visits / max(1, partitions))))
 
 
 class MetricIndex:
@@ -166,7 +199,8 @@ class MetricIndex:
             self.evaluated += visits.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
             sent = visits.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("name", *by).agg(F.collect_list("cell").alias("cells"))
             sent = self.scratch.written(sent)
-            crowd = materialised(sent.groupBy(*by).agg(F.ceil(F.count("*") / self.room).cast("int").alias("salts")))
+            share = queries_of_part(sent.count(), self.room, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            crowd = materialised(sent.groupBy(*by).agg(F.ceil(F.count("*") / share).cast("int").alias("salts")))
             ask = sent.join(queries, ["name", "g"]).join(broadcast_if_small(crowd), by).withColumn("s", F.pmod(F.xxhash64("name", F.lit(5)), F.col("salts")).cast("int"))
             ask = ask.select("name", "q", "most", *by, "s", "cells")
             fit = self.entries.join(broadcast_if_small(crowd), by).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
